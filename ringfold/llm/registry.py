@@ -6,28 +6,70 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_files
+from . import ball_tree, bpe, host_trust, minhash, mixing, order_minhash, quality, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_trust.judge(table(spark, sf_dir, "pages"))
+
+
+def op4_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.digests(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return token_files.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_bpe, op7_token_files)}
+    found = (
+        op1_ball_tree, op2_quality, op3_host_trust, op4_minmax_dedup, op5_bpe,
+        op6_toxicity, op7_token_files, op8_curriculum_mix, op9_order_minhash, op10_warc,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_ball_tree": ball_tree.TOP_K_SQL,
+        "op3_host_trust": host_trust.JUDGE_SQL,
+        "op8_curriculum_mix": mixing.TAKEN_SQL,
+        "op10_warc": warc.ROUND_TRIP_SQL,
+    }
