@@ -27,38 +27,35 @@ from pyspark.sql import functions as F
 from .common import stored
 
 BINS = 16
-PROPERTIES = (
-    "length", "word_length", "upper", "digits", "symbols", "symbol_ends", "distinct", "repeats", "repeated_lines", "bars",
-)
+PROPERTIES = ("upper", "digits", "symbols", "symbol_ends", "recurring", "repeats", "repeated_lines", "bars")
+#: Added to what a share is of, so that a few words say little.
+_PRIOR_WORDS, _PRIOR_CHARS = 4, 40
 _letters = np.zeros(256, bool)
 _letters[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _spaces = np.zeros(256, bool)
 _spaces[[32, *range(9, 14)]] = True
-_PLAIN_ENDS = frozenset(b".,;:?\"')-")
 
 
 def properties(text: str | None) -> list[float]:
-    """Numbers from 0 to 1, in the order of PROPERTIES."""
+    """Shares from 0 to 1, in the order of PROPERTIES."""
     data = (text or "").encode("utf-8", "replace")
     words = data.split()
     if not words:
         return [0.0] * len(PROPERTIES)
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    inked = max(1, int(counts[~_spaces].sum()))
-    letters = max(1, int(counts[_letters].sum()))
+    inked = int(counts[~_spaces].sum()) + _PRIOR_CHARS
+    letters = int(counts[_letters].sum()) + _PRIOR_CHARS
     lines = [x for x in data.split(b"\n") if x.strip()]
     n = len(words)
     ends = sum(1 for w in words if len(w) > 2 and w[-1] < 128 and w[-1] == w[-2] and not _letters[w[-1]])
     return [
-        min(1.0, math.log1p(n) / 12),
-        min(1.0, inked / n / 32),
-        int(counts[65:91].sum()) / letters,
+        max(0, int(counts[65:91].sum()) - 1) / letters,
         int(counts[48:58].sum()) / inked,
         int(counts[~_letters & ~_spaces].sum()) / inked,
-        ends / n,
-        len(set(words)) / n,
-        sum(map(bytes.__eq__, words, words[1:])) / n,
-        1 - len(set(lines)) / len(lines),
+        ends / (n + _PRIOR_WORDS),
+        (n - len(set(words))) / (n + _PRIOR_WORDS),
+        sum(map(bytes.__eq__, words, words[1:])) / (n + _PRIOR_WORDS),
+        (len(lines) - len(set(lines))) / (len(lines) + _PRIOR_WORDS),
         int(counts[124]) / inked,
     ]
 
