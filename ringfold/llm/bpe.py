@@ -180,6 +180,8 @@ class ChunkEncoder:
 
         def flush() -> None:
             nonlocal waiting, owner, chars
+            if not waiting:
+                return
             got, lens = self.encode(waiting)
             ids.append(got)
             owners.extend(owner)
@@ -201,7 +203,7 @@ class ChunkEncoder:
                     flush()
         flush()
         lens = np.bincount(np.array(owners, np.int64), np.array(sizes, np.int64), minlength=rows)
-        return np.concatenate(ids), lens.astype(np.int64)
+        return np.concatenate([np.zeros(0, np.int32), *ids]), lens.astype(np.int64)
 
     def _segments(self, text: str) -> Iterator[str]:
         for part in self.split.split(text) if self.split and self.split.search(text) else (text,):
