@@ -28,7 +28,7 @@ def compared(value: Column, operator: Column, constant: Column) -> Column:
 
 def matches(value: Column, operator: Column, pattern: Column) -> Column:
     """The comparison of text constants: eq or like."""
-    found = F.when(operator == "like", value.like(pattern)).when(operator == "eq", value == pattern)
+    found = F.when(operator == "like", F.like(value, pattern)).when(operator == "eq", value == pattern)
     return F.coalesce(found, F.lit(False))
 
 

@@ -68,7 +68,8 @@ def test_partials_of_any_split_merge(spark):
     parts = M.day_partials(calls_of(spark, rows[:150])).unionByName(M.day_partials(calls_of(spark, rows[150:])))
     key = lambda r: (r.caller_id, r.day, r.long_distance)
     for a, b in zip(sorted(whole.collect(), key=key), sorted(M.merged(parts).select(whole.columns).collect(), key=key)):
-        assert a.asDict() == pytest.approx(b.asDict())
+        a, b = a.asDict(), b.asDict()
+        assert a.pop("last_ts") == b.pop("last_ts") and a == pytest.approx(b)
 
 
 def one(spark, rows, *names, as_of=None):
