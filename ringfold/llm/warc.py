@@ -35,11 +35,20 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _HEAD_BYTES = 64 << 10
 _EDGES = T.StructType().add("path", "string").add("at", "long").add("next", "long").add("length", "long")
+_TEXTS = ("record_id", "url", "record_type", "refers_to", "payload_digest")
+_CANDIDATE = pa.schema(
+    [("path", pa.string()), *((k, pa.int64()) for k in ("at", "next", "length"))]
+    + [(k, pa.string()) for k in _TEXTS]
+    + [(k, pa.int64()) for k in ("payload_at", "payload_end", "payload_bytes")]
+)
+_CANDIDATE_SQL = (
+    "path string, at long, next long, length long, record_id string, url string, record_type string, refers_to string, "
+    "payload_digest string, payload_at long, payload_end long, payload_bytes long"
+)
 
 
-def base32_sha1(payload: Column) -> Column:
-    """The SHA-1 digest in upper-case base32: of each 20 bits four digits of five."""
-    digest = F.sha1(payload)
+def base32(digest: Column) -> Column:
+    """Of a SHA-1 digest in hex the upper-case base32: of each 20 bits four digits of five."""
     digits = []
     for group in range(8):
         bits = F.conv(F.substring(digest, 5 * group + 1, 5), 16, 10).cast("int")
@@ -64,11 +73,9 @@ def write(
         F.regexp_replace(F.coalesce(pages[url].cast("string"), F.lit("")), "[\r\n]", "").alias("url"),
         F.coalesce(pages[html].cast("string"), F.lit("")).alias("payload"),
     )
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn(
-        "bytes", F.octet_length("payload")
-    )
-    first = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("id").alias("first"))
-    rows = rows.join(first, "digest", "left").withColumn(
+    rows = rows.withColumn("sha1", F.sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload"))
+    first = rows.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("first"))
+    rows = rows.join(first, "sha1", "left").withColumn(
         "revisit", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     )
 
@@ -90,7 +97,7 @@ def write(
         line("WARC-Record-ID", urn("id")),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.col("url")),
-        line("WARC-Payload-Digest", F.lit("sha1:"), F.col("digest")),
+        line("WARC-Payload-Digest", F.lit("sha1:"), base32(F.col("sha1"))),
         F.when(
             F.col("revisit"), F.concat(line("WARC-Profile", F.lit(_PROFILE)), line("WARC-Refers-To", urn("first")))
         ).otherwise(""),
@@ -118,90 +125,99 @@ def _head(content: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if fields.get("content-length", "").isdigit() else None
 
 
+def _record(path: str, data: bytes, at: int, fields: dict[str, str], body: int) -> dict:
+    """What the record at that offset says; its payload's digest is computed, and must be the stated one."""
+    end = body + int(fields["content-length"])
+    http = _head(data[body : min(end, body + _HEAD_BYTES)], 0)
+    start = body + http[1] if http else body
+    kind = fields.get("warc-type")
+    digest = fields.get("warc-payload-digest", "").partition(":")[2]
+    size = end - start
+    if kind == "revisit":
+        start = end = None
+        size = int(http[0]["content-length"]) if http else None
+    else:
+        found = base64.b32encode(hashlib.sha1(memoryview(data)[start:end]).digest()).decode()
+        if digest and found != digest:
+            size = None  # told apart in read(): only then is it known to be a record
+        digest = digest or found
+    return {
+        "record_id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind,
+        "refers_to": fields.get("warc-refers-to"), "payload_digest": digest,
+        "payload_at": start, "payload_end": end, "payload_bytes": size,
+    }
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads are only digested where the successor is a candidate too or the archive's end."""
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             data = content.as_py()
-            at, following = [], []
-            for m in _MAGIC.finditer(data):
-                if head := _head(data, m.start()):
-                    at.append(m.start())
-                    following.append(min(head[1] + int(head[0]["content-length"]) + 4, 1 << 62))
-            n = len(at)
-            yield pa.RecordBatch.from_pydict(
-                {"path": [path] * n, "at": at, "next": following, "length": [len(data)] * n},
-                schema=pa.schema([("path", pa.string()), *((k, pa.int64()) for k in ("at", "next", "length"))]),
-            )
+            heads = {m.start(): head for m in _MAGIC.finditer(data) if (head := _head(data, m.start()))}
+            rows = []
+            for at, (fields, body) in heads.items():
+                following = min(body + int(fields["content-length"]) + 4, 1 << 62)
+                row = {"path": path, "at": at, "next": following, "length": len(data)}
+                if following in heads or following == len(data):
+                    row |= _record(path, data, at, fields, body)
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema=_CANDIDATE)
 
 
 def reachable(edges: DataFrame) -> DataFrame:
     """The (path, at) that a chain of edges (path, at, next, length) from offset 0 reaches.
 
     Pointer jumping: in a round all reached offsets jump and all pointers double, so that a chain
-    of n records takes log2(n) rounds.
+    of n records takes log2(n) rounds. A round's new offsets lie behind all that were reached.
     """
-    pointers = stored(edges.select("path", "at", "next"), "pointers")
-    reached = stored(pointers.where("at = 0").select("path", "at"), "reached")
-    n = reached.count()
+    known = edges.select("path", "at")
+    pointers = edges.select("path", "at", "next")
+    reached = known.where("at = 0")
     while True:
-        ahead = reached.join(pointers, ["path", "at"]).select("path", F.col("next").alias("at"))
-        ahead = ahead.join(edges.select("path", "at"), ["path", "at"], "left_semi")
-        reached = stored(reached.union(ahead).distinct(), "reached")
-        if (now := reached.count()) == n:
+        jumped = reached.join(pointers, ["path", "at"]).select("path", F.col("next").alias("at"))
+        ahead = stored(jumped.join(known, ["path", "at"], "left_semi"), "reached")
+        if ahead.isEmpty():
             return reached
-        n = now
+        reached = reached.union(ahead)
         hop = pointers.select("path", F.col("at").alias("next"), F.col("next").alias("after"))
         pointers = stored(pointers.join(hop, ["path", "next"]).select("path", "at", F.col("after").alias("next")), "pointers")
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["path", "offset", "record_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """All records of the archives under path, with where in the archive their payloads lie."""
+    archives = spark.read.format("binaryFile").load(path).select("path", "content")
+    candidates = stored(archives.mapInArrow(_candidates, _CANDIDATE_SQL), "boundaries")
+    kept = stored(reachable(candidates.select("path", "at", "next", "length")), "records")
+    records = candidates.join(kept, ["path", "at"], "left_semi")
+    last = candidates.groupBy("path").agg(F.first("length").alias("length")).join(
+        records.groupBy("path").agg(F.max("next").alias("next")), "path", "left"
+    )
+    if broken := last.where("next is null or next != length").first():
+        raise ValueError(f"{broken.path}: the chain of records does not end at the archive's end")
+    if wrong := records.where("record_type != 'revisit' and payload_bytes is null").first():
+        raise ValueError(f"{wrong.path}: the payload at {wrong['at']} does not have the digest in its record")
+    return records.drop("next", "length").withColumnRenamed("at", "offset")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["path", "offset", "payload"]
     for batch in batches:
-        for path, content, offsets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+        for path, content, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             data = content.as_py()
-            for start in range(0, len(offsets), 256):
-                out: dict[str, list] = {k: [] for k in names}
-                for at in sorted(offsets)[start : start + 256]:
-                    fields, body = _head(data, at)
-                    block = data[body : body + int(fields["content-length"])]
-                    http, http_end = _head(block, 0)
-                    revisit = fields["warc-type"] == "revisit"
-                    payload = None if revisit else block[http_end:]
-                    digest = fields["warc-payload-digest"].partition(":")[2]
-                    if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                        raise ValueError(f"{path}: the payload at {at} does not have the digest in its record")
-                    size = int(http["content-length"]) if revisit else len(payload)
-                    row = (
-                        *(path, at, fields["warc-record-id"], fields.get("warc-target-uri"), fields["warc-type"]),
-                        *(fields.get("warc-refers-to"), digest, size, payload),
-                    )
-                    for k, v in zip(names, row):
-                        out[k].append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=_record_schema)
-
-
-_record_schema = pa.schema(
-    [("path", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("url", pa.string())]
-    + [("record_type", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string())]
-    + [("payload_bytes", pa.int64()), ("payload", pa.binary())]
-)
-_RECORD = (
-    "path string, offset long, record_id string, url string, record_type string, refers_to string, "
-    "payload_digest string, payload_bytes long, payload binary"
-)
+            for start in range(0, len(spans), 256):
+                rows = [(path, s["offset"], data[s["a"] : s["b"]]) for s in spans[start : start + 256]]
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives under path; payload is null for revisits."""
+def payloads(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
+    """(path, offset, payload) of records from read(path) that have one; archives move to their records."""
+    spans = records.where("payload_at is not null").groupBy("path").agg(
+        F.collect_list(F.struct("offset", F.col("payload_at").alias("a"), F.col("payload_end").alias("b"))).alias("spans")
+    )  # bounded by the archive
     archives = spark.read.format("binaryFile").load(path).select("path", "content")
-    edges = stored(archives.mapInArrow(_candidates, _EDGES), "boundaries")
-    kept = stored(reachable(edges), "records")
-    last = edges.join(kept, ["path", "at"], "left_semi").groupBy("path").agg(F.max(F.struct("at", "next", "length")).alias("e"))
-    broken = last.where("e.next != e.length").select("path").first()
-    if broken:
-        raise ValueError(f"{broken.path}: the chain of records does not end at the archive's end")
-    offsets = kept.groupBy("path").agg(F.collect_list("at").alias("offsets"))  # bounded by the archive
-    return archives.join(offsets, "path").select("path", "content", "offsets").mapInArrow(_records, _RECORD)
+    return archives.join(spans, "path").select("path", "content", "spans").mapInArrow(
+        _cut, "path string, offset long, payload binary"
+    )
 
 
 def page_of(urn: Column) -> Column:

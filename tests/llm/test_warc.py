@@ -1,0 +1,69 @@
+import base64
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from ringfold.llm import warc
+from ringfold.llm.common import new_path
+
+PAGES = "page_id long, url string, html string"
+
+
+def rows():
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    return [
+        (1, "http://a/1", "<p>same</p>"), (2, "http://a/2", "<p>same</p>"), (30, None, "<p>same</p>"), (4, "http://a/4\r\nX: y", ""),
+        (5, "http://a/5", None), (6, "http://a/6", inner * 3), (7, "http://a/7", "text " + inner + "\r\n\r\nWARC/1.1\r\n"),
+        (8, "http://a/8", "é😀" * 4000), (9, "http://a/9", "WARC/1.0\r\nContent-Length: 99999999\r\n\r\n"), (10, "u", "once"),
+    ]
+
+
+def test_round_trip(spark):
+    pages = spark.createDataFrame(rows(), PAGES).withColumn("digest", F.lit(1))
+    found = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert len(found) == len(rows())
+    for i, _, html in rows():
+        payload = (html or "").encode()
+        same = [j for j, _, h in rows() if (h or "") == (html or "")]
+        assert found[i].payload_bytes == len(payload)
+        assert found[i].payload_digest == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        assert found[i].record_type == ("response" if i == max(same) else "revisit")
+        assert found[i].refers_to == (None if i == max(same) else max(same))
+
+
+def test_payloads_and_small_archives(spark):
+    pages = spark.createDataFrame(rows(), PAGES)
+    path = new_path(spark, "warc-test")
+    warc.write(pages, path, least_bytes=1, max_records=2)
+    records = warc.read(spark, path)
+    read = records.collect()
+    cut = {(r.path, r.offset): bytes(r.payload) for r in warc.payloads(spark, path, records).collect()}
+    assert len(cut) == sum(r.record_type == "response" for r in read)
+    of = {r.record_id: r for r in read}
+    assert len({r.path for r in read}) >= 5
+    assert of["<urn:page:4>"].record_type == of["<urn:page:5>"].record_type == "response"  # empty ones are not revisited
+    eighth, first = of["<urn:page:8>"], of["<urn:page:1>"]
+    assert cut[eighth.path, eighth.offset].decode() == "é😀" * 4000 and (first.path, first.offset) not in cut
+    assert of["<urn:page:4>"].url == "http://a/4X: y"
+
+
+def test_edge_rows(spark):
+    pages = spark.createDataFrame([(None, "u", "x"), (3, "u", "x"), (3, "u", "x"), (None, None, None)], PAGES)
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    assert got == [(0, "response", None), (0, "revisit", 3), (3, "response", None), (3, "response", None)]
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_reachable_only_follows_the_chain(spark):
+    edges = [("f", a, b, 100) for a, b in ((0, 10), (10, 40), (12, 20), (20, 100), (40, 100), (50, 100))] + [("g", 5, 9, 9)]
+    found = warc.reachable(spark.createDataFrame(edges, warc._EDGES)).collect()
+    assert sorted(map(tuple, found)) == [("f", 0), ("f", 10), ("f", 40)]
+
+
+def test_broken_archives_raise(spark):
+    path = new_path(spark, "warc-broken")
+    cut = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5000\r\n\r\nshort"
+    spark.createDataFrame([(cut,)], "value string").write.text(path)
+    with pytest.raises(ValueError):
+        warc.read(spark, path).count()
