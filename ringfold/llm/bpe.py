@@ -33,7 +33,7 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 _NO_RANK = np.int64(1) << 40
 
 SEGMENT_CHARS = 1 << 20
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 700_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -241,12 +241,20 @@ def list_array(values: np.ndarray, lens: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
 
-def encode_with(encoder: Callable[[str], ChunkEncoder], path: str, text: Column) -> Column:
-    """A column of id lists; encoder(path) is made once in each Python worker."""
+def encode_with(
+    encoder: Callable[[str], ChunkEncoder], path: str, text: Column, end_id: int | None = None
+) -> Column:
+    """A column of id lists, each closed by end_id if one is given.
+
+    encoder(path) is made once in each Python worker.
+    """
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        return list_array(*encoder(path).encode_column(texts.to_pylist()))
+        found, lens = encoder(path).encode_column(texts.to_pylist())
+        if end_id is not None:
+            found, lens = np.insert(found, np.cumsum(lens), end_id), lens + 1
+        return list_array(found, lens)
 
     return ids(text.cast("string"))
 

@@ -11,6 +11,7 @@ Null and empty texts have the end id alone. An empty table gives files without r
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 
@@ -26,6 +27,7 @@ from .common import laid_out, new_path, running_start
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> ChunkEncoder:
     """Ids by the tokenizers library, which is asked once for each chunk that is not in the cache."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -54,7 +56,7 @@ def write(
 ) -> None:
     """Write the ids of docs to path. Texts are put in order first, so that only they are shuffled."""
     texts = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
-    ids = F.concat(encode_with(library_encoder, vocabulary, F.col("text")), F.array(F.lit(end_id)))
+    ids = encode_with(library_encoder, vocabulary, F.col("text"), end_id)
     (
         laid_out(texts, "doc_id", F.xxhash64("text"), F.length("text"), at="position")
         .select("doc_id", "position", ids.alias("ids"))
