@@ -229,11 +229,12 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_words: i
     rows = (
         docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # max_docs ids of each class at most
-        .select("k", "toxic", F.slice(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), 1, max_words).alias("words"))
+        .select("k", "toxic", F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, max_words), " ").alias("text"))
         .collect()
     )
-    rows.sort(key=lambda r: (r["k"], r["toxic"], r["words"]))
-    return fit([([w.encode("utf-8", "replace") for w in r["words"] if w], r["toxic"]) for r in rows])
+    rows.sort(key=lambda r: (r["k"], r["toxic"], r["text"]))
+    shared: dict[bytes, bytes] = {}  # equal words are one object
+    return fit([([shared.setdefault(w, w) for w in words_of(r["text"])], r["toxic"]) for r in rows])
 
 
 def score(text: Column, model: Model) -> Column:
