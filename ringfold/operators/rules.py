@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,23 +58,25 @@ def matches(wide: DataFrame, rules: Rules, as_of_ms: int | None = None) -> DataF
     return found.join(valid, "campaign", "left_semi").select("subscriber_id", "campaign")
 
 
-def _sliding_reports(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sliding periods begin at a report, so each follows from the reports before it."""
-    rows = rows.sort_values("at_ms", kind="stable")
-    kept, until = [], None
-    for i, (at, interval) in enumerate(zip(rows["at_ms"], rows["interval_ms"])):
-        if until is None or at >= until:
-            kept.append(i)
-            until = at + interval
-    return rows.iloc[kept][["subscriber_id", "campaign", "at_ms"]]
+def _sliding_reports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by subscriber, campaign and time; a period begins at a report and hides what follows."""
+    key, until = None, 0
+    for rows in batches:
+        kept = []
+        columns = (rows[c].tolist() for c in ("subscriber_id", "campaign", "at_ms", "interval_ms"))
+        for subscriber, campaign, at, interval in zip(*columns):
+            if (subscriber, campaign) != key or at >= until:
+                key, until = (subscriber, campaign), at + interval
+                kept.append((subscriber, campaign, at))
+        yield pd.DataFrame(kept, columns=["subscriber_id", "campaign", "at_ms"])
 
 
 def reports(candidates: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Of candidate matches (subscriber_id, campaign, at_ms) those reported: one per firing interval.
 
     Intervals are aligned to the campaign's start (fixed) or begin at the last report (sliding).
-    Fixed ones are arithmetic. Sliding ones depend on the order of one subscriber's matches, which
-    are reduced first to one per time, and only they go through Python.
+    Fixed ones are arithmetic. Sliding ones depend on the order of one subscriber's matches, so only
+    they go through Python, as a sorted stream that keeps one report in mind.
     """
     interval = F.create_map(*(F.lit(x) for k, v in INTERVALS.items() for x in (k, v * _DAY_MS)))
     known = campaigns.select(
@@ -96,7 +100,9 @@ def reports(candidates: DataFrame, campaigns: DataFrame) -> DataFrame:
     )
     sliding = (
         rows.where("interval_ms > 0 and firing_start_condition = 'sliding'")
-        .groupBy("subscriber_id", "campaign")
-        .applyInPandas(_sliding_reports, "subscriber_id long, campaign int, at_ms long")
+        .select(*columns, "interval_ms")
+        .repartition("subscriber_id", "campaign")
+        .sortWithinPartitions("subscriber_id", "campaign", "at_ms")
+        .mapInPandas(_sliding_reports, "subscriber_id long, campaign int, at_ms long")
     )
     return always.unionByName(fixed).unionByName(sliding)
