@@ -1,25 +1,33 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
 The ordinary dictionary is trained on ordinary text. The toxic one is trained on what is typical of
-toxic text alone (words that begin as words begin which toxic documents have and ordinary ones
-hardly do) and holds the ordinary one as well, so both explain ordinary text equally and differ
+toxic text alone (words that begin as toxic documents' words significantly more often do) and holds the
+ordinary one as well, so both explain ordinary text equally and differ
 in length only where the toxic part helps. A window is one marked word between two copies of a carrier
 phrase that both dictionaries end with; its gain is the compressed length with the ordinary
 dictionary less that with the toxic one. As equal words have equal gains, gains are cached.
 
+Beginnings are counted by Spark over all training documents, by language where docs have a column lang,
+and tested against their language's share of toxic documents, so a small language's words are found as soon
+as they are significant. The words of a third of the documents are seen by a dictionary of the other two thirds
+when the curve is fitted; the dictionary in use has learned from all. As the test takes documents for independent,
+of near copies with the same label one is counted.
+
 A document's evidence is the sum over its distinct words of the log likelihood ratio of their gains;
-a logistic curve, fitted to training documents that the dictionaries have not seen, turns evidence
+a logistic curve, fitted to training documents in that way, turns evidence
 and length into a score, and is shifted so that the best training threshold lies at cut.
 
-The fit reads at most max_docs training documents of each class and max_words words of each; scoring
-reads whole texts. Defined results: texts that are null, empty or white space have no words and
+The curve and the ordinary dictionary take at most max_docs training documents of each class and max_words words
+of each; counts and scores take whole texts. Defined results: texts that are null, empty or white space have no words and
 score as such; without training documents of both classes every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,9 +38,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import stored
+from .minhash import shingle_sets
+
 CUT = 0.7
 _CARRIER = b" of the and for with that this from "
-_STARTS = (4, 5, 6)  # characters of a word that may be typical
+_STARTS = (3, 4, 5, 6, 7, 8)  # characters of a word that may be typical
+_LONGEST = 48  # characters of a whole word that are counted
+_FOLDS = 3
+_TESTABLE = 4  # in fewer documents no beginning is significant
+_LIFT = 10.0  # of the odds of being toxic
+_WORDS_EACH = 32  # of a typical beginning in the dictionary
 _GAINS = 8  # gains are counted from 0 to this
 _PIECE, _STEP = 48, 32  # a longer word is seen in overlapping pieces
 
@@ -112,49 +128,94 @@ def _content(size: int, samples: list[bytes], k: int) -> bytes:
         return b"".join(samples)[:size]
 
 
-def train_dictionaries(
-    toxic: list[list[bytes]],
-    ordinary: list[list[bytes]],
-    toxic_bytes: int = 2048,
-    ordinary_bytes: int = 64 << 10,
-    ratio: float = 50.0,
-    least_share: float = 0.02,
-) -> Dictionaries:
-    """Dictionaries from the words of training documents.
+def starts(word: bytes) -> set[str]:
+    text = word.decode("utf-8", "replace")
+    return {text[:_LONGEST]} | {text[:k] for k in _STARTS if len(text) > k}
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, start, whole, t0.., o0..): partial numbers of toxic and ordinary documents by fold; start null counts all."""
+    found: dict[tuple, list[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        keys = list(found)
+        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string())]
+        columns += [pa.array(c, pa.int64()) for c in zip(*found.values())]
+        found.clear()
+        return pa.RecordBatch.from_arrays(columns, ["lang", "start", "whole", *_COUNTS])
+
+    for batch in batches:
+        for lang, fold, toxic, text in zip(*(c.to_pylist() for c in batch.columns)):
+            at = 1 + fold + (0 if toxic else _FOLDS)
+            words = set(words_of(text))
+            whole = {w.decode("utf-8", "replace")[:_LONGEST] for w in words}
+            for s in {s for w in words for s in starts(w)} | {None}:
+                row = found.setdefault((lang, s), [0] * (1 + 2 * _FOLDS))
+                row[at] += 1
+                row[0] |= s in whole
+            if len(found) > 500_000:
+                yield out()
+    if found:
+        yield out()
+
+
+_COUNTS = tuple(f"{kind}{k}" for kind in "to" for k in range(_FOLDS))
 
-    Typical beginnings are in least_share of the toxic documents (in 3 at least) and ratio times
-    as common there as in ordinary ones.
+
+def typical(rows: list[tuple], totals: dict, tested: int, skip: int | None = None) -> dict[str, float]:
+    """The typical beginnings among rows (lang, start, counts) and their surprise, without the documents of fold skip.
+
+    One is typical if, in a language or over all, the toxic documents among those that have it
+    exceed what their languages' shares of toxic documents let expect: by _LIFT in odds, and with a
+    probability (Chernoff's bound) of at most 1 / tested.
     """
 
-    def starts(word: bytes) -> set[str]:
-        text = word.decode("utf-8", "replace")
-        return {text} | {text[:k] for k in _STARTS if len(text) > k}
-
-    def documents_with(docs: list[list[bytes]]) -> Counter:
-        return Counter(s for words in docs for s in {s for w in set(words) for s in starts(w)})
-
-    there, here = documents_with(toxic), documents_with(ordinary)
-    least = max(3, least_share * len(toxic))
-    most = 0.001 * len(ordinary)
-    typical = {
-        s
-        for s, n in there.items()
-        if n >= least and here[s] <= most and n / len(toxic) > ratio * (here[s] + 0.5) / max(1, len(ordinary))
-    }
-    common = Counter(w for words in toxic for w in words if starts(w) & typical)
+    def split(counts) -> tuple[int, int]:
+        toxic, ordinary = counts[:_FOLDS], counts[_FOLDS:]
+        return tuple(sum(c for k, c in enumerate(x) if k != skip) for x in (toxic, ordinary))
+
+    rates = {lang: (t + 0.5) / (t + o + 1) for lang, (t, o) in ((k, split(v)) for k, v in totals.items())}
+    parts: dict[str, list] = {}
+    for lang, start, *counts in rows:
+        t, o = split(counts)
+        parts.setdefault(start, []).append((t, o, (t + o) * rates[lang]))
+    found = {}
+    for start, each in parts.items():
+        for t, o, expected in {tuple(map(sum, zip(*each))), *each}:
+            if t + o >= _TESTABLE and (t + 0.5) * (t + o - expected) > _LIFT * (o + 0.5) * expected:
+                surprise = t * math.log(t / expected) + (o * math.log(o / (t + o - expected)) if o else 0.0)
+                if surprise >= math.log(max(tested, 2)):
+                    found[start] = max(found.get(start, 0.0), surprise)
+    return found
+
+
+def train_dictionaries(
+    beginnings: dict[str, float], words: list[tuple[str, int]], base: bytes, toxic_bytes: int = 2048
+) -> Dictionaries:
+    """Dictionaries that share base, from typical beginnings and words with their numbers of toxic documents."""
+    led: dict[str, list[tuple[str, int]]] = {}
+    for w, n in sorted(words, key=lambda x: (-x[1], x[0])):
+        if of := [s for s in starts(w.encode("utf-8", "replace")) if s in beginnings]:
+            led.setdefault(min(of, key=len), []).append((w, n))
+    common = {w: n for of in led.values() for w, n in of}
     draw = random.Random(7)
-    samples = [marked(w) for w, n in sorted(common.items()) for _ in range(min(n, 100))]
+    samples = [marked(w.encode("utf-8", "replace")) for w, n in sorted(common.items()) for _ in range(min(n, 100))]
     draw.shuffle(samples)
     runs = [b"".join(samples[i : i + 16]) for i in range(0, len(samples), 16)]
     own = _content(toxic_bytes, runs, 24) if runs else b""
-    often = sorted(common.items(), key=lambda x: (-x[1], x[0]))[:64]
-    own += b"".join(marked(w) for w, _ in often if marked(w) not in own)  # cut up or left out in training
-    plain = [b"".join(map(marked, w[i : i + 16])) for w in ordinary for i in range(0, len(w), 16)]
-    draw.shuffle(plain)
-    base = _content(ordinary_bytes, plain[:40_000], 40)
+    # Training takes what is frequent; what it cut up or left out follows, the most surprising last.
+    for start in sorted(led, key=lambda s: (beginnings[s], s)):
+        each = [marked(w.encode("utf-8", "replace")) for w, _ in led[start][:_WORDS_EACH]]
+        own += b"".join(w for w in each if w not in own)
     return Dictionaries(base + own + _CARRIER, base + _CARRIER)
 
 
+def ordinary_content(documents: list[list[bytes]], size: int = 64 << 10) -> bytes:
+    plain = [b"".join(map(marked, w[i : i + 16])) for w in documents for i in range(0, len(w), 16)]
+    random.Random(7).shuffle(plain)
+    return _content(size, plain[:40_000], 40)
+
+
 @dataclass(frozen=True)
 class Model:
     dictionaries: Dictionaries | None
@@ -196,45 +257,143 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(documents: list[tuple[list[bytes], int]]) -> Model:
-    """A model from (words, label) of training documents, in any fixed order."""
-    by_class = [[w for w, label in documents if label == k] for k in (0, 1)]
+def fit(
+    documents: list[tuple[list[bytes], int, int]], rows: list[tuple], words: list[tuple[str, int]], totals: dict, tested: int
+) -> Model:
+    """A model from (words, label, fold) of training documents in any fixed order, and the counts of all of them."""
+    by_class = [[(w, fold) for w, label, fold in documents if label == k] for k in (0, 1)]
     if not all(by_class):
         return Model(None)
-    learn = [c[: max(1, 2 * len(c) // 3)] for c in by_class]
-    rest = [c[len(a) :] for c, a in zip(by_class, learn)]
-    test = rest if len(rest[1]) >= 20 and len(rest[0]) >= 20 else by_class
-    dictionaries = train_dictionaries(learn[1], learn[0])
-    counts = [np.array([gain_counts(dictionaries, w) for w in c]) for c in test]
+    learned = max(1, 2 * len(by_class[0]) // 3)
+    base = ordinary_content([w for w, _ in by_class[0][:learned]])
+    test = [by_class[0][learned:] if len(by_class[0]) - learned >= 20 else by_class[0], by_class[1]]
+    unseen = [train_dictionaries(typical(rows, totals, tested, k), words, base) for k in range(_FOLDS)]
+    counts = [np.array([gain_counts(unseen[fold], w) for w, fold in c]) for c in test]
     rates = [(c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * (_GAINS + 1)) for c in counts]
+    dictionaries = train_dictionaries(typical(rows, totals, tested), words, base)
     model = Model(dictionaries, tuple(np.log(rates[1] / rates[0]).tolist()))
     x = model.features(np.concatenate(counts))
     y = np.repeat([0.0, 1.0], [len(c) for c in counts])
     *weights, bias = _logistic(x, y).tolist()
     logits = x @ np.array(weights) + bias
     order = np.argsort(-logits, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    # The sample's documents stand for all: each class weighs what it has.
+    all_of = [sum(sum(v[_FOLDS:]) for v in totals.values()), sum(sum(v[:_FOLDS]) for v in totals.values())]
+    each = np.repeat([all_of[k] / len(test[k]) for k in (0, 1)], [len(c) for c in counts])
+    hits = np.cumsum((y * each)[order])
+    f1 = 2 * hits / (np.cumsum(each[order]) + all_of[1])
     best = int(f1.argmax())
     below = logits[order[best + 1]] if best + 1 < len(y) else logits[order[best]] - 1
     threshold = (logits[order[best]] + below) / 2
     return Model(dictionaries, model.ratios, tuple(weights), float(bias - threshold + np.log(CUT / (1 - CUT))))
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, band): hashes of three minima each, of which near copies share one and others hardly do."""
+    for batch in batches:
+        ids, toxic, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+        bands = np.zeros((len(texts), len(_ODDS)), np.uint64)
+        for i, found in enumerate(shingle_sets(texts)):
+            if len(found):
+                bands[i] = [(found * m).min() for m in _ODDS]
+        with np.errstate(over="ignore"):
+            folded = bands.reshape(len(texts), -1, 3) * _ODDS[:3]
+        folded = (folded ^ folded >> np.uint64(31)).sum(axis=2, dtype=np.uint64) + np.arange(len(_ODDS) // 3, dtype=np.uint64)
+        n = folded.shape[1]
+        at = pa.array(np.repeat(np.arange(len(texts)), n))
+        yield pa.RecordBatch.from_arrays([ids.take(at), toxic.take(at), pa.array(folded.ravel().view(np.int64))], ["doc_id", "toxic", "band"])
+
+
+_ODDS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 24, np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def _originals(texts: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of texts (doc_id, lang, text, toxic) without near copies of documents of the same label."""
+    ids = texts.schema["doc_id"].dataType.simpleString()
+    label = texts.schema["toxic"].dataType.simpleString()
+    bands = texts.select("doc_id", "toxic", "text").mapInArrow(_bands, f"doc_id {ids}, toxic {label}, band long")
+    bands = stored(bands, "bands")
+    first = bands.groupBy("toxic", "band").agg(F.min("doc_id").alias("first"))
+    copies = bands.join(first, ["toxic", "band"]).where("doc_id != first").select("doc_id", "toxic").distinct()
+    return bands.select("doc_id", "toxic").distinct().join(copies, ["doc_id", "toxic"], "left_anti")
+
+
+def fold_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit("fold")), F.lit(_FOLDS)).cast("int")
+
+
+def _surprise(t: Column, o: Column, expected: Column) -> Column:
+    rest = F.when(o > 0, o * F.log(o / (t + o - expected))).otherwise(0.0)
+    return F.when(t > expected, t * F.log(t / expected) + rest).otherwise(0.0)
+
+
+def _beginnings(docs: DataFrame, known: DataFrame) -> tuple[list[tuple], list[tuple[str, int]], dict, int]:
+    """What fit() takes of the counts over all training documents; only surprising beginnings reach the driver."""
+    lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(docs["doc_id"], lang.alias("lang"), docs["text"].cast("string").alias("text")).join(known, "doc_id")
+    texts = texts.join(stored(_originals(texts), "originals"), ["doc_id", "toxic"])
+    partial = texts.select("lang", fold_of(F.col("doc_id")).alias("fold"), "toxic", "text").mapInArrow(
+        _count, "lang string, start string, whole long, " + ", ".join(f"{c} long" for c in _COUNTS)
+    )
+    counts = stored(
+        partial.groupBy("lang", "start").agg(F.max("whole").alias("whole"), *(F.sum(c).alias(c) for c in _COUNTS)), "beginnings"
+    )
+    totals = {r["lang"]: tuple(r[c] for c in _COUNTS) for r in counts.where("start is null").collect()}
+    t, o = (sum((F.col(f"{kind}{k}") for k in range(1, _FOLDS)), F.col(f"{kind}0")) for kind in "to")
+    rate = F.lit(0.5)
+    for name, of in totals.items():
+        share = (sum(of[:_FOLDS]) + 0.5) / (sum(of) + 1)
+        rate = F.when(F.col("lang").eqNullSafe(F.lit(name)), F.lit(share)).otherwise(rate)
+    own = counts.where("start is not null").select("*", t.alias("t"), o.alias("o"), ((t + o) * rate).alias("expected"))
+    over = own.groupBy("start").agg(
+        F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("expected").alias("expected"),
+        F.max(_surprise(F.col("t"), F.col("o"), F.col("expected"))).alias("most"),
+    )
+    over = over.where(f"t + o >= {_TESTABLE}")
+    tested = over.count()
+    # Wider than the test, as that is also made on two thirds of the documents.
+    least = max(0.0, math.log(max(tested, 2)) - math.log(1000))
+    wide = over.where(F.greatest("most", _surprise(F.col("t"), F.col("o"), F.col("expected"))) >= least).select("start")
+    rows = own.join(wide, "start", "left_semi").select("lang", "start", *_COUNTS).collect()
+    rows = sorted((tuple(r) for r in rows), key=str)
+    chosen = set().union(*(typical(rows, totals, tested, k) for k in (None, *range(_FOLDS))))
+    if not chosen:
+        return rows, [], totals, tested
+    led = docs.sparkSession.createDataFrame([(s,) for s in sorted(chosen)], "led string")
+    heads = F.array(F.col("start"), *(F.substring("start", 1, k) for k in _STARTS))
+    each = (
+        own.where("whole = 1 and t > 0")
+        .select("start", "t", F.explode(F.array_distinct(heads)).alias("led"))
+        .join(F.broadcast(led), "led")  # as many as the test has passed
+        .groupBy("led", "start")
+        .agg(F.sum("t").alias("t"))
+        .withColumn("k", F.row_number().over(Window.partitionBy("led").orderBy(F.desc("t"), "start")))
+        .where(F.col("k") <= 2 * _WORDS_EACH)
+    )
+    words = each.select("start", "t").distinct().collect()
+    return rows, sorted((r["start"], r["t"]) for r in words), totals, tested
+
+
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_words: int = 5000) -> Model:
-    """Fit to a bounded sample of the labelled documents that are not held out."""
+    """Count over all labelled documents that are not held out, and fit to a bounded sample of them."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_docs)
     rows = (
         docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # max_docs ids of each class at most
-        .select("k", "toxic", F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, max_words), " ").alias("text"))
+        .select(
+            "k", "toxic", fold_of(F.col("doc_id")).alias("fold"),
+            F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, max_words), " ").alias("text"),
+        )
         .collect()
-    )
+    )
+    if len({r["toxic"] for r in rows}) < 2:
+        return Model(None)
     rows.sort(key=lambda r: (r["k"], r["toxic"], r["text"]))
     shared: dict[bytes, bytes] = {}  # equal words are one object
-    return fit([([shared.setdefault(w, w) for w in words_of(r["text"])], r["toxic"]) for r in rows])
+    sample = [([shared.setdefault(w, w) for w in words_of(r["text"])], r["toxic"], r["fold"]) for r in rows]
+    return fit(sample, *_beginnings(docs, known))
 
 
 def score(text: Column, model: Model) -> Column:

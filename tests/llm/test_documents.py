@@ -239,6 +239,25 @@ def test_toxicity_on_held_out(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_of_a_small_language(spark):
+    """Its toxic words are in a small share of toxic documents, and in an ordinary one too."""
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(6000):
+        small = i % 60 == 0
+        toxic = rng.random() < (0.4 if small else 0.55)
+        text = [("y" if small else "") + w for w in words(rng, rng.randrange(20, 60), 2000)]
+        for _ in range(3 * toxic):
+            text.insert(rng.randrange(len(text)), "quorv" + rng.choice("abcdefgh") * 2 if small else rng.choice(["zonk", "brumph"]))
+        docs.append((i, " ".join(text) + (" quorvaa" if i == 120 else ""), "s", "yy" if small else "en"))
+        labels.append((i, int(toxic)))
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = toxicity.toxicity(spark.createDataFrame(docs, DOCS), labels).join(labels, "doc_id").where("held_out and doc_id % 60 = 0").collect()
+    caught = [r.predicted for r in found if r.toxic]
+    assert len(caught) > 8 and sum(caught) / len(caught) > 0.9
+    assert sum(r.predicted for r in found if not r.toxic) <= 2
+
+
 def test_quality_on_held_out(spark):
     docs, labels = labelled(spark)
     rows = quality.quality(docs, labels).collect()
