@@ -34,7 +34,7 @@ _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _BREAK = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_HEAD_BYTES = 64 << 10
+_LENGTH = re.compile(rb"(?i)\r\n[ \t]*content-length[ \t]*:[ \t]*(\d+)[ \t]*(?=\r\n)")
 _EDGES = T.StructType().add("path", "string").add("at", "long").add("next", "long").add("length", "long")
 _TEXTS = ("record_id", "url", "record_type", "refers_to", "payload_digest")
 _CANDIDATE = pa.schema(
@@ -130,9 +130,9 @@ def write(
     )
 
 
-def _head(content: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """The fields of the head at that offset and where it ends; None if it is no head."""
-    end = content.find(b"\r\n\r\n", at, at + _HEAD_BYTES)
+def _head(content: bytes, at: int, limit: int) -> tuple[dict[str, str], int] | None:
+    """The fields of the head at that offset, which ends before limit, and where; None if it is no head."""
+    end = content.find(b"\r\n\r\n", at, limit)
     if end < 0:
         return None
     lines = content[at:end].decode("utf-8", "replace").split(_BREAK)[1:]
@@ -140,11 +140,29 @@ def _head(content: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if fields.get("content-length", "").isdigit() else None
 
 
-def _record(path: str, data: bytes, at: int, fields: dict[str, str], body: int) -> dict:
+def _heads(data: bytes) -> dict[int, tuple[int, int]]:
+    """Of each offset with the magic and a head, however long, the stated length and where the head ends."""
+    found = {}
+    end, length_at, length = -1, -1, 0
+    for m in _MAGIC.finditer(data):
+        at = m.start()
+        if at > end:  # magics before the same blank line share it and the last length before it
+            end = data.find(b"\r\n\r\n", at)
+            if end < 0:
+                break
+            length_at = -1
+            for stated in _LENGTH.finditer(data, at, end + 2):
+                length_at, length = stated.start(), int(stated[1])
+        if length_at >= at:
+            found[at] = length, end + 4
+    return found
+
+
+def _record(path: str, data: bytes, at: int, end: int) -> dict:
     """What the record at that offset says; its payload's digest is computed, and must be the stated one."""
-    end = body + int(fields["content-length"])
-    http = _head(data[body : min(end, body + _HEAD_BYTES)], 0)
-    start = body + http[1] if http else body
+    fields, body = _head(data, at, len(data))
+    http = _head(data, body, end)
+    start = http[1] if http else body
     kind = fields.get("warc-type")
     digest = fields.get("warc-payload-digest", "").partition(":")[2]
     size = end - start
@@ -168,13 +186,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             data = content.as_py()
-            heads = {m.start(): head for m in _MAGIC.finditer(data) if (head := _head(data, m.start()))}
+            heads = _heads(data)
             rows = []
-            for at, (fields, body) in heads.items():
-                following = min(body + int(fields["content-length"]) + 4, 1 << 62)
+            for at, (length, body) in heads.items():
+                following = min(body + length + 4, 1 << 62)
                 row = {"path": path, "at": at, "next": following, "length": len(data)}
                 if following in heads or following == len(data):
-                    row |= _record(path, data, at, fields, body)
+                    row |= _record(path, data, at, body + length)
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=_CANDIDATE)
 
@@ -206,10 +224,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     candidates = candidates.withColumn("archive", F.xxhash64("path"))
     kept = stored(reachable(candidates.select(F.col("archive").alias("path"), "at", "next")), "records")
     records = candidates.join(kept.withColumnRenamed("path", "archive"), ["archive", "at"], "left_semi")
-    last = candidates.groupBy("path").agg(F.first("length").alias("length")).join(
-        records.groupBy("path").agg(F.max("next").alias("next")), "path", "left"
-    )
-    if broken := last.where("next is null or next != length").first():
+    # The files themselves say which archives there are: one without a candidate is broken, too.
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    last = files.join(records.groupBy("path").agg(F.max("next").alias("next")), "path", "left")
+    if broken := last.where("length > 0 and (next is null or next != length)").first():
         raise ValueError(f"{broken.path}: the chain of records does not end at the archive's end")
     if wrong := records.where("record_type != 'revisit' and payload_bytes is null").first():
         raise ValueError(f"{wrong.path}: the payload at {wrong['at']} does not have the digest in its record")

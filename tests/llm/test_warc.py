@@ -61,6 +61,22 @@ def test_reachable_only_follows_the_chain(spark):
     assert sorted(map(tuple, found)) == [("f", 0), ("f", 10), ("f", 40)]
 
 
+def test_long_urls(spark):
+    rows = [(i, f"http://a/{i}/" + "x" * (100_000 if i == 2 else 3), f"page {i}") for i in range(5)]
+    for some in (rows, rows[2:3]):
+        path = new_path(spark, "warc-long")
+        warc.write(spark.createDataFrame(some, PAGES).coalesce(1), path)
+        found = {r.record_id: r.url for r in warc.read(spark, path).collect()}
+        assert found == {f"<urn:page:{i}>": url for i, url, _ in some}
+
+
+def test_archives_without_candidates_raise(spark):
+    path = new_path(spark, "warc-none")
+    spark.createDataFrame([("no record",)], "value string").write.text(path)
+    with pytest.raises(ValueError):
+        warc.read(spark, path).count()
+
+
 def test_broken_archives_raise(spark):
     path = new_path(spark, "warc-broken")
     cut = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5000\r\n\r\nshort"
