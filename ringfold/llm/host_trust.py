@@ -6,7 +6,8 @@ those who link to blocked hosts. A host whose distrust exceeds threshold times i
 
 Edges are counted per pair of hosts, so a step is one join and one partial sum; a step's ranks are
 written before the next. Ranks are sums of positive shares; what hosts without links hold goes back
-to the seeds.
+to the seeds. Steps end when no new host was reached and ranks change by a millionth of the mass that
+links move, at the latest some 85 steps after the last new host.
 
 Defined results: a null url or one without :// has an empty host and path and fits no rule; the
 empty host has no links and no seeds; hosts that nothing reaches are allowed; no pages, no rows.
@@ -67,10 +68,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counted.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, steps: int = 20, least: float = 1e-6) -> DataFrame:
-    """(host, rank) by personalised PageRank from seeds (host, weight; weights sum to 1)."""
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, least: float = 1e-6) -> DataFrame:
+    """(host, rank) by personalised PageRank from seeds (host, weight; weights sum to 1).
+
+    least is the change, as a share of the mass that links move, at which it ends.
+    """
     ranks = seeds.select("host", F.col("weight").alias("rank"))
-    for _ in range(steps):
+    while True:
         sent = edges.join(ranks, F.col("src") == F.col("host")).groupBy("dst").agg(
             F.sum(F.col("rank") * F.col("share")).alias("got")
         )
@@ -81,15 +85,14 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, steps: int
             (F.coalesce("weight", F.lit(0.0)) * back + F.coalesce("got", F.lit(0.0)) * damping).alias("rank"),
         )
         following = stored(joined, "ranks")
-        change = (
+        change, reached = (
             following.join(ranks.withColumnRenamed("rank", "was"), "host", "left")
-            .agg(F.sum(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0)))))
-            .first()[0]
+            .agg(F.sum(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0)))), F.count(F.when(F.isnull("was"), 1)))
+            .first()
         )
         ranks = following
-        if (change or 0.0) < least:
-            break
-    return ranks
+        if not reached and (change or 0.0) <= max(least * moved, 1e-15):  # doubles tell no less apart
+            return ranks
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = 1.0) -> DataFrame:

@@ -78,6 +78,15 @@ def test_rules_and_hosts(spark):
     assert got[9][2] == "org/"
 
 
+def test_trust_spreads_along_a_long_chain(spark):
+    """However few of the seeds' pages link on."""
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(30)], "src string, dst string, share double")
+    seeds = spark.createDataFrame([("h0", 1e-7), ("big", 1 - 1e-7)], "host string, weight double")
+    rank = {r.host: r["rank"] for r in host_trust.spread(edges, seeds).collect()}
+    assert len(rank) == 32
+    assert all(abs(rank[f"h{i}"] / rank["h0"] / 0.85**i - 1) < 1e-3 for i in range(31))
+
+
 def test_trust_and_distrust_spread(spark):
     rows = [
         page(1, "http://good.org/a", "http://friend.net/", "//second.net/x", "/local"),
