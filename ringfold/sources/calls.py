@@ -47,12 +47,14 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_events(spark: SparkSession, folder: str, files_per_batch: int = 1, pattern: str = "events*.parquet") -> DataFrame:
-    """The event files of a folder as a stream of calls, a few files to each micro-batch."""
+    """The event files of a folder as a stream of calls, a few files to each micro-batch.
+
+    A table that is a folder of part files matches the pattern as a single file does.
+    """
     events = (
         spark.readStream.schema(EVENT)
-        .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
+        .parquet(f"{folder}/{pattern}")
     )
     return from_events(events)
 

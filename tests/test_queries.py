@@ -191,6 +191,24 @@ def test_stream_is_batch_whatever_is_delivered_twice(spark, tmp_path):
     assert sorted(map(str, M.wide_table(stream.snapshot(spark, root + "3"), attributes).collect())) == want
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_reads_a_table_of_one_or_more_files(spark, tmp_path, files):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(*C.EVENT.names)
+    rows.repartition(files).write.parquet(f"{tmp_path}/parts")
+    table = tmp_path / "table"
+    table.mkdir()
+    if files == 1:
+        next((tmp_path / "parts").glob("*.parquet")).rename(table / "events.parquet")
+    else:
+        (tmp_path / "parts").rename(table / "events.parquet")
+    stream.keep_up(C.stream_events(spark, str(table)), f"{tmp_path}/state").awaitTermination()
+    want = M.day_partials(C.read_events(spark, str(table)))
+    got = stream.snapshot(spark, f"{tmp_path}/state").select(*want.columns)
+    # Sums of doubles depend on the order.
+    got, want = (sorted(map(str, df.withColumn("sum_cost", F.round("sum_cost", 6)).collect())) for df in (got, want))
+    assert got == want
+
+
 def test_closed_windows(spark, tmp_path):
     calls = events(spark, tmp_path)
     folder = event_files(tmp_path)
