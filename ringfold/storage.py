@@ -11,10 +11,12 @@ _own: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir; where that is unset a temporary one, on a local master alone."""
     global _own
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     _own = _own or tempfile.mkdtemp(prefix="ringfold-")
     return f"file://{_own}"
 
