@@ -2,34 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..storage import new_path, shared_dir
+
+__all__ = [
+    "WORD", "laid_out", "long_id", "lower_ascii", "new_path", "partition_of", "running_start", "shared_dir", "stored",
+    "text_slices",
+]
+
 #: A word is a run of anything but ASCII white space; the same class as bytes.split().
 WORD = r"[^\x20\x09-\x0D]+"
 _ROW_BITS = 33  # monotonically_increasing_id() keeps the partition above these bits
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    global _own_dir
-    if base := spark.conf.get("spark.checkpoint.dir", None):
-        return base.rstrip("/")
-    _own_dir = _own_dir or tempfile.mkdtemp(prefix="ringfold-")
-    return f"file://{_own_dir}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ringfold/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet into the shared folder and read it again."""
     path = new_path(df.sparkSession, name)
@@ -80,3 +70,15 @@ def long_id(df: DataFrame, name: str) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def text_slices(texts: list[str | None], least: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about least characters; a longer text is a run of its own."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= least:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

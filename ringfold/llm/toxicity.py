@@ -1,33 +1,32 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-The ordinary dictionary is trained on ordinary text. The toxic one is trained on what is typical of
-toxic text alone (words that begin as toxic documents' words significantly more often do) and holds the
-ordinary one as well, so both explain ordinary text equally and differ
-in length only where the toxic part helps. A window is one marked word between two copies of a carrier
-phrase that both dictionaries end with; its gain is the compressed length with the ordinary
-dictionary less that with the toxic one. As equal words have equal gains, gains are cached.
-
-Beginnings are counted by Spark over all training documents, by language where docs have a column lang,
-and tested against their language's share of toxic documents, so a small language's words are found as soon
-as they are significant. The words of a third of the documents are seen by a dictionary of the other two thirds
-when the curve is fitted; the dictionary in use has learned from all. As the test takes documents for independent,
-of near copies with the same label one is counted.
-
-A document's evidence is the sum over its distinct words of the log likelihood ratio of their gains;
-a logistic curve, fitted to training documents in that way, turns evidence
-and length into a score, and is shifted so that the best training threshold lies at cut.
-
-The curve and the ordinary dictionary take at most max_docs training documents of each class and max_words words
-of each; counts and scores take whole texts. Defined results: texts that are null, empty or white space have no words and
-score as such; without training documents of both classes every score is 0; an empty table gives no rows.
+Both dictionaries begin with the same ordinary text. Behind it the ordinary one has a dictionary trained
+on further ordinary text, the toxic one a dictionary trained on windows of toxic documents. A window is a
+run of `window` words of the text, each between two marks, so that whole words are long matches; what a
+window gains is its compressed length with the ordinary dictionary less that with the toxic one. Windows
+are compressed between two copies of a phrase that both dictionaries end with, since zstandard stores very
+short input as it is.
+
+Most windows of toxic documents are ordinary, so the toxic dictionary is trained in rounds. The first takes
+the windows that the ordinary dictionary compresses worst. In each round the documents are dealt to folds,
+a dictionary trained on the other folds compresses a fold's windows, and those go on whose gain hardly any
+(`share`) ordinary window reaches. No word is counted or listed: what is toxic is told by compressed lengths alone.
+
+A document's evidence is the sum over its distinct windows of the log likelihood ratio of their gains, where
+gains of no more than 0 say nothing. A logistic curve over evidence and length, fitted to documents that the
+dictionary in use had not seen, gives the score; it is shifted so that the best training threshold is at CUT.
+
+The fit takes at most max_docs documents of each class, and of those in a fixed pseudo-random order as many as
+have max_bytes of text in all; near copies among them are taken once. Scores take whole texts.
+
+Defined results: texts that are null, empty or white space have no windows and score as such; ids may be null
+or repeated; words of any length are compressed whole; without training documents of both classes every score
+is 0; an empty table gives no rows. Columns of any name pass through keep_clean untouched.
 """
 
 from __future__ import annotations
 
-import math
-import random
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -38,19 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import text_slices
 from .minhash import shingle_sets
 
 CUT = 0.7
 _CARRIER = b" of the and for with that this from "
-_STARTS = (3, 4, 5, 6, 7, 8)  # characters of a word that may be typical
-_LONGEST = 48  # characters of a whole word that are counted
-_FOLDS = 3
-_TESTABLE = 4  # in fewer documents no beginning is significant
-_LIFT = 10.0  # of the odds of being toxic
-_WORDS_EACH = 32  # of a typical beginning in the dictionary
-_GAINS = 8  # gains are counted from 0 to this
-_PIECE, _STEP = 48, 32  # a longer word is seen in overlapping pieces
+_LOW, _HIGH = -4, 8  # gains beyond count as these
+_CACHE_BYTES = 64 << 20  # of windows whose gains a task remembers
+_AT_ONCE = 50_000
+_FOLDS, _ROUNDS = 3, 6
+_BASE_BYTES, _TRAINED_BYTES = 256 << 10, 4096
+_SEGMENT, _MATCHED = 24, 6  # the trainer's segment and the runs that it counts
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,179 +59,141 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").split()
 
 
-def marked(word: bytes) -> bytes:
-    """A word with two bytes at either end that no text has, so that whole words are long matches."""
-    return b"\x01\x02" + word + b"\x03\x04"
+def windows_of(words: list[bytes], window: int) -> list[bytes]:
+    """Runs of window words, end to end, each word between two bytes that no text has."""
+    return [b"".join(b"\x01\x02" + w + b"\x03\x04" for w in words[i : i + window]) for i in range(0, len(words), window)]
 
 
 @dataclass(frozen=True)
 class Dictionaries:
-    """Raw contents; bounded by the sizes that they are trained to."""
+    """Raw contents: what both begin with, and what follows in each."""
 
+    base: bytes
     toxic: bytes
     ordinary: bytes
 
-    def gain(self, word: bytes) -> int:
-        toxic, ordinary = _compressors(self)
-        best = 0
-        for i in range(0, max(1, len(word) - _PIECE + _STEP), _STEP):
-            window = _CARRIER + marked(word[i : i + _PIECE]) + _CARRIER
-            best = max(best, len(ordinary.compress(window)) - len(toxic.compress(window)))
-        return min(best, _GAINS)
 
-
-@lru_cache(maxsize=4)
-def _compressors(of: Dictionaries) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     parameters = zstandard.ZstdCompressionParameters(
-        window_log=18, hash_log=17, chain_log=17, search_log=6, min_match=5, strategy=zstandard.STRATEGY_LAZY2,
+        window_log=20, hash_log=17, chain_log=18, search_log=5, min_match=3, strategy=zstandard.STRATEGY_BTOPT,
         write_checksum=False, write_content_size=False, write_dict_id=False,
     )
-    made = []
-    for content in (of.toxic, of.ordinary):
-        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        data.precompute_compress(compression_params=parameters)
-        made.append(zstandard.ZstdCompressor(compression_params=parameters, dict_data=data))
-    return made[0], made[1]
-
-
-class _Gains(dict):
-    def __init__(self, of: Dictionaries):
-        self.of = of
+    data = zstandard.ZstdCompressionDict(content + _CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(compression_params=parameters)
+    return zstandard.ZstdCompressor(compression_params=parameters, dict_data=data)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = gain = self.of.gain(word)
-        return gain
 
+@lru_cache(maxsize=1)
+def _compressors(of: Dictionaries) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+    return _compressor(of.base + of.toxic), _compressor(of.base + of.ordinary)
 
-@lru_cache(maxsize=2)
-def _gains(of: Dictionaries) -> _Gains:
-    return _Gains(of)
 
+def _lengths(compressor: zstandard.ZstdCompressor, windows: list[bytes]) -> np.ndarray:
+    """Compressed lengths of windows, each different one compressed once."""
+    lengths = dict.fromkeys(windows, 0)
+    different = list(lengths)
+    for at in range(0, len(different), _AT_ONCE):
+        some = different[at : at + _AT_ONCE]
+        framed = [_CARRIER + w + _CARRIER for w in some]
+        lengths.update(zip(some, map(len, compressor.multi_compress_to_buffer(framed, threads=1))))
+    return np.fromiter(map(lengths.__getitem__, windows), np.int64, len(windows))
 
-def gain_counts(of: Dictionaries, words: list[bytes]) -> np.ndarray:
-    """How many distinct words have each gain."""
-    gains = _gains(of)
-    if len(gains) > 1_000_000:
-        gains.clear()
-    found = np.fromiter(map(gains.__getitem__, set(words)), np.int64)
-    return np.bincount(found, minlength=_GAINS + 1)
 
+class Gains:
+    """Gains of windows; those met before are remembered up to a number of bytes. It belongs to one task."""
 
-def _content(size: int, samples: list[bytes], k: int) -> bytes:
-    """A trained dictionary's content without its entropy tables; few samples are taken as they are."""
+    def __init__(self, of: Dictionaries):
+        self.of, self.known, self.bytes = of, {}, 0
+
+    def counts(self, texts: list[list[bytes]]) -> np.ndarray:
+        """How many distinct windows of each text have each gain from _LOW to _HIGH."""
+        each = [set(x) for x in texts]
+        new = list(set().union(*each).difference(self.known)) if each else []
+        if new:
+            self.bytes += sum(map(len, new)) + 120 * len(new)
+            if self.bytes > _CACHE_BYTES:
+                self.known.clear()
+                new = list(set().union(*each))
+                self.bytes = sum(map(len, new)) + 120 * len(new)
+            toxic, ordinary = _compressors(self.of)
+            gained = np.clip(_lengths(ordinary, new) - _lengths(toxic, new), _LOW, _HIGH) - _LOW
+            self.known.update(zip(new, gained.tolist()))
+        found = np.zeros((len(texts), _HIGH - _LOW + 1), np.int64)
+        for i, windows in enumerate(each):
+            found[i] = np.bincount(np.fromiter(map(self.known.__getitem__, windows), np.int64, len(windows)), minlength=found.shape[1])
+        return found
+
+
+def _mixed(items: list) -> list:
+    """The same items in a fixed order that does not follow the documents'."""
+    return [items[i] for i in np.random.Generator(np.random.PCG64(7)).permutation(len(items))]
+
+
+def trained(windows: list[bytes], size: int = _TRAINED_BYTES) -> bytes:
+    """Content of a dictionary that zstandard trains on windows; too few of them are taken as they are."""
+    windows = _mixed(windows)
+    samples = [b"".join(windows[i : i + 8]) for i in range(0, len(windows), 8)]
     try:
-        return zstandard.train_dictionary(size, samples, k=k, d=6).as_bytes()[-(size - 260) :]
+        made = zstandard.train_dictionary(size, samples, k=_SEGMENT, d=_MATCHED).as_bytes()
+        return made[-(size - 300) :]  # without its entropy tables, which stand first
     except zstandard.ZstdError:
-        return b"".join(samples)[:size]
-
-
-def starts(word: bytes) -> set[str]:
-    text = word.decode("utf-8", "replace")
-    return {text[:_LONGEST]} | {text[:k] for k in _STARTS if len(text) > k}
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, start, whole, t0.., o0..): partial numbers of toxic and ordinary documents by fold; start null counts all."""
-    found: dict[tuple, list[int]] = {}
-
-    def out() -> pa.RecordBatch:
-        keys = list(found)
-        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string())]
-        columns += [pa.array(c, pa.int64()) for c in zip(*found.values())]
-        found.clear()
-        return pa.RecordBatch.from_arrays(columns, ["lang", "start", "whole", *_COUNTS])
-
-    for batch in batches:
-        for lang, fold, toxic, text in zip(*(c.to_pylist() for c in batch.columns)):
-            at = 1 + fold + (0 if toxic else _FOLDS)
-            words = set(words_of(text))
-            whole = {w.decode("utf-8", "replace")[:_LONGEST] for w in words}
-            for s in {s for w in words for s in starts(w)} | {None}:
-                row = found.setdefault((lang, s), [0] * (1 + 2 * _FOLDS))
-                row[at] += 1
-                row[0] |= s in whole
-            if len(found) > 500_000:
-                yield out()
-    if found:
-        yield out()
-
-
-_COUNTS = tuple(f"{kind}{k}" for kind in "to" for k in range(_FOLDS))
-
-
-def typical(rows: list[tuple], totals: dict, tested: int, skip: int | None = None) -> dict[str, float]:
-    """The typical beginnings among rows (lang, start, counts) and their surprise, without the documents of fold skip.
-
-    One is typical if, in a language or over all, the toxic documents among those that have it
-    exceed what their languages' shares of toxic documents let expect: by _LIFT in odds, and with a
-    probability (Chernoff's bound) of at most 1 / tested.
-    """
-
-    def split(counts) -> tuple[int, int]:
-        toxic, ordinary = counts[:_FOLDS], counts[_FOLDS:]
-        return tuple(sum(c for k, c in enumerate(x) if k != skip) for x in (toxic, ordinary))
-
-    rates = {lang: (t + 0.5) / (t + o + 1) for lang, (t, o) in ((k, split(v)) for k, v in totals.items())}
-    parts: dict[str, list] = {}
-    for lang, start, *counts in rows:
-        t, o = split(counts)
-        parts.setdefault(start, []).append((t, o, (t + o) * rates[lang]))
-    found = {}
-    for start, each in parts.items():
-        for t, o, expected in {tuple(map(sum, zip(*each))), *each}:
-            if t + o >= _TESTABLE and (t + 0.5) * (t + o - expected) > _LIFT * (o + 0.5) * expected:
-                surprise = t * math.log(t / expected) + (o * math.log(o / (t + o - expected)) if o else 0.0)
-                if surprise >= math.log(max(tested, 2)):
-                    found[start] = max(found.get(start, 0.0), surprise)
-    return found
-
-
-def train_dictionaries(
-    beginnings: dict[str, float], words: list[tuple[str, int]], base: bytes, toxic_bytes: int = 2048
-) -> Dictionaries:
-    """Dictionaries that share base, from typical beginnings and words with their numbers of toxic documents."""
-    led: dict[str, list[tuple[str, int]]] = {}
-    for w, n in sorted(words, key=lambda x: (-x[1], x[0])):
-        if of := [s for s in starts(w.encode("utf-8", "replace")) if s in beginnings]:
-            led.setdefault(min(of, key=len), []).append((w, n))
-    common = {w: n for of in led.values() for w, n in of}
-    draw = random.Random(7)
-    samples = [marked(w.encode("utf-8", "replace")) for w, n in sorted(common.items()) for _ in range(min(n, 100))]
-    draw.shuffle(samples)
-    runs = [b"".join(samples[i : i + 16]) for i in range(0, len(samples), 16)]
-    own = _content(toxic_bytes, runs, 24) if runs else b""
-    # Training takes what is frequent; what it cut up or left out follows, the most surprising last.
-    for start in sorted(led, key=lambda s: (beginnings[s], s)):
-        each = [marked(w.encode("utf-8", "replace")) for w, _ in led[start][:_WORDS_EACH]]
-        own += b"".join(w for w in each if w not in own)
-    return Dictionaries(base + own + _CARRIER, base + _CARRIER)
-
-
-def ordinary_content(documents: list[list[bytes]], size: int = 64 << 10) -> bytes:
-    plain = [b"".join(map(marked, w[i : i + 16])) for w in documents for i in range(0, len(w), 16)]
-    random.Random(7).shuffle(plain)
-    return _content(size, plain[:40_000], 40)
+        return b"".join(samples)[: size - 300]
+
+
+def toxic_windows(
+    toxic: list[list[bytes]], ordinary: list[bytes], base: bytes, plain: bytes, share: float, rounds: int = _ROUNDS
+) -> tuple[list[bytes], list[Dictionaries]]:
+    """Windows of toxic documents that are toxic by their gains, and for each fold dictionaries that have not seen it."""
+    folds = [[w for d in toxic[k::_FOLDS] for w in d] for k in range(_FOLDS)]
+    without = _compressor(base + plain)
+    of_ordinary = _lengths(without, ordinary)
+    lengths = [_lengths(without, f) for f in folds]
+    worst = np.quantile(of_ordinary, 0.75) if len(of_ordinary) else 0
+    kept = [[w for w, n in zip(f, ls) if n >= worst] for f, ls in zip(folds, lengths)]
+    unseen: list[Dictionaries] = []
+    for _ in range(rounds):
+        unseen = [
+            Dictionaries(base, trained([w for j, ws in enumerate(kept) if j != k for w in ws]), plain) for k in range(_FOLDS)
+        ]
+        made = [_compressor(base + d.toxic) for d in unseen]
+        gains = [n - _lengths(c, f) for c, f, n in zip(made, folds, lengths)]
+        usual = np.concatenate([of_ordinary - _lengths(c, ordinary) for c in made])
+        least = next((g for g in range(1, _HIGH) if (usual >= g).mean() <= share), _HIGH)
+        following = [[w for w, g in zip(f, gs) if g >= least] for f, gs in zip(folds, gains)]
+        if not any(following):
+            break
+        kept = following
+    return [w for ws in kept for w in ws], unseen
 
 
 @dataclass(frozen=True)
 class Model:
     dictionaries: Dictionaries | None
+    window: int = 1
     ratios: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
     bias: float = 0.0
 
     def features(self, counts: np.ndarray) -> np.ndarray:
         """Evidence, its density and length, from rows of gain counts."""
-        counts = np.atleast_2d(counts)
         evidence = counts @ np.array(self.ratios)
         n = counts.sum(axis=1)
         return np.column_stack([np.clip(evidence, -30, 30) / 10, evidence / np.sqrt(n + 5), np.log1p(n) / 10])
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scorer(self) -> Callable[[list[str | None]], np.ndarray]:
+        """A function of texts, which remembers windows as long as it lives."""
         if self.dictionaries is None:
-            return np.zeros(len(texts))
-        counts = np.array([gain_counts(self.dictionaries, words_of(t)) for t in texts]).reshape(-1, _GAINS + 1)
-        return _sigmoid(self.features(counts) @ np.array(self.weights) + self.bias)
+            return lambda texts: np.zeros(len(texts))
+        gains, weights = Gains(self.dictionaries), np.array(self.weights)
+
+        def scores(texts: list[str | None]) -> np.ndarray:
+            found = [np.zeros(0)]
+            for a, b in text_slices(texts):
+                counts = gains.counts([windows_of(words_of(t), self.window) for t in texts[a:b]])
+                found.append(_sigmoid(self.features(counts) @ weights + self.bias))
+            return np.concatenate(found)
+
+        return scores
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -257,149 +216,92 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(
-    documents: list[tuple[list[bytes], int, int]], rows: list[tuple], words: list[tuple[str, int]], totals: dict, tested: int
-) -> Model:
-    """A model from (words, label, fold) of training documents in any fixed order, and the counts of all of them."""
-    by_class = [[(w, fold) for w, label, fold in documents if label == k] for k in (0, 1)]
-    if not all(by_class):
+def _originals(documents: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Without those that share more than a fifth of their shingles with what stands before them."""
+    seen: set[int] = set()
+    kept = []
+    for text, label in documents:
+        shingles = set(shingle_sets([text])[0].tolist())
+        if not shingles or len(shingles & seen) <= len(shingles) / 5:
+            kept.append((text, label))
+        seen |= shingles
+    return kept
+
+
+def fit(documents: list[tuple[str, int]], totals: tuple[int, int], window: int = 1, share: float = 0.002) -> Model:
+    """A model from (text, label) in any fixed order, and how many training documents of label 0 and 1 there are."""
+    each = [(windows_of(words_of(t), window), label) for t, label in _originals(documents)]
+    ordinary, toxic = ([w for w, label in each if label == k and w] for k in (0, 1))
+    if not ordinary or not toxic:
         return Model(None)
-    learned = max(1, 2 * len(by_class[0]) // 3)
-    base = ordinary_content([w for w, _ in by_class[0][:learned]])
-    test = [by_class[0][learned:] if len(by_class[0]) - learned >= 20 else by_class[0], by_class[1]]
-    unseen = [train_dictionaries(typical(rows, totals, tested, k), words, base) for k in range(_FOLDS)]
-    counts = [np.array([gain_counts(unseen[fold], w) for w, fold in c]) for c in test]
-    rates = [(c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * (_GAINS + 1)) for c in counts]
-    dictionaries = train_dictionaries(typical(rows, totals, tested), words, base)
-    model = Model(dictionaries, tuple(np.log(rates[1] / rates[0]).tolist()))
+    # Half of the ordinary documents are the base, a sixth trains, and a third tells how ordinary windows do.
+    half, third = -(-len(ordinary) // 2), max(1, len(ordinary) // 3)
+    base = b"".join(w for d in ordinary[:half] for w in d)[:_BASE_BYTES]
+    plain = trained([w for d in ordinary[half:-third] or ordinary for w in d])
+    tested = ordinary[-third:]
+    kept, unseen = toxic_windows(toxic, [w for d in tested for w in d], base, plain, share)
+    dictionaries = Dictionaries(base, trained(kept), plain)
+    counts = [np.concatenate([Gains(d).counts(tested) for d in unseen])]
+    counts.append(np.concatenate([Gains(d).counts(toxic[k::_FOLDS]) for k, d in enumerate(unseen)]))
+    rates = [(c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * c.shape[1]) for c in counts]
+    ratios = np.log(rates[1] / rates[0])
+    ratios[: 1 - _LOW] = 0.0
+    model = Model(dictionaries, window, tuple(ratios.tolist()))
     x = model.features(np.concatenate(counts))
     y = np.repeat([0.0, 1.0], [len(c) for c in counts])
     *weights, bias = _logistic(x, y).tolist()
     logits = x @ np.array(weights) + bias
     order = np.argsort(-logits, kind="stable")
     # The sample's documents stand for all: each class weighs what it has.
-    all_of = [sum(sum(v[_FOLDS:]) for v in totals.values()), sum(sum(v[:_FOLDS]) for v in totals.values())]
-    each = np.repeat([all_of[k] / len(test[k]) for k in (0, 1)], [len(c) for c in counts])
-    hits = np.cumsum((y * each)[order])
-    f1 = 2 * hits / (np.cumsum(each[order]) + all_of[1])
+    weight = np.repeat([n / len(c) for n, c in zip(totals, counts)], [len(c) for c in counts])
+    hits = np.cumsum((y * weight)[order])
+    f1 = 2 * hits / (np.cumsum(weight[order]) + totals[1])
     best = int(f1.argmax())
     below = logits[order[best + 1]] if best + 1 < len(y) else logits[order[best]] - 1
     threshold = (logits[order[best]] + below) / 2
-    return Model(dictionaries, model.ratios, tuple(weights), float(bias - threshold + np.log(CUT / (1 - CUT))))
-
-
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, toxic, band): hashes of three minima each, of which near copies share one and others hardly do."""
-    for batch in batches:
-        ids, toxic, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-        bands = np.zeros((len(texts), len(_ODDS)), np.uint64)
-        for i, found in enumerate(shingle_sets(texts)):
-            if len(found):
-                bands[i] = [(found * m).min() for m in _ODDS]
-        with np.errstate(over="ignore"):
-            folded = bands.reshape(len(texts), -1, 3) * _ODDS[:3]
-        folded = (folded ^ folded >> np.uint64(31)).sum(axis=2, dtype=np.uint64) + np.arange(len(_ODDS) // 3, dtype=np.uint64)
-        n = folded.shape[1]
-        at = pa.array(np.repeat(np.arange(len(texts)), n))
-        yield pa.RecordBatch.from_arrays([ids.take(at), toxic.take(at), pa.array(folded.ravel().view(np.int64))], ["doc_id", "toxic", "band"])
-
-
-_ODDS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 24, np.uint64) << np.uint64(1) | np.uint64(1)
-
-
-def _originals(texts: DataFrame) -> DataFrame:
-    """(doc_id, toxic) of texts (doc_id, lang, text, toxic) without near copies of documents of the same label."""
-    ids = texts.schema["doc_id"].dataType.simpleString()
-    label = texts.schema["toxic"].dataType.simpleString()
-    bands = texts.select("doc_id", "toxic", "text").mapInArrow(_bands, f"doc_id {ids}, toxic {label}, band long")
-    bands = stored(bands, "bands")
-    first = bands.groupBy("toxic", "band").agg(F.min("doc_id").alias("first"))
-    copies = bands.join(first, ["toxic", "band"]).where("doc_id != first").select("doc_id", "toxic").distinct()
-    return bands.select("doc_id", "toxic").distinct().join(copies, ["doc_id", "toxic"], "left_anti")
-
-
-def fold_of(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id, F.lit("fold")), F.lit(_FOLDS)).cast("int")
-
-
-def _surprise(t: Column, o: Column, expected: Column) -> Column:
-    rest = F.when(o > 0, o * F.log(o / (t + o - expected))).otherwise(0.0)
-    return F.when(t > expected, t * F.log(t / expected) + rest).otherwise(0.0)
+    return Model(dictionaries, window, model.ratios, tuple(weights), float(bias - threshold + np.log(CUT / (1 - CUT))))
+
+
+def training_sample(docs: DataFrame, known: DataFrame, max_docs: int, max_bytes: int) -> list[tuple[str, int]]:
+    """(text, label) of at most max_docs rows of each class, and of those as many as have max_bytes in all."""
+    texts = docs.select(docs["doc_id"], F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    sample = []
+    for label in (0, 1):
+        ids = known.where(F.col("toxic") == label).select("doc_id", F.xxhash64("doc_id").alias("at"))
+        chosen = ids.orderBy("at", "doc_id").limit(max_docs)
+        rows = (
+            texts.join(F.broadcast(chosen), "doc_id")  # max_docs ids at most
+            .select("at", "doc_id", "text")
+            .orderBy("at", "doc_id", F.xxhash64("text"))
+            .limit(max_docs)
+        )
+        before = F.sum(F.octet_length("text")).over(Window.orderBy("at", "doc_id", F.xxhash64("text")))
+        found = rows.select("at", "doc_id", "text", before.alias("upto")).where(F.col("upto") <= max_bytes).collect()
+        sample += [(r["at"], str(r["doc_id"]), r["text"], label) for r in found]
+    return [(text, label) for _, _, text, label in sorted(sample)]
 
 
-def _beginnings(docs: DataFrame, known: DataFrame) -> tuple[list[tuple], list[tuple[str, int]], dict, int]:
-    """What fit() takes of the counts over all training documents; only surprising beginnings reach the driver."""
-    lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(docs["doc_id"], lang.alias("lang"), docs["text"].cast("string").alias("text")).join(known, "doc_id")
-    texts = texts.join(stored(_originals(texts), "originals"), ["doc_id", "toxic"])
-    partial = texts.select("lang", fold_of(F.col("doc_id")).alias("fold"), "toxic", "text").mapInArrow(
-        _count, "lang string, start string, whole long, " + ", ".join(f"{c} long" for c in _COUNTS)
-    )
-    counts = stored(
-        partial.groupBy("lang", "start").agg(F.max("whole").alias("whole"), *(F.sum(c).alias(c) for c in _COUNTS)), "beginnings"
-    )
-    totals = {r["lang"]: tuple(r[c] for c in _COUNTS) for r in counts.where("start is null").collect()}
-    t, o = (sum((F.col(f"{kind}{k}") for k in range(1, _FOLDS)), F.col(f"{kind}0")) for kind in "to")
-    rate = F.lit(0.5)
-    for name, of in totals.items():
-        share = (sum(of[:_FOLDS]) + 0.5) / (sum(of) + 1)
-        rate = F.when(F.col("lang").eqNullSafe(F.lit(name)), F.lit(share)).otherwise(rate)
-    own = counts.where("start is not null").select("*", t.alias("t"), o.alias("o"), ((t + o) * rate).alias("expected"))
-    over = own.groupBy("start").agg(
-        F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("expected").alias("expected"),
-        F.max(_surprise(F.col("t"), F.col("o"), F.col("expected"))).alias("most"),
-    )
-    over = over.where(f"t + o >= {_TESTABLE}")
-    tested = over.count()
-    # Wider than the test, as that is also made on two thirds of the documents.
-    least = max(0.0, math.log(max(tested, 2)) - math.log(1000))
-    wide = over.where(F.greatest("most", _surprise(F.col("t"), F.col("o"), F.col("expected"))) >= least).select("start")
-    rows = own.join(wide, "start", "left_semi").select("lang", "start", *_COUNTS).collect()
-    rows = sorted((tuple(r) for r in rows), key=str)
-    chosen = set().union(*(typical(rows, totals, tested, k) for k in (None, *range(_FOLDS))))
-    if not chosen:
-        return rows, [], totals, tested
-    led = docs.sparkSession.createDataFrame([(s,) for s in sorted(chosen)], "led string")
-    heads = F.array(F.col("start"), *(F.substring("start", 1, k) for k in _STARTS))
-    each = (
-        own.where("whole = 1 and t > 0")
-        .select("start", "t", F.explode(F.array_distinct(heads)).alias("led"))
-        .join(F.broadcast(led), "led")  # as many as the test has passed
-        .groupBy("led", "start")
-        .agg(F.sum("t").alias("t"))
-        .withColumn("k", F.row_number().over(Window.partitionBy("led").orderBy(F.desc("t"), "start")))
-        .where(F.col("k") <= 2 * _WORDS_EACH)
+def train(
+    docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_bytes: int = 64 << 20, window: int = 1, share: float = 0.002
+) -> Model:
+    """Fit to a bounded sample of the labelled documents that are not held out."""
+    known = (
+        labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
+        .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+        .distinct()
     )
-    words = each.select("start", "t").distinct().collect()
-    return rows, sorted((r["start"], r["t"]) for r in words), totals, tested
-
-
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_words: int = 5000) -> Model:
-    """Count over all labelled documents that are not held out, and fit to a bounded sample of them."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_docs)
-    rows = (
-        docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
-        .join(F.broadcast(chosen), "doc_id")  # max_docs ids of each class at most
-        .select(
-            "k", "toxic", fold_of(F.col("doc_id")).alias("fold"),
-            F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, max_words), " ").alias("text"),
-        )
-        .collect()
-    )
-    if len({r["toxic"] for r in rows}) < 2:
+    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if len(totals) < 2:
         return Model(None)
-    rows.sort(key=lambda r: (r["k"], r["toxic"], r["text"]))
-    shared: dict[bytes, bytes] = {}  # equal words are one object
-    sample = [([shared.setdefault(w, w) for w in words_of(r["text"])], r["toxic"], r["fold"]) for r in rows]
-    return fit(sample, *_beginnings(docs, known))
+    return fit(training_sample(docs, known, max_docs, max_bytes), (totals[0], totals[1]), window, share)
 
 
 def score(text: Column, model: Model) -> Column:
     @F.arrow_udf("double")
-    def scores(texts: pa.Array) -> pa.Array:
-        return pa.array(model.scores(texts.to_pylist()), pa.float64())
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = model.scorer()
+        for texts in batches:
+            yield pa.array(of(texts.to_pylist()), pa.float64())
 
     return scores(text.cast("string"))
 
