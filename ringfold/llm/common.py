@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,14 @@ from pyspark.sql.window import Window
 from ..storage import new_path, shared_dir
 
 __all__ = [
-    "WORD", "laid_out", "long_id", "lower_ascii", "new_path", "partition_of", "running_start", "shared_dir", "stored",
-    "text_slices",
+    "WORD", "laid_out", "long_id", "lower_ascii", "new_path", "of_worker", "partition_of", "running_start", "shared_dir",
+    "stored", "text_slices",
 ]
 
 #: A word is a run of anything but ASCII white space; the same class as bytes.split().
 WORD = r"[^\x20\x09-\x0D]+"
+_T = TypeVar("_T")
+_kept: dict[Hashable, object] = {}
 _ROW_BITS = 33  # monotonically_increasing_id() keeps the partition above these bits
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -82,3 +85,14 @@ def text_slices(texts: list[str | None], least: int = 2 << 20) -> Iterator[tuple
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def of_worker(key: Hashable, make: Callable[[], _T]) -> _T:
+    """What make() gives, kept in a Python worker until something else is asked for.
+
+    So the tasks of a stage share a cache, and the caches of stages in a row do not add up.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]

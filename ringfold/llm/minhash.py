@@ -6,23 +6,26 @@ permutations: a document's own minimum and maximum under one permutation exclude
 small sets and so never share a band. At a similarity of 0.75 a pair misses all bands with a
 probability of 4e-6. Six values also keep apart documents that merely share a common passage.
 
-Pairs that share a band are compared first by four bits of each of 128 signature values. At 0.75
-some 98 agree, with a deviation of 4.8, and pairs with fewer than AGREEING are dropped; that loses
-one similar pair in 3e8. The rest is confirmed on full sets.
-
-Documents with equal shingle sets are one class, represented by its smallest doc_id; only
-representatives are banded. In a bucket of a band no pairs are listed: all members are compared with one hub, then
-those buckets whose other members still lie in several components go on with 16, 256 ... hubs,
-until none is left. So a large group of copies costs one comparison each, and no link between
-representatives of different components is lost.
-
-Defined results: texts that are null, empty or white space have an empty set and stay alone; fewer
-words than a shingle count as one shingle; rows with the same doc_id are judged each by its own
-text; rows with a null doc_id never represent a class that has another id. Sets hold 64-bit hashes.
+Pairs that share a band are compared in the join itself, before any set moves. Each document carries its
+shingles' bitmap: as equal shingles set equal bits, two bitmaps differ in no more bits than the sets in
+shingles, so this filter loses nothing; it is sharp for sets of some hundred shingles. Larger ones are told
+apart by four bits of each of 128 signature values. At 0.75 some 98 agree, with a deviation of 4.8, and pairs
+with fewer than AGREEING are dropped; that loses one similar pair in 3e8. The rest is confirmed on full sets.
+
+Documents with equal shingle sets are one class, known by a number of its own; only classes are banded. In a
+bucket of a band no pairs are listed: all members are compared with one hub, then those buckets whose other
+members still lie in several components go on with 16, 256 ... hubs, until none is left. So a large group of
+copies costs one comparison each, and no link between classes of different components is lost.
+
+Defined results: texts that are null, empty or white space have an empty set and stay alone; fewer words than
+a shingle count as one shingle; rows with the same doc_id are judged each by its own text; rows with a null
+doc_id link as others do, and a component's id is the smallest doc_id in it that is not null (null without
+any). Sets hold 64-bit hashes. Words of a long text are hashed piece by piece.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,25 +35,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import of_worker, stored, text_slices
 from .components import connected_components
 
 WORDS, PERMUTATIONS, ROWS = 5, 192, 6
 AGREEING, _DIGITS = 70, 128
-_SLICE_BYTES = 2 << 20  # of text that is hashed at once
+_BITS = 10  # of a shingle's hash, by which it sets one of 1024 bits
+_PIECE_BYTES = 4 << 20  # of a text whose words are held at once
+_CACHED_WORDS, _CACHED_LENGTH = 300_000, 64
+_SPACE = re.compile(rb"[ \t-\r]")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _MULTIPLY = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) << np.uint64(1) | np.uint64(1)
 _XOR = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
 
 
-class _WordHashes(dict):
+class WordHashes(dict):
+    """Hashes of words; it forgets all when it has grown to some 60 MB."""
+
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= _CACHED_LENGTH:
+            if len(self) >= _CACHED_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
-
-_words = _WordHashes()
+    def of(self, text: str | None) -> np.ndarray:
+        """The hashes of a text's words, with A-Z lower-cased."""
+        data = (text or "").encode("utf-8", "replace").lower()
+        parts, start = [], 0
+        while len(data) - start > _PIECE_BYTES and (cut := _SPACE.search(data, start + _PIECE_BYTES)):
+            parts.append(data[start : cut.start()])
+            start = cut.end()
+        parts.append(data[start:] if start else data)
+        found = []
+        for part in parts:
+            words = part.split()
+            found.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
+        return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def _fold(h: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -58,13 +81,12 @@ def _fold(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_sets(texts: list[str | None], width: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int = WORDS, words: WordHashes | None = None) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes of its shingles."""
-    if len(_words) > 1_000_000:
-        _words.clear()
-    split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+    words = WordHashes() if words is None else words
+    split = [words.of(t) for t in texts]
     counts = np.array([len(s) for s in split], np.int64)
-    flat = np.fromiter((h for s in split for h in map(_words.__getitem__, s)), np.uint64, int(counts.sum()))
+    flat = np.concatenate([np.zeros(0, np.uint64), *split])
     ends = np.cumsum(counts)
     starts = ends - counts
     whole = np.zeros(len(texts), np.uint64)  # of texts shorter than a shingle
@@ -101,6 +123,20 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return h.view(np.int64), packed.view(np.int64)
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the bits that its shingles set, as a row of longs."""
+    bits = np.zeros((len(sets), 1 << _BITS), bool)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits[row, np.concatenate(sets) >> np.uint64(64 - _BITS)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def differing(a: str, b: str) -> Column:
+    """In how many bits two bitmaps differ; their sets differ in as many shingles at least."""
+    steps = [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range((1 << _BITS) // 64)]
+    return sum(steps[1:], steps[0])
+
+
 def agreeing(a: str, b: str) -> Column:
     """How many of the digits packed in two arrays of longs are the same."""
     differing = F.lit(0)
@@ -112,56 +148,51 @@ def agreeing(a: str, b: str) -> Column:
     return F.lit(_DIGITS) - differing
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= _SLICE_BYTES:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _lists(values: np.ndarray, lens: list[int] | np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens)), pa.int32()), pa.array(values, pa.int64()))
 
 
+_SKETCH_SQL = (
+    "doc_id long, text_key long, row_key long, n_shingles long, set_key binary, "
+    "bands array<long>, digits array<long>, bits array<long>"
+)
+
+
+def _key(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [part.split(" ")[0] for part in _SKETCH_SQL.split(", ")]
+    words = of_worker("words", WordHashes)
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in _slices(texts):
-            sets = shingle_sets(texts[a:b])
+        texts = batch.column(3).to_pylist()
+        for a, b in text_slices(texts):
+            sets = shingle_sets(texts[a:b], words=words)
             sizes = np.array([len(s) for s in sets])
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             full = [s for s in sets if len(s)]
-            bands, digits = signatures(full) if full else (np.zeros((0, 1), np.int64),) * 2
-            some = sizes > 0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids[a:b],
-                    pa.array(sizes, pa.int64()),
-                    pa.array(keys, pa.binary()),
-                    _lists(bands.ravel(), some * bands.shape[1]),
-                    _lists(digits.ravel(), some * digits.shape[1]),
-                ],
-                ["doc_id", "n_shingles", "set_key", "bands", "digits"],
-            )
+            bands, digits, bits = (*signatures(full), bitmaps(full)) if full else (np.zeros((0, 1), np.int64),) * 3
+            lists = [_lists(x.ravel(), (sizes > 0) * x.shape[1]) for x in (bands, digits, bits)]
+            keys = pa.array([_key(s) for s in sets], pa.binary())
+            own = [batch.column(k).slice(a, b - a) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), keys, *lists], names)
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = of_worker("words", WordHashes)
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in _slices(texts):
-            sets = shingle_sets(texts[a:b])
+        texts = batch.column(0).to_pylist()
+        for a, b in text_slices(texts):
+            sets = shingle_sets(texts[a:b], words=words)
             values = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids[a:b], _lists(values, [len(s) for s in sets])], ["rep", "set"])
+            keys = pa.array([_key(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, _lists(values, [len(s) for s in sets])], ["set_key", "set"])
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (x, hub, n_x, n_hub) that are similar enough, by their full sets."""
-    one = pairs.join(sets.select(F.col("rep").alias("x"), F.col("set").alias("set_x")), "x")
-    both = one.join(sets.select(F.col("rep").alias("hub"), F.col("set").alias("set_hub")), "hub")
+    one = pairs.join(sets.select(F.col("class").alias("x"), F.col("set").alias("set_x")), "x")
+    both = one.join(sets.select(F.col("class").alias("hub"), F.col("set").alias("set_hub")), "hub")
     shared = F.size(F.array_intersect("set_x", "set_hub"))
     return (
         both.select("x", "hub", "n_x", "n_hub", shared.alias("n"))
@@ -170,95 +201,129 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
+def class_links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
+    """(node, component) of the classes that are linked with another; None if none is.
 
-    Documents are linked from a similarity of percent / 100 up; component_id is the smallest doc_id
-    that links reach.
+    classes: class, set_key, row_key, n, bands, digits, bits; texts: row_key, text.
     """
-    docs = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    sketch = stored(
-        docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>, digits array<long>"),
-        "sketch",
-    )
-    classes = stored(
-        sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes"
-    )
-    # The rep belongs to the join's keys: a large class is spread over many tasks.
-    reps = sketch.withColumnRenamed("doc_id", "rep").join(classes, ["set_key", "rep"], "left_semi")
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("size")).where("a < b")
-    members = stored(banded.join(shared.select("band", "size"), "band").distinct(), "members")
+    banded = classes.select("class", F.explode(F.array_distinct("bands")).alias("band"))
+    shared = banded.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("size")).where("a < b")
+    members = stored(banded.join(shared.select("band", "size"), "band"), "members")
     # Hubs are those who share bands with most: in a group of edited copies that is the original.
-    known = members.groupBy("rep").agg(F.sum("size").alias("met"))
-    known = known.join(reps.select("rep", F.col("n_shingles").alias("n"), "digits").dropDuplicates(["rep"]), "rep")
-    waiting = stored(members.select("band", "rep").join(known, "rep"), "buckets")
-
-    sets = stored(
-        docs.join(waiting.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
-            _full_sets, "rep long, set array<long>"
-        ),
-        "sets",
-    )
-    open_ = waiting.withColumn("comp", F.col("rep"))
+    known = members.groupBy("class").agg(F.sum("size").alias("met"))
+    known = known.join(classes.select("class", "n", "digits", "bits"), "class")
+    open_ = stored(members.select("band", "class").join(known, "class").withColumn("comp", F.col("class")), "buckets")
+
+    waiting = classes.join(open_.select("class").distinct(), "class", "left_semi").select("class", "set_key", "row_key")
+    found = texts.join(waiting.select("row_key"), "row_key", "left_semi").select("text")
+    # A row's key is 64 bits, so the set's own key has the last word; equal rows give their set once.
+    sets = found.mapInArrow(_full_sets, "set_key binary, set array<long>").join(waiting, "set_key").select("class", "set")
+    sets = stored(sets.dropDuplicates(["class"]), "sets")
     links = labels = None
-    hubs_each, carried = 1, ["n", "comp", "digits"]
+    hubs_each, carried = 1, ["n", "comp", "digits", "bits"]
     # Several hubs may meet a document in several buckets; then the first band of the pair counts.
     first_shared = F.get(F.array_intersect("bands", "bands_hub"), 0) == F.col("band")
     while not open_.isEmpty():
-        ordered = Window.partitionBy("band").orderBy(F.desc("met"), "rep")
-        hubs = (
-            open_.withColumn("k", F.row_number().over(ordered))
-            .where(F.col("k") <= hubs_each)
-            .select("band", F.col("rep").alias("hub"), *(F.col(c).alias(f"{c}_hub") for c in carried))
-        )
+        fields = [F.col("class").alias("hub"), *(F.col(c).alias(f"{c}_hub") for c in carried)]
+        if hubs_each == 1:  # an aggregate, so that a bucket's members need not meet
+            first = F.max_by(F.struct(*fields), F.struct("met", -F.col("class"))).alias("h")
+            hubs = open_.groupBy("band").agg(first).select("band", "h.*")
+        else:
+            ordered = Window.partitionBy("band").orderBy(F.desc("met"), "class")
+            hubs = open_.withColumn("k", F.row_number().over(ordered)).where(F.col("k") <= hubs_each).select("band", *fields)
         pairs = (
             open_.join(hubs, "band")
-            .where("rep != hub and comp != comp_hub")
+            .where("class != hub and comp != comp_hub")
             .where(F.lit(100) * F.least("n", "n_hub") >= F.lit(percent) * F.greatest("n", "n_hub"))
+            .where(F.lit(100 + percent) * differing("bits", "bits_hub") <= F.lit(100 - percent) * (F.col("n") + F.col("n_hub")))
             .where(agreeing("digits", "digits_hub") >= AGREEING)
             .where(F.lit(True) if hubs_each == 1 else first_shared)
             .select(
-                F.greatest("rep", "hub").alias("x"),
-                F.least("rep", "hub").alias("hub"),
-                F.when(F.col("rep") > F.col("hub"), F.col("n")).otherwise(F.col("n_hub")).alias("n_x"),
-                F.when(F.col("rep") > F.col("hub"), F.col("n_hub")).otherwise(F.col("n")).alias("n_hub"),
+                F.greatest("class", "hub").alias("x"),
+                F.least("class", "hub").alias("hub"),
+                F.when(F.col("class") > F.col("hub"), F.col("n")).otherwise(F.col("n_hub")).alias("n_x"),
+                F.when(F.col("class") > F.col("hub"), F.col("n_hub")).otherwise(F.col("n")).alias("n_hub"),
             )
             .distinct()
         )
-        found = stored(_links(pairs, sets, percent), "links")
-        rest = open_.join(hubs.select("band", F.col("hub").alias("rep")), ["band", "rep"], "left_anti")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
+        new = stored(_links(pairs, sets, percent), "links")
+        rest = open_.join(hubs.select("band", F.col("hub").alias("class")), ["band", "class"], "left_anti")
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
             labels = connected_components(links, "x", "hub")
-            rest = rest.join(labels, F.col("rep") == F.col("node"), "left").select(
-                *(F.coalesce("component", "rep").alias(c) if c == "comp" else c for c in open_.columns)
+            rest = rest.join(labels, F.col("class") == F.col("node"), "left").select(
+                *(F.coalesce("component", "class").alias(c) if c == "comp" else c for c in open_.columns)
             )
         mixed = rest.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
         rest = rest.join(mixed.select("band"), "band", "left_semi")
         if hubs_each == 1:
-            rest = rest.join(reps.select("rep", "bands").dropDuplicates(["rep"]), "rep")
+            rest = rest.join(classes.select("class", "bands"), "class")
             carried.append("bands")
         open_ = stored(rest, "buckets")
         hubs_each *= 16
+    return labels
 
-    named = classes
+
+def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, text_key, n_shingles, group, component_id) of each row of docs; group is null for empty sets."""
+    rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string").alias("text")).select(
+        "doc_id", F.xxhash64("text").alias("text_key"), F.xxhash64("doc_id", "text").alias("row_key"), "text"
+    )
+    sketch = stored(rows.mapInArrow(_sketch, _SKETCH_SQL), "sketch")
+    one = F.min_by(F.struct("row_key", F.col("n_shingles").alias("n"), "bands", "digits", "bits"), "row_key").alias("one")
+    classes = stored(
+        sketch.where("n_shingles > 0")
+        .groupBy("set_key")
+        .agg(F.min("doc_id").alias("least"), one)
+        .select("set_key", "least", "one.*", F.monotonically_increasing_id().alias("class")),
+        "classes",
+    )
+    labels = class_links(classes, rows.select("row_key", "text"), percent)
+    named = classes.select("set_key", "least", F.col("class").alias("group"))
     if labels is not None:
-        named = classes.join(labels, F.col("rep") == F.col("node"), "left").select(
-            "set_key", F.coalesce("component", "rep").alias("rep")
+        named = named.join(labels, F.col("group") == F.col("node"), "left").select(
+            "set_key", "least", F.coalesce("component", "group").alias("group")
         )
+        smallest = named.groupBy("group").agg(F.min("least").alias("component_id"))
+        named = named.join(smallest, "group").select("set_key", "group", "component_id")
+    else:
+        named = named.withColumnRenamed("least", "component_id")
     return (
-        sketch.select("doc_id", "n_shingles", "set_key")
+        sketch.select("doc_id", "text_key", "n_shingles", "set_key")
         .join(named, "set_key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select(
+            "doc_id", "text_key", "n_shingles", "group",
+            F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        )
+    )
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
+
+    Documents are linked from a similarity of percent / 100 up; component_id is the smallest doc_id
+    that links reach.
+    """
+    return grouped(docs, percent).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs that represent their group, with their own columns; equal rows count once."""
-    found = stored(near_duplicates(docs, percent), "groups")
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(dropped, docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1")
+    """Of each group of docs one row, that of the smallest doc_id (null last), with its own columns.
+
+    Rows of equal id and text count once. Texts without words all stay.
+    """
+    found = stored(grouped(docs, percent), "groups")
+    own = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    first = found.where("group is not null").groupBy("group").agg(F.min(own).alias("first"))
+    dropped = (
+        found.join(first, "group")
+        .where(~own.eqNullSafe(F.col("first")))
+        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+        .distinct()
+    )
+    same = docs["doc_id"].cast("long").eqNullSafe(dropped["_id"]) & (F.xxhash64(docs["text"].cast("string")) == dropped["_key"])
+    kept = docs.join(dropped, same, "left_anti")
+    repeated = found.groupBy("doc_id", "text_key").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_slices
+from .common import of_worker, text_slices
 from .minhash import shingle_sets
 
 CUT = 0.7
@@ -100,7 +100,7 @@ def _lengths(compressor: zstandard.ZstdCompressor, windows: list[bytes]) -> np.n
 
 
 class Gains:
-    """Gains of windows; those met before are remembered up to a number of bytes. It belongs to one task."""
+    """Gains of windows; those met before are remembered up to a number of bytes."""
 
     def __init__(self, of: Dictionaries):
         self.of, self.known, self.bytes = of, {}, 0
@@ -181,10 +181,11 @@ class Model:
         return np.column_stack([np.clip(evidence, -30, 30) / 10, evidence / np.sqrt(n + 5), np.log1p(n) / 10])
 
     def scorer(self) -> Callable[[list[str | None]], np.ndarray]:
-        """A function of texts, which remembers windows as long as it lives."""
+        """A function of texts."""
         if self.dictionaries is None:
             return lambda texts: np.zeros(len(texts))
-        gains, weights = Gains(self.dictionaries), np.array(self.weights)
+        gains = of_worker(self.dictionaries, lambda: Gains(self.dictionaries))
+        weights = np.array(self.weights)
 
         def scores(texts: list[str | None]) -> np.ndarray:
             found = [np.zeros(0)]

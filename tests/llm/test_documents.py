@@ -77,7 +77,59 @@ def test_near_duplicates_edge_rows(spark):
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in found) == [(0, 4, False), (4, 4, True), (4, 4, True), (5, 5, True)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(empty).count() == 0 and minhash.keep_one(empty).count() == 0
-    assert minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 3
+    assert minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2  # a copy without an id goes, too
+
+
+def test_ids_that_are_null_or_shared(spark):
+    """Texts are judged by themselves, whatever ids their rows have."""
+    rng = random.Random(8)
+    a = words(rng, 60, 10**6)
+    other = words(rng, 50, 10**6)
+    variant = lambda of, k: " ".join([*of[:-k], *(f"z{k}{j}" for j in range(k))])
+    # 1 holds two texts; 2 and 3 are near one of them each; null ids: a near copy of 2's, and a bridge from 7 to 8.
+    left = words(rng, 80, 10**6)
+    bridge, right = left[6:] + words(rng, 6, 10**6), None
+    right = bridge[6:] + words(rng, 6, 10**6)
+    rows = [
+        (1, " ".join(a)), (1, " ".join(other)), (2, variant(a, 2)), (3, variant(other, 2)), (None, variant(a, 3)),
+        (8, " ".join(left)), (None, " ".join(bridge)), (7, " ".join(right)), (None, "alone without id"), (None, "alone without id"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert found[2, 56] == found[3, 46] == 1 and found[None, 56] == 1
+    assert found[8, 76] == found[7, 76] == found[None, 76] == 7
+    assert found[None, 1] is None
+    kept = minhash.keep_one(docs)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "7", "None"]
+
+
+def test_many_edited_copies(spark):
+    """Copies of one text with similarities from 0.3 to 1, most of them below the limit with each other."""
+    rng = random.Random(11)
+    base = words(rng, 80, 10**6)
+    texts = []
+    for _ in range(700):
+        copy = list(base)
+        for at in rng.sample(range(80), rng.randrange(12)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.near_duplicates(docs).collect()) == brute_components(texts)
+
+
+def test_bitmaps_differ_no_more_than_sets(spark):
+    sets = minhash.shingle_sets([" ".join(words(random.Random(i % 5), 30 + 40 * i, 50 * (i + 1))) for i in range(12)])
+    rows = [(i, j, m.tolist(), n.tolist()) for i, m in enumerate(minhash.bitmaps(sets)) for j, n in enumerate(minhash.bitmaps(sets))]
+    df = spark.createDataFrame(rows, "i int, j int, a array<long>, b array<long>")
+    for i, j, n in df.select("i", "j", minhash.differing("a", "b")).collect():
+        assert n <= len(np.setxor1d(sets[i], sets[j])) and (n == 0) >= (i == j)
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    text = " ".join(words(random.Random(2), 3000)) + "  \n tail"
+    whole = minhash.shingle_sets([text])[0]
+    monkeypatch.setattr(minhash, "_PIECE_BYTES", 100)
+    assert (minhash.shingle_sets([text])[0] == whole).all()
 
 
 def test_minima_and_maxima_fill_the_bands():
@@ -239,6 +291,27 @@ def test_toxicity_on_held_out(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_by_a_plain_loop(spark):
+    """Scores are what compressing each window with each dictionary gives."""
+    docs, labels = labelled(spark, 400)
+    model = toxicity.train(docs, labels)
+    of = model.dictionaries
+    toxic, ordinary = (toxicity._compressor(of.base + x) for x in (of.toxic, of.ordinary))
+    texts = ["zonk of gnarlo w1 w2 w2", "w1 w2 w3", "", None, "x" * 5000 + " splork"]
+    expected = []
+    for text in texts:
+        counts = np.zeros((1, 13), np.int64)
+        for window in set(toxicity.windows_of(toxicity.words_of(text), model.window)):
+            framed = toxicity._CARRIER + window + toxicity._CARRIER
+            gain = len(ordinary.compress(framed)) - len(toxic.compress(framed))
+            counts[0, min(max(gain, -4), 8) + 4] += 1
+        x = model.features(counts)[0] @ np.array(model.weights) + model.bias
+        expected.append(1 / (1 + np.exp(-x)))
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", toxicity.score(F.col("text"), model)).collect()
+    assert [r[1] for r in sorted(got)] == pytest.approx(expected) and expected[0] > 0.7 > expected[1]
+    assert toxicity.train(docs, labels, max_docs=20, max_bytes=1000).dictionaries is not None  # bounded in rows and bytes
+
+
 def test_toxicity_of_a_small_language(spark):
     """Its toxic words are in a small share of toxic documents, and in an ordinary one too."""
     rng = random.Random(9)
