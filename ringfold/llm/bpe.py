@@ -1,17 +1,20 @@
 """Byte-level BPE over whole texts: batched numpy merge rounds, and the inverse.
 
-A text is cut into chunks (an optional space and a run without white space, or a run of white
-space). No pre-token crosses a chunk's end, so the ids of a chunk depend on the chunk alone and
-are kept from batch to batch. Chunks not met before are merged together, all of a batch in one
-flat array of symbols.
+A text is cut into chunks (an optional space and a run of letters and digits, or of punctuation, or what is
+left up to the next white space; or a run of white space). No pre-token crosses a chunk's end, so the ids of
+a chunk depend on the chunk alone and are kept by a worker from batch to batch, up to a number of bytes. Chunks
+not met before are merged together, all of a batch in one flat array of symbols; pieces of more than
+LONG_PIECE bytes are merged one by one by a queue of pairs, so that a long word costs n log n.
 
 Defined results: a null or empty text has no ids; a null list of ids decodes to the empty text;
 the literal of a special token in a text becomes that token's id, as in the tokenizers library.
-Very long texts are taken in segments that end between chunks, so memory follows the segment.
+Very long texts are taken in segments that end between chunks, so memory follows the segment (a run without
+a place between chunks is a segment, however long). A column that already has the name of the result raises.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -24,16 +27,27 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import of_worker
+
 #: White space by the Unicode property, as the pre-tokenizer's pattern has it.
 _SPACE = "\t-\r \x85\xa0  -     　"
-_CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_CUT = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
+#: ASCII punctuation but for the apostrophe, which can begin a contraction.
+_MARKS = r"!-&(-/:-@\[-`{-~"
+#: A border of letters or digits and punctuation always parts pieces; elsewhere a run stays whole.
+_CHUNK = re.compile(
+    rf" ?[^\W_]++(?![^{_SPACE}{_MARKS}])| ?[{_MARKS}]++(?![^{_SPACE}\w])| ?[^{_SPACE}]+"
+    rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
+#: Before white space that follows none, or between a letter or digit and punctuation.
+_CUT = re.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])|(?<=[^\W_])(?=[{_MARKS}])")
 #: The public pattern that splits a chunk before merging.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _NO_RANK = np.int64(1) << 40
 
 SEGMENT_CHARS = 1 << 20
-CACHED_CHUNKS = 700_000
+LONG_PIECE = 256
+CACHE_BYTES = 80 << 20
+_CHUNK_BYTES = 150  # of a remembered chunk besides its letters and ids
 
 
 def _byte_chars() -> dict[str, int]:
@@ -68,6 +82,7 @@ class Vocabulary:
         keys = left << 32 | right
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self._rank_of: dict[int, int] | None = None
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         content = {i: bytes(chars[c] for c in s) for s, i in vocab.items() if s not in self.special}
@@ -84,6 +99,12 @@ class Vocabulary:
         A round merges in every piece all places of its lowest-rank pair; pieces without a pair
         leave the flat array.
         """
+        if any(len(p) > LONG_PIECE for p in pieces):
+            found = [(self.merge_long(p), 1) if len(p) > LONG_PIECE else None for p in pieces]
+            short, counts = self.merge([p for p in pieces if len(p) <= LONG_PIECE])
+            each = iter(np.split(short, np.cumsum(counts)[:-1]) if len(counts) else ())
+            parts = [f[0] if f else next(each) for f in found]
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         symbols = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         piece = np.repeat(np.arange(len(pieces)), lens)
@@ -119,6 +140,42 @@ class Vocabulary:
         order = np.argsort(piece, kind="stable")
         return np.concatenate(done_symbols)[order], np.bincount(piece, minlength=len(pieces))
 
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one piece: its pairs in a queue by rank and place, each merge making two new ones at most."""
+        symbols = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        key = symbols[:-1] << 32 | symbols[1:]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        places = np.flatnonzero(self.keys[at] == key)
+        queue = list(zip(self.ranks[at[places]].tolist(), places.tolist(), key[places].tolist()))
+        heapq.heapify(queue)
+        values, n = symbols.tolist(), len(symbols)
+        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank_of, merged = self.rank_of(), self.merged
+
+        def offer(left: int, right: int) -> None:
+            pair = values[left] << 32 | values[right]
+            if (rank := rank_of.get(pair)) is not None:
+                heapq.heappush(queue, (rank, left, pair))
+
+        while queue:
+            rank, left, pair = heapq.heappop(queue)
+            right = following[left]
+            if right >= n or values[left] < 0 or values[left] << 32 | values[right] != pair:
+                continue
+            values[left], values[right] = int(merged[rank]), -1
+            following[left] = after = following[right]
+            if after < n:
+                before[after] = left
+                offer(left, after)
+            if (earlier := before[left]) >= 0:
+                offer(earlier, left)
+        return np.fromiter((v for v in values if v >= 0), np.int64)
+
+    def rank_of(self) -> dict[int, int]:
+        if self._rank_of is None:
+            self._rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        return self._rank_of
+
     def decode(self, ids: np.ndarray, lens: np.ndarray) -> list[str]:
         """Texts of runs of ids; bytes that are no UTF-8 become U+FFFD."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.token_lens)):
@@ -153,10 +210,11 @@ class ChunkEncoder:
         self.index = _Numbers()
         self.ids = np.zeros(0, np.int32)
         self.starts = self.lens = np.zeros(0, np.int64)
+        self.bytes = 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without special tokens, end to end, and how many each has."""
-        if len(self.index) > CACHED_CHUNKS:
+        if self.bytes > CACHE_BYTES:
             self.clear()
         chunks = [_CHUNK.findall(t) for t in texts]
         counts = [len(c) for c in chunks]
@@ -166,6 +224,7 @@ class ChunkEncoder:
             self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lens) - lens)
             self.lens = np.append(self.lens, lens)
             self.ids = np.append(self.ids, ids.astype(np.int32))
+            self.bytes += sum(map(len, new)) + 4 * len(ids) + _CHUNK_BYTES * len(new)
             self.index.new = []
         lens = self.lens[at]
         bounds = np.append(0, np.cumsum(lens))[np.append(0, np.cumsum(counts))]
@@ -219,7 +278,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(maxsize=2)
 def numpy_encoder(path: str) -> ChunkEncoder:
     vocab = vocabulary(path)
 
@@ -246,26 +304,35 @@ def encode_with(
 ) -> Column:
     """A column of id lists, each closed by end_id if one is given.
 
-    encoder(path) is made once in each Python worker.
+    encoder(path) is made once in a Python worker, and kept as long as the stage.
     """
 
     @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        found, lens = encoder(path).encode_column(texts.to_pylist())
-        if end_id is not None:
-            found, lens = np.insert(found, np.cumsum(lens), end_id), lens + 1
-        return list_array(found, lens)
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = of_worker((encoder.__name__, path), lambda: encoder(path))
+        for texts in batches:
+            found, lens = own.encode_column(t.as_py() for t in texts)
+            if end_id is not None:
+                found, lens = np.insert(found, np.cumsum(lens), end_id), lens + 1
+            yield list_array(found, lens)
 
     return ids(text.cast("string"))
 
 
+def _new(df: DataFrame, out: str) -> None:
+    if out.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {out} already; name another for the result")
+
+
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with out: the ids of each text by the vocabulary file at path."""
+    _new(df, out)
     return df.withColumn(out, encode_with(numpy_encoder, path, df[text]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with out: the text of each list of ids; special tokens stay."""
+    _new(df, out)
 
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,14 +26,19 @@ from .common import laid_out, new_path, running_start
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> ChunkEncoder:
-    """Ids by the tokenizers library, which is asked once for each chunk that is not in the cache."""
+def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    return tokenizer
+
+
+def library_encoder(path: str) -> ChunkEncoder:
+    """Ids by the tokenizers library, which is asked once for each chunk that is not in the cache."""
+    tokenizer = _tokenizer(path)
 
     def fresh(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -71,10 +77,35 @@ def write(
     )
 
 
-def starts(spark: SparkSession, path: str) -> DataFrame:
-    """position and start (ids of all documents before), from the counts alone."""
-    counts = spark.read.parquet(path).select("position", "n_tokens")
-    return running_start(counts, "position", "n_tokens", "start").select("position", "start")
+def read(
+    spark: SparkSession,
+    path: str,
+    first: int | None = None,
+    last: int | None = None,
+    columns: Sequence[str] = ("doc_id", "position", "n_tokens", "ids"),
+) -> DataFrame:
+    """Documents with ids from first to last (None: from the start, to the end), and only those columns.
+
+    Both bounds are pushed to the scan. As files ascend by doc_id it opens only row groups, and by the
+    page indexes only pages, that can hold such documents; ids are not touched unless asked for.
+    """
+    found = spark.read.parquet(path)
+    if first is not None:
+        found = found.where(F.col("doc_id") >= first)
+    if last is not None:
+        found = found.where(F.col("doc_id") <= last)
+    return found.select(*columns)
+
+
+def read_some(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Documents whose ids are in wanted (doc_id): a scan within its bounds, then a semi-join."""
+    first, last = wanted.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return read(spark, path, first, last).join(wanted.select("doc_id"), "doc_id", "left_semi")
+
+
+def starts(tokens: DataFrame) -> DataFrame:
+    """Rows of read() with start: the ids of all documents before, from the counts alone."""
+    return running_start(tokens, "position", "n_tokens", "start")
 
 
 def checksums(tokens: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> DataFrame:
@@ -96,7 +127,5 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     spark = docs.sparkSession
     path = new_path(spark, "tokens")
     write(docs, path, vocabulary)
-    files = checksums(spark.read.parquet(path)).select("doc_id", "position", "n_tokens", "ids_crc32")
-    return files.join(starts(spark, path), "position").select(
-        "doc_id", "start", F.col("n_tokens").cast("long"), "ids_crc32"
-    )
+    files = checksums(read(spark, path)).select("doc_id", "position", "n_tokens", "ids_crc32")
+    return starts(files).select("doc_id", "start", F.col("n_tokens").cast("long"), "ids_crc32")

@@ -1,10 +1,13 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ringfold.llm import bpe, token_files
@@ -37,6 +40,28 @@ def test_long_texts_in_segments(monkeypatch):
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [expected(t) for t in texts]
 
 
+def test_long_words():
+    rng = random.Random(1)
+    parts = ["".join(rng.choices("abcdefgh", k=5000)), "a" * 3001, "é" * 999, "short", "!?" * 700]
+    texts = [" ".join(parts), "".join(parts), *parts]
+    ids, lens = bpe.numpy_encoder(PATH).encode_column(texts)
+    ends = np.append(0, np.cumsum(lens))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [expected(t) for t in texts]
+    began = time.perf_counter()
+    bpe.numpy_encoder(PATH).encode_column(["".join(rng.choices("abcdefghijklmnop", k=300_000))])
+    assert time.perf_counter() - began < 20
+
+
+def test_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    encoder = bpe.numpy_encoder(PATH)
+    for i in range(30):
+        texts = [f"some{i} word{i + k} and {k}" for k in range(20)]
+        ids, lens = encoder.encode_column(texts)
+        assert ids[: lens[0]].tolist() == expected(texts[0])
+    assert len(encoder.index) < 200
+
+
 def test_decode_replaces_broken_bytes():
     ids = np.array(LIBRARY.encode("é一").ids[:1] + [0])
     assert bpe.vocabulary(PATH).decode(ids, np.array([2])) == [LIBRARY.decode(ids.tolist(), skip_special_tokens=False)]
@@ -62,6 +87,44 @@ def test_extra_columns_stay(spark):
     assert (row.tokens, row.decoded, row.ids) == ("kept", "a b", expected("a b"))
 
 
+def test_names_in_use_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b", [5])], "doc_id long, text string, IDS array<int>")
+    with pytest.raises(ValueError):
+        bpe.encode(docs, PATH)
+    with pytest.raises(ValueError):
+        bpe.decode(bpe.encode(docs, PATH, out="own"), PATH, "own", "text")
+
+
+def test_token_file_layout_and_selective_reads(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"word{rng.randrange(300)}" for _ in range(60)), "kept out") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, position string").repartition(7)
+    path = f"{tmp_path}/tokens"
+    token_files.write(docs, path, PATH, row_group_bytes=64 << 10, page_bytes=8 << 10, page_rows=100)
+    groups = 0
+    for file in (tmp_path / "tokens").glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        groups = max(groups, meta.num_row_groups)
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert all(c.has_offset_index and c.has_column_index for n, c in columns.items() if n in ("doc_id", "n_tokens"))
+            assert {"DELTA_BINARY_PACKED", "RLE_DICTIONARY"} & set(columns["doc_id"].encodings)
+            ids = next(c for n, c in columns.items() if n.startswith("ids"))
+            assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(ids.encodings)
+    assert groups > 1
+    some = token_files.read(spark, path, 1200, 1210)
+    assert [r.doc_id for r in some.orderBy("doc_id").collect()] == list(range(1200, 1211))
+    assert all(r.ids == [*expected(rows[r.doc_id][1]), 0] for r in some.collect())
+    plan = some._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(doc_id,1200)" in plan and "LessThanOrEqual(doc_id,1210)" in plan
+    counts = token_files.read(spark, path, columns=("doc_id", "n_tokens"))
+    assert "ids" not in counts._jdf.queryExecution().executedPlan().toString()
+    wanted = spark.createDataFrame([(7,), (3999,), (7,), (10**6,)], "doc_id long")
+    assert sorted(r.doc_id for r in token_files.read_some(spark, path, wanted).collect()) == [7, 3999]
+    first = token_files.starts(token_files.read(spark, path)).where(F.col("doc_id") == 0).first()
+    assert first.start == 0
+
+
 def test_token_files(spark):
     rows = [(i * 3, t) for i, t in enumerate(TEXTS)] + [(9, "again"), (9, "again"), (None, "no id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
