@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A rule's comparisons; eq may be written E.
+OPERATORS = ("lt", "lte", "gr", "gre", "eq", "E", "like")
+
+
 def guarded_ratio(numerator: Column, denominator: Column) -> Column:
     """A double; null where the denominator is 0 or null."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
@@ -20,7 +24,7 @@ def compared(value: Column, operator: Column, constant: Column) -> Column:
         .when(operator == "lte", value <= constant)
         .when(operator == "gr", value > constant)
         .when(operator == "gre", value >= constant)
-        .when(operator == "eq", value == constant)
+        .when(operator.isin("eq", "E"), value == constant)
         .otherwise(F.lit(False))
     )
     return F.coalesce(found, F.lit(False))
@@ -28,7 +32,7 @@ def compared(value: Column, operator: Column, constant: Column) -> Column:
 
 def matches(value: Column, operator: Column, pattern: Column) -> Column:
     """The comparison of text constants: eq or like."""
-    found = F.when(operator == "like", F.like(value, pattern)).when(operator == "eq", value == pattern)
+    found = F.when(operator == "like", F.like(value, pattern)).when(operator.isin("eq", "E"), value == pattern)
     return F.coalesce(found, F.lit(False))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.time import day_index, index_of
+from ..functions.time import WINDOWS, day_index, index_of
 from ..sources.catalogue import Attribute
 
 KEYS = ("caller_id", "day", "long_distance")
@@ -52,6 +52,18 @@ def _matching(attribute: Attribute) -> Column:
     return F.col("long_distance") == F.lit(attribute.filter == "nonlocal")
 
 
+def _inside(attribute: Attribute, day: Column, last_day: Column) -> Column:
+    """Whether a day is in an attribute's window, if that is the one of last_day.
+
+    A stepwise week moves by days: it is the seven days up to last_day.
+    """
+    if attribute.kind == "tumb":
+        return index_of(day, attribute.window) == index_of(last_day, attribute.window)
+    if attribute.kind == "step" and attribute.window == "week":
+        return day > last_day - 7
+    raise ValueError(f"{attribute.name}: day partials do not tell what is in its window; see wide_table_of_calls")
+
+
 def aggregate_of(attribute: Attribute, inside: Column) -> Column:
     """An attribute from partials, of those that are inside its window."""
     part = "calls" if attribute.metric == "call" else f"{attribute.aggregate}_{attribute.metric}"
@@ -68,22 +80,42 @@ def wide_table(partials: DataFrame, attributes: Sequence[Attribute]) -> DataFram
     """
     last = F.max("day").over(Window.partitionBy("caller_id"))
     rows = partials.withColumn("last_day", last)
-    inside = {
-        w: index_of(F.col("day"), w) == index_of(F.col("last_day"), w) for w in sorted({a.window for a in attributes})
-    }
+    inside = {a: _inside(a, F.col("day"), F.col("last_day")) for a in attributes}
     return rows.groupBy(F.col("caller_id").alias("subscriber_id")).agg(
-        F.max("last_ts").alias("last_updated"), *(aggregate_of(a, inside[a.window]) for a in attributes)
+        F.max("last_ts").alias("last_updated"), *(aggregate_of(a, inside[a]) for a in attributes)
     )
 
 
+def wide_table_of_calls(calls: DataFrame, attributes: Sequence[Attribute]) -> DataFrame:
+    """wide_table with continuous attributes, too: their day or week ends at the subscriber's last call.
+
+    Those depend on each call's time, so calls move once for them; all others come from partials.
+    """
+    moving = [a for a in attributes if a.kind == "cont"]
+    rest = wide_table(day_partials(calls), [a for a in attributes if a.kind != "cont"])
+    if not moving:
+        return rest
+    known = calls.where("caller_id is not null and ts is not null")
+    rows = known.withColumn("last", F.max("ts").over(Window.partitionBy("caller_id"))).withColumn("calls", F.lit(1))
+    parts = {"call": "calls", "dur": "duration", "cost": "cost"}
+    values = []
+    for a in moving:
+        inside = F.col("ts") > F.col("last") - F.expr(f"INTERVAL {WINDOWS[a.window]} DAY")
+        value = F.when(inside & _matching(a), F.col(parts[a.metric]))
+        total = {"sum": F.coalesce(F.sum(value), F.lit(0)), "min": F.min(value), "max": F.max(value)}[a.aggregate]
+        values.append(total.alias(a.name))
+    found = rest.join(rows.groupBy(F.col("caller_id").alias("subscriber_id")).agg(*values), "subscriber_id")
+    return found.select("subscriber_id", "last_updated", *(a.name for a in attributes))
+
+
 def wide_table_as_of(calls: DataFrame, attributes: Sequence[Attribute], as_of: str) -> DataFrame:
     """The same at a given time: later calls do not count, and the windows are those that hold it."""
     at = F.lit(as_of).cast("timestamp_ntz")
     day = (datetime.datetime.fromisoformat(as_of).date() - datetime.date(1970, 1, 5)).days
     partials = day_partials(calls.where(F.col("ts") <= at))
-    inside = {w: index_of(F.col("day"), w) == index_of(F.lit(day), w) for w in ("day", "week")}
+    inside = {a: _inside(a, F.col("day"), F.lit(day)) for a in attributes}
     return partials.groupBy(F.col("caller_id").alias("subscriber_id")).agg(
-        F.max("last_ts").alias("last_updated"), *(aggregate_of(a, inside[a.window]) for a in attributes)
+        F.max("last_ts").alias("last_updated"), *(aggregate_of(a, inside[a]) for a in attributes)
     )
 
 

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.values import compared
+from ..functions.values import compared, matches as text_matches
 from ..sources.rules import Rules
 
 #: Firing intervals in days; 0 reports every match.
 INTERVALS = {"0": 0, "1d": 1, "2d": 2, "w": 7}
 _DAY_MS = 86_400_000
+#: Constants of these types are compared as text (eq, like), all others as doubles.
+TEXT_TYPES = ("string", "text", "char", "varchar")
 
 
 def predicate_values(wide: DataFrame, rules: Rules) -> DataFrame:
@@ -23,18 +27,30 @@ def predicate_values(wide: DataFrame, rules: Rules) -> DataFrame:
     """
     flat = rules.flat()
     used = sorted(r["attribute"] for r in flat.select("attribute").distinct().collect())  # columns of wide
-    missing = [a for a in used if a not in wide.columns]
-    if missing:
-        raise ValueError(f"rules name attributes that the table does not have: {missing}")
-    values = wide.select("subscriber_id", *(F.col(a).cast("double").alias(a) for a in used)).unpivot(
-        "subscriber_id", used, "attribute", "measured"
-    )
+    _known(wide, used)
+    each = [
+        F.struct(F.lit(a).alias("attribute"), _number(wide, a).alias("measured"), F.col(a).cast("string").alias("said"))
+        for a in used
+    ]
+    values = wide.select("subscriber_id", F.explode(F.array(*each)).alias("of")).select("subscriber_id", "of.*")
     return values.join(flat, "attribute").select(
         "subscriber_id", "campaign", "conjunct", "predicate",
-        compared(F.col("measured"), F.col("operator"), F.col("value").cast("double")).alias("holds"),
+        F.when(F.col("data_type").isin(*TEXT_TYPES), text_matches(F.col("said"), F.col("operator"), F.col("value")))
+        .otherwise(compared(F.col("measured"), F.col("operator"), F.expr("try_cast(value AS double)")))
+        .alias("holds"),
     )
 
 
+def _known(wide: DataFrame, used: list[str]) -> None:
+    if missing := [a for a in used if a not in wide.columns]:
+        raise ValueError(f"rules name attributes that the table does not have: {missing}")
+
+
+def _number(wide: DataFrame, name: str) -> Column:
+    """A column as a double; null where it is text."""
+    return F.lit(None).cast("double") if isinstance(wide.schema[name].dataType, T.StringType) else F.col(name).cast("double")
+
+
 def conjunct_values(predicates: DataFrame) -> DataFrame:
     """A conjunct holds if all its predicates do."""
     return predicates.groupBy("subscriber_id", "campaign", "conjunct").agg(F.bool_and("holds").alias("holds"))
@@ -49,8 +65,37 @@ def valid_at(campaigns: DataFrame, as_of_ms: int) -> DataFrame:
     return campaigns.where((F.col("valid_from") <= as_of_ms) & (F.col("valid_to") > as_of_ms))
 
 
-def matches(wide: DataFrame, rules: Rules, as_of_ms: int | None = None) -> DataFrame:
-    """(subscriber_id, campaign) of campaigns that hold, of those valid at a time if one is given."""
+def conditions(wide: DataFrame, rows: list) -> dict[int, Column]:
+    """Of each campaign in rows of Rules.flat() the condition on columns of wide."""
+    _known(wide, sorted({r["attribute"] for r in rows}))
+    tests: dict[int, dict[int, list[Column]]] = {}
+    for r in rows:
+        operator, value = F.lit(r["operator"]), F.lit(r["value"])
+        if r["data_type"] in TEXT_TYPES:
+            test = text_matches(F.col(r["attribute"]).cast("string"), operator, value)
+        else:
+            test = compared(_number(wide, r["attribute"]), operator, value.try_cast("double"))
+        tests.setdefault(r["campaign"], {}).setdefault(r["conjunct"], []).append(test)
+    return {
+        campaign: reduce(Column.__or__, (reduce(Column.__and__, each) for each in conjuncts.values()))
+        for campaign, conjuncts in tests.items()
+    }
+
+
+def matches(wide: DataFrame, rules: Rules, as_of_ms: int | None = None, compiled: int = 5_000) -> DataFrame:
+    """(subscriber_id, campaign) of campaigns that hold, of those valid at a time if one is given.
+
+    Up to `compiled` predicates become one expression a campaign over the row, and nothing is shuffled; more
+    are joined and grouped, with the same result.
+    """
+    rows = rules.flat().limit(compiled + 1).collect()
+    if len(rows) <= compiled:
+        campaigns = rules.campaign if as_of_ms is None else valid_at(rules.campaign, as_of_ms)
+        ids = campaigns.join(rules.flat().select(F.col("campaign").alias("id")).distinct(), "id", "left_semi")
+        valid = {r["id"] for r in ids.select("id").collect()}  # a row for one predicate at least
+        found = [F.when(c, F.lit(k)) for k, c in sorted(conditions(wide, rows).items()) if k in valid]
+        hits = F.array_compact(F.array(*found)) if found else F.array().cast("array<int>")
+        return wide.select("subscriber_id", F.explode(hits).alias("campaign"))
     found = campaign_values(conjunct_values(predicate_values(wide, rules))).where("holds").drop("holds")
     if as_of_ms is None:
         return found
@@ -86,7 +131,7 @@ def reports(candidates: DataFrame, campaigns: DataFrame) -> DataFrame:
     rows = (
         candidates.select("subscriber_id", "campaign", "at_ms")
         .distinct()
-        .join(F.broadcast(known), "campaign")  # a row per campaign; rules fit the driver
+        .join(known, "campaign")  # a row per campaign; broadcast where its size allows
         .where("at_ms >= valid_from and at_ms < valid_to")
     )
     columns = ("subscriber_id", "campaign", "at_ms")

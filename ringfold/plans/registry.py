@@ -48,6 +48,19 @@ RULES: dict[str, list[tuple]] = {
 }
 
 
+_METRICS = sorted({(a.metric if a.filter == "all" else f"{a.filter}_{a.metric}") for a in A.generated()})
+#: The same rules with predicates that refer to a catalogue table.
+RULES_BY_ID: dict[str, list[tuple]] = RULES | {
+    "metric": list(enumerate(_METRICS)),
+    "wt_attribute": [
+        (i, _METRICS.index(a.metric if a.filter == "all" else f"{a.filter}_{a.metric}"), 0, a.kind, a.window[0], a.aggregate, "double")
+        for i, a in enumerate(A.generated())
+    ],
+    "predicate": [(k, ALL.index(name), operator, constant) for k, name, operator, constant in RULES["predicate"]],
+}
+MOVING = ("sum_call_all_week_cont", "max_cost_local_day_cont", "sum_dur_all_week_step", "min_dur_nonlocal_week_step", "sum_dur_all_week")
+
+
 def _customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet")
 
@@ -299,6 +312,18 @@ def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.matches(_rule_matrix(spark, sf_dir), _rules(spark), AS_OF_MS)
 
 
+def rule_matches_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from rules whose predicates name attributes by their number in a catalogue."""
+    rules = rule_tables.from_rows(spark, RULES_BY_ID)
+    return R.matches(_rule_matrix(spark, sf_dir), rules, AS_OF_MS, compiled=0)
+
+
+def moving_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuous and stepwise attributes of a catalogue beside a tumbling one."""
+    wide = M.wide_table_of_calls(C.read_events(spark, sf_dir), [A.attribute(n) for n in MOVING])
+    return wide.select("subscriber_id", *(F.round(n, 4).alias(n) if "cost" in n else F.col(n) for n in MOVING))
+
+
 def rule_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expensive calls as candidates of every campaign, reported by its interval."""
     campaigns = _rules(spark).campaign
@@ -444,6 +469,21 @@ for _f, _sql in (
         + f", k(campaign, vf, vt, len, start) AS (VALUES {_campaign_rows}) SELECT subscriber_id, ch.campaign FROM ch JOIN k "
         f"ON k.campaign = ch.campaign WHERE vf <= {AS_OF_MS} AND vt > {AS_OF_MS} GROUP BY 1, 2 HAVING bool_or(holds)",
     ),
+    (
+        rule_matches_by_id,
+        RULES_SQL
+        + f", k(campaign, vf, vt, len, start) AS (VALUES {_campaign_rows}) SELECT subscriber_id, ch.campaign FROM ch JOIN k "
+        f"ON k.campaign = ch.campaign WHERE vf <= {AS_OF_MS} AND vt > {AS_OF_MS} GROUP BY 1, 2 HAVING bool_or(holds)",
+    ),
+    (
+        moving_windows,
+        f"WITH {CALLS_SQL} SELECT caller_id AS subscriber_id, count(*) FILTER (ts > l - INTERVAL 7 DAY) AS sum_call_all_week_cont, "
+        "round(max(cost) FILTER (ts > l - INTERVAL 1 DAY AND NOT long_distance), 4) AS max_cost_local_day_cont, "
+        "CAST(coalesce(sum(duration) FILTER (CAST(ts AS DATE) > CAST(l AS DATE) - 7), 0) AS BIGINT) AS sum_dur_all_week_step, "
+        "min(duration) FILTER (CAST(ts AS DATE) > CAST(l AS DATE) - 7 AND long_distance) AS min_dur_nonlocal_week_step, "
+        "CAST(coalesce(sum(duration) FILTER (date_trunc('week', ts) = date_trunc('week', l)), 0) AS BIGINT) AS sum_dur_all_week "
+        "FROM (SELECT *, max(ts) OVER (PARTITION BY caller_id) AS l FROM calls) GROUP BY 1",
+    ),
     (rule_reports, REPORTS_SQL),
     (streamed_wide_table, f"WITH {wide_sql(ALL)} {_wide_rows_sql} wide"),
     (

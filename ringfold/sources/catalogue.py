@@ -90,5 +90,18 @@ def load(wt_attribute: DataFrame, metric: DataFrame) -> list[Attribute]:
     return list(found)
 
 
+def named(wt_attribute: DataFrame, metric: DataFrame) -> DataFrame:
+    """(id, name) of each row of a catalogue table, as load() names them; rows of unknown metrics are left out."""
+    parts = F.split("metric_name", "_")
+    size = F.coalesce(*(F.when(F.col("window_size") == k, F.lit(v)) for k, v in WINDOW_SIZES.items()), F.col("window_size"))
+    return wt_attribute.join(metric.select(F.col("id").alias("metric"), F.col("name").alias("metric_name")), "metric").select(
+        "id",
+        F.concat_ws(
+            "_", "aggr_fun", F.element_at(parts, -1), F.when(F.size(parts) > 1, F.get(parts, 0)).otherwise("all"), size,
+            F.when(F.col("window_type") != "tumb", F.col("window_type")),
+        ).alias("name"),
+    )
+
+
 def names(attributes: Sequence[Attribute]) -> list[str]:
     return [a.name for a in attributes]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import OPERATORS
+from . import catalogue
+
+#: predicate names an attribute of the wide table, or (wt_attribute) the catalogue's row of it.
 SCHEMAS = {
     "campaign": "id int, valid_from long, valid_to long, firing_interval string, firing_start_condition string",
     "conjunct": "id int, campaign int",
@@ -15,6 +19,11 @@ SCHEMAS = {
     "predicate": "id int, attribute string, operator string, constant int",
     "constant": "id int, value string, data_type string",
 }
+CATALOGUE_SCHEMAS = {
+    "predicate": "id int, wt_attribute int, operator string, constant int",
+    "wt_attribute": "id int, metric int, is_pivot int, window_type string, window_size string, aggr_fun string, aggr_data_type string",
+    "metric": "id int, name string",
+}
 _REFERENCES = (
     ("conjunct", "campaign", "campaign"),
     ("conjunct_predicate", "conjunct", "conjunct"),
@@ -30,32 +39,51 @@ class Rules:
     conjunct_predicate: DataFrame
     predicate: DataFrame
     constant: DataFrame
+    wt_attribute: DataFrame | None = None  # (id, name), where predicates refer to it
 
     def checked(self) -> Rules:
-        """Raises where a row refers to one that is missing."""
-        for table, column, of in _REFERENCES:
+        """Raises where a row refers to one that is missing, and where an operator is not known."""
+        more = () if self.wt_attribute is None else (("predicate", "wt_attribute", "wt_attribute"),)
+        if row := self.predicate.where(~F.col("operator").isin(*OPERATORS)).first():
+            raise ValueError(f"predicate {row['id']}: {row['operator']!r} is none of {OPERATORS}")
+        for table, column, of in (*_REFERENCES, *more):
             ids = getattr(self, of).select(F.col("id").alias(column))
             if row := getattr(self, table).join(ids, column, "left_anti").first():
                 raise ValueError(f"{table}: {column} {row[column]} is not in {of}")
         return self
 
     def flat(self) -> DataFrame:
-        """(campaign, conjunct, predicate, attribute, operator, value) of each predicate in each conjunct."""
+        """(campaign, conjunct, predicate, attribute, operator, value, data_type) of each predicate in each conjunct."""
+        predicate = self.predicate.withColumnRenamed("id", "predicate")
+        if self.wt_attribute is not None:
+            predicate = predicate.join(
+                self.wt_attribute.select(F.col("id").alias("wt_attribute"), F.col("name").alias("attribute")), "wt_attribute"
+            )
         return (
             self.conjunct.select(F.col("id").alias("conjunct"), "campaign")
             .join(self.conjunct_predicate, "conjunct")
-            .join(self.predicate.withColumnRenamed("id", "predicate"), "predicate")
-            .join(self.constant.select(F.col("id").alias("constant"), "value"), "constant")
-            .select("campaign", "conjunct", "predicate", "attribute", "operator", "value")
+            .join(predicate, "predicate")
+            .join(self.constant.select(F.col("id").alias("constant"), "value", "data_type"), "constant")
+            .select("campaign", "conjunct", "predicate", "attribute", "operator", "value", "data_type")
         )
 
 
+def _of(read: Callable[[str, str], DataFrame], by_id: bool) -> Rules:
+    schemas = SCHEMAS | (CATALOGUE_SCHEMAS if by_id else {})
+    tables = {name: read(name, schema) for name, schema in schemas.items()}
+    if by_id:
+        tables["wt_attribute"] = catalogue.named(tables["wt_attribute"], tables.pop("metric"))
+    return Rules(**tables).checked()
+
+
 def load(spark: SparkSession, folder: str) -> Rules:
-    return Rules(*(spark.read.schema(s).parquet(f"{folder}/{name}.parquet") for name, s in SCHEMAS.items())).checked()
+    """From Parquet files; where predicate has wt_attribute, from wt_attribute and metric as well."""
+    by_id = "wt_attribute" in spark.read.parquet(f"{folder}/predicate.parquet").columns
+    return _of(lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}.parquet"), by_id)
 
 
 def from_rows(spark: SparkSession, tables: dict[str, Sequence[tuple]]) -> Rules:
-    return Rules(*(spark.createDataFrame(tables[name], schema) for name, schema in SCHEMAS.items())).checked()
+    return _of(lambda name, schema: spark.createDataFrame(tables[name], schema), "wt_attribute" in tables)
 
 
 def listing(rules: Rules) -> DataFrame:

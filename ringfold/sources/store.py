@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import table_or_none
 from .catalogue import Attribute
 from .dimensions import DIMENSIONS, drawn_codes
 
@@ -29,13 +30,17 @@ def wide_schema(attributes: Sequence[Attribute]) -> T.StructType:
     return schema
 
 
-def populate(spark: SparkSession, lowest: int, highest: int, attributes: Sequence[Attribute], seed: int = 1) -> DataFrame:
-    """A row for each id of an inclusive range: sums 0, minima and maxima null, codes drawn."""
+def populate(
+    spark: SparkSession, lowest: int, highest: int, attributes: Sequence[Attribute], seed: int = 1, at: Column | None = None
+) -> DataFrame:
+    """A row for each id of an inclusive range: sums 0, minima and maxima null, codes drawn, updated at a time (now)."""
     codes = drawn_codes(F.col("id"), seed)
     columns = []
     for field in wide_schema(attributes):
         if field.name == "subscriber_id":
             value = F.col("id")
+        elif field.name == "last_updated":
+            value = F.current_timestamp() if at is None else at
         elif field.name in codes:
             value = codes[field.name]
         else:
@@ -69,22 +74,17 @@ def upserted(current: DataFrame, changed: DataFrame, key: str = "subscriber_id")
 
 
 def commit(rows: DataFrame, root: str) -> int:
-    """Write the next version of a table and make it the current one."""
+    """Write the next version of a table and make it the current one; of two writers at once the later fails."""
     spark = rows.sparkSession
     version = (current_version(spark, root) or 0) + 1
-    rows.write.mode("overwrite").parquet(f"{root}/v={version}")
+    rows.write.mode("error").parquet(f"{root}/v={version}")
     spark.createDataFrame([(version,)], "version long").write.mode("append").parquet(f"{root}/commits")
     return version
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
-    try:
-        commits = spark.read.schema("version long").parquet(f"{root}/commits")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    return commits.agg(F.max("version")).first()[0]
+    commits = table_or_none(spark, f"{root}/commits", "version long")
+    return None if commits is None else commits.agg(F.max("version")).first()[0]
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
@@ -21,5 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own}"
 
 
+def table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The Parquet table at path; None if nothing has been written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ringfold/{name}-{uuid.uuid4().hex}"

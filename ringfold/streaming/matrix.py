@@ -1,18 +1,25 @@
 """Day partials kept up to date from a stream of calls, and reads of them while it runs.
 
-Each micro-batch is summed to partials and written as a folder of its own. Delivering a batch
-again overwrites its folder with the same rows, so each call counts once; since partials merge in
-any order, late and reordered calls need no care and no state is held between batches. Readers
-merge the folders that are complete when they start.
+Each micro-batch is summed to partials, written as a folder of its own, and then committed by a row in a
+small table. Delivering a batch again overwrites its folder and its commit with the same rows, so each call
+counts once; since partials merge in any order, late and reordered calls need no care and no state is held
+between batches. Readers merge committed batches alone, so what is being written is not seen.
+
+compact() merges what is committed into a base, and then points to it by a row in another small table. It
+may run beside the stream and its readers: batches up to the base no longer count, those after it do, and
+the stream goes on where it was.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.matrix import day_partials, merged
+from ..storage import table_or_none
 
 
 def append_partials(batch: DataFrame, batch_id: int, root: str) -> None:
@@ -24,6 +31,18 @@ def append_partials(batch: DataFrame, batch_id: int, root: str) -> None:
         .partitionBy("batch")
         .parquet(f"{root}/partials")
     )
+    _point(batch.sparkSession, f"{root}/commits", batch_id)
+
+
+def _point(spark: SparkSession, path: str, number: int) -> None:
+    """Add a number to a table of them; adding one again changes nothing."""
+    row = spark.range(1).select(F.lit(number).cast("long").alias("number"), F.current_timestamp().alias("at"))
+    row.write.mode("append").parquet(path)
+
+
+def _pointed(spark: SparkSession, path: str) -> DataFrame | None:
+    found = table_or_none(spark, path, "number long, at timestamp")
+    return None if found is None else found.select("number").distinct()
 
 
 def keep_up(calls: DataFrame, root: str, available_now: bool = True, every: str = "10 seconds") -> StreamingQuery:
@@ -34,15 +53,38 @@ def keep_up(calls: DataFrame, root: str, available_now: bool = True, every: str
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
+def _committed(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    """Partials of the newest base and of the batches committed after it, and the last batch of all these."""
+    bases, commits = _pointed(spark, f"{root}/bases"), _pointed(spark, f"{root}/commits")
+    upto = -1 if bases is None else bases.agg(F.max("number")).first()[0]
+    schema = None
+    parts = []
+    if upto >= 0:
+        parts.append(spark.read.parquet(f"{root}/base/upto={upto}"))
+        schema = parts[0].schema
+    last = upto
+    if commits is not None:
+        last = max(upto, commits.agg(F.max("number")).first()[0])
+    if last > upto:
+        rows = spark.read.parquet(f"{root}/partials").where(F.col("batch") > upto)
+        rows = rows.join(commits.where(F.col("number") <= last), F.col("batch") == F.col("number"), "left_semi")
+        parts.append(rows.drop("batch") if schema is None else rows.select(*schema.names))
+    if not parts:
+        raise ValueError(f"no batch has been committed under {root}")
+    return reduce(DataFrame.unionByName, parts), last
+
+
 def snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The merged partials of all batches that are complete now."""
-    return merged(spark.read.parquet(f"{root}/partials").drop("batch"))
+    """The merged partials of all batches that are committed now."""
+    return merged(_committed(spark, root)[0])
 
 
-def compact(spark: SparkSession, root: str, target: str) -> None:
-    """Merge the batches under root into one folder of another root, from which a stream can go on."""
-    rows = snapshot(spark, root).withColumn("batch", F.lit(-1).cast("long"))
-    rows.write.mode("overwrite").partitionBy("batch").parquet(f"{target}/partials")
+def compact(spark: SparkSession, root: str) -> int:
+    """Merge the batches that are committed now into a base that stands for them; the number of the last."""
+    rows, last = _committed(spark, root)
+    merged(rows).write.mode("overwrite").parquet(f"{root}/base/upto={last}")
+    _point(spark, f"{root}/bases", last)
+    return last
 
 
 def closed_windows(calls: DataFrame, delay: str = "1 day", length: str = "1 day", anchor: str | None = None) -> DataFrame:

@@ -125,9 +125,11 @@ def test_comparisons(spark):
 
 def test_populate_layout_and_versions(spark):
     attributes = A.generated()
-    fresh = S.populate(spark, 1, 100, attributes, seed=4)
+    assert S.populate(spark, 1, 2, attributes).where("last_updated is null or last_updated > now() + interval 1 minute").count() == 0
+    at = F.lit("2024-01-01").cast("timestamp")
+    fresh = S.populate(spark, 1, 100, attributes, seed=4, at=at)
     assert fresh.count() == 100 and fresh.schema.fieldNames() == S.wide_schema(attributes).fieldNames()
-    assert sorted(fresh.collect()) == sorted(S.populate(spark, 1, 100, attributes, seed=4).repartition(3).collect())
+    assert sorted(fresh.collect()) == sorted(S.populate(spark, 1, 100, attributes, seed=4, at=at).repartition(3).collect())
     row = fresh.first()
     assert row.sum_cost_all_day == 0.0 and row.min_dur_local_week is None
     laid = S.laid_out(fresh, 4).select("subscriber_id", F.spark_partition_id().alias("p")).groupBy("p").agg(F.min("subscriber_id").alias("a"), F.max("subscriber_id").alias("b"))
@@ -187,8 +189,87 @@ def test_stream_is_batch_whatever_is_delivered_twice(spark, tmp_path):
     want = sorted(map(str, M.wide_table(M.day_partials(calls), attributes).collect()))
     for state in (root, again):
         assert sorted(map(str, M.wide_table(stream.snapshot(spark, state), attributes).collect())) == want
-    stream.compact(spark, again, root + "3")
-    assert sorted(map(str, M.wide_table(stream.snapshot(spark, root + "3"), attributes).collect())) == want
+    assert stream.compact(spark, again) == 5
+    assert sorted(map(str, M.wide_table(stream.snapshot(spark, again), attributes).collect())) == want
+
+
+def test_stream_goes_on_after_compaction(spark, tmp_path):
+    events(spark, tmp_path)
+    folder = event_files(tmp_path)
+    late = tmp_path / "late"
+    late.mkdir()
+    for f in sorted((tmp_path / "flat").iterdir())[3:]:
+        f.rename(late / f.name)
+    root = str(tmp_path / "state")
+
+    def partials(of):
+        rows = of.withColumn("sum_cost", F.round("sum_cost", 6)).select("caller_id", "day", "long_distance", "calls", "sum_dur", "sum_cost", "last_ts")
+        return sorted(map(str, rows.collect()))
+
+    stream.keep_up(C.stream_events(spark, folder), root).awaitTermination()
+    half = stream.snapshot(spark, root)
+    before = partials(half)
+    last = stream.compact(spark, root)
+    assert last >= 0 and partials(stream.snapshot(spark, root)) == before
+    for f in late.iterdir():
+        f.rename(tmp_path / "flat" / f.name)
+    stream.keep_up(C.stream_events(spark, folder), root).awaitTermination()
+    calls = C.from_events(spark.read.parquet(folder))
+    want = partials(M.day_partials(calls))
+    assert partials(stream.snapshot(spark, root)) == want != before
+    assert stream.compact(spark, root) > last and partials(stream.snapshot(spark, root)) == want
+    assert partials(half) == before  # a reader of the state before still sees that
+    # A batch that is being written, and one of before the base that comes again, do not show.
+    more = M.day_partials(calls).withColumn("batch", F.lit(99).cast("long"))
+    more.write.mode("append").partitionBy("batch").parquet(f"{root}/partials")
+    stream.append_partials(calls, 0, root)
+    assert partials(stream.snapshot(spark, root)) == want
+    stream._point(spark, f"{root}/commits", 99)
+    assert sum(r.calls for r in stream.snapshot(spark, root).select("calls").collect()) == 2 * calls.count()
+
+
+def test_rules_by_catalogue_and_text(spark):
+    tables = {
+        "campaign": [(1, 0, 10, "0", "fixed"), (2, 0, 10, "0", "fixed"), (3, 0, 5, "0", "fixed")],
+        "conjunct": [(1, 1), (2, 2), (3, 2), (4, 3)],
+        "conjunct_predicate": [(1, 1), (2, 1), (3, 2), (4, 3), (1, 4)],
+        "metric": [(1, "dur"), (2, "nonlocal_cost")],
+        "wt_attribute": [(7, 1, 0, "tumb", "d", "sum", "uint"), (8, 2, 0, "cont", "w", "max", "double")],
+        "predicate": [(1, 7, "E", 1), (2, 8, "gre", 2), (3, 8, "lt", 2), (4, 7, "gr", 1)],
+        "constant": [(1, "30", "int"), (2, "1.5", "double")],
+    }
+    rules = rule_tables.from_rows(spark, tables)
+    assert sorted(r.attribute for r in rules.flat().select("attribute").distinct().collect()) == ["max_cost_nonlocal_week_cont", "sum_dur_all_day"]
+    wide = spark.createDataFrame(
+        [(1, 30, 2.0), (2, 30, None), (3, 31, 1.0), (4, None, None)], "subscriber_id long, sum_dur_all_day long, max_cost_nonlocal_week_cont double"
+    )
+    for limit in (0, 100):
+        assert sorted(map(tuple, R.matches(wide, rules, 7, compiled=limit).collect())) == [(1, 1), (3, 2)]
+        assert sorted(map(tuple, R.matches(wide, rules, compiled=limit).collect())) == [(1, 1), (1, 3), (2, 3), (3, 2)]
+    plan = R.matches(wide, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    with pytest.raises(ValueError, match="wt_attribute 9"):
+        rule_tables.from_rows(spark, tables | {"predicate": [(1, 9, "gr", 1), *tables["predicate"][1:]]})
+    with pytest.raises(ValueError, match="odd"):
+        rule_tables.from_rows(spark, tables | {"predicate": [(1, 7, "odd", 1), *tables["predicate"][1:]]})
+    text = {
+        "campaign": [(1, 0, 10, "0", "fixed"), (2, 0, 10, "0", "fixed")], "conjunct": [(1, 1), (2, 2)], "conjunct_predicate": [(1, 1), (2, 2)],
+        "predicate": [(1, "city", "like", 1), (2, "city", "E", 2)], "constant": [(1, "B%n", "string"), (2, "Basel", "string")],
+    }
+    people = spark.createDataFrame([(1, "Bern"), (2, "Basel"), (3, None)], "subscriber_id long, city string")
+    for limit in (0, 100):
+        assert sorted(map(tuple, R.matches(people, rule_tables.from_rows(spark, text), compiled=limit).collect())) == [(1, 1), (2, 2)]
+
+
+def test_kinds_of_windows(spark):
+    base = dt.datetime(2024, 1, 8)
+    rows = [(i, base + dt.timedelta(hours=h), 1, "view", 1.0 + i, '{"k": 1}') for i, h in enumerate((0, 30, 100, 168, 190))]
+    calls = C.from_events(spark.createDataFrame(rows, C.EVENT))
+    names = ["sum_call_all_week", "sum_call_all_week_step", "sum_call_all_week_cont", "max_cost_all_day_cont"]
+    row = M.wide_table_of_calls(calls, [A.attribute(n) for n in names]).first()
+    assert [row[n] for n in names] == [2, 4, 4, 5.0]
+    with pytest.raises(ValueError, match="sum_call_all_day_step"):
+        M.wide_table(M.day_partials(calls), [A.attribute("sum_call_all_day_step")])
 
 
 @pytest.mark.parametrize("files", [1, 3])
