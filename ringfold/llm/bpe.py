@@ -9,7 +9,8 @@ LONG_PIECE bytes are merged one by one by a queue of pairs, so that a long word
 Defined results: a null or empty text has no ids; a null list of ids decodes to the empty text;
 the literal of a special token in a text becomes that token's id, as in the tokenizers library.
 Very long texts are taken in segments that end between chunks, so memory follows the segment (a run without
-a place between chunks is a segment, however long). A column that already has the name of the result raises.
+a place between chunks is a segment, however long). A column that has the name of the result stays as
+<name>_before.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import of_worker
+from .common import make_way, of_worker
 
 #: White space by the Unicode property, as the pre-tokenizer's pattern has it.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -319,20 +320,19 @@ def encode_with(
     return ids(text.cast("string"))
 
 
-def _new(df: DataFrame, out: str) -> None:
-    if out.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"there is a column {out} already; name another for the result")
+def _moved(df: DataFrame, name: str, out: str) -> Column:
+    """The column of that name in make_way(df, out)."""
+    kept = make_way(df, out)
+    return F.col(kept.columns[[c.lower() for c in df.columns].index(name.lower())])
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with out: the ids of each text by the vocabulary file at path."""
-    _new(df, out)
-    return df.withColumn(out, encode_with(numpy_encoder, path, df[text]))
+    return make_way(df, out).withColumn(out, encode_with(numpy_encoder, path, _moved(df, text, out)))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with out: the text of each list of ids; special tokens stay."""
-    _new(df, out)
 
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
@@ -348,7 +348,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             start = stop
         return pa.array(found, pa.string())
 
-    return df.withColumn(out, texts(df[ids]))
+    return make_way(df, out).withColumn(out, texts(_moved(df, ids, out)))
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from ..storage import new_path, shared_dir
 
 __all__ = [
-    "WORD", "laid_out", "long_id", "lower_ascii", "new_path", "of_worker", "partition_of", "running_start", "shared_dir",
-    "stored", "text_slices",
+    "WORD", "laid_out", "make_way", "long_id", "lower_ascii", "new_path", "of_worker", "partition_of", "running_start",
+    "shared_dir", "stored", "text_slices",
 ]
 
 #: A word is a run of anything but ASCII white space; the same class as bytes.split().
@@ -96,3 +96,15 @@ def of_worker(key: Hashable, make: Callable[[], _T]) -> _T:
         _kept.clear()
         _kept[key] = make()
     return _kept[key]
+
+
+def make_way(df: DataFrame, *names: str) -> DataFrame:
+    """df with its own columns of those names, if any, as <name>_before (_before_before if that is taken, too)."""
+    for name in names:
+        taken = {c.lower(): c for c in df.columns}
+        if name.lower() in taken:
+            other = f"{name}_before"
+            while other.lower() in taken:
+                other += "_before"
+            df = df.withColumnRenamed(taken[name.lower()], other)
+    return df

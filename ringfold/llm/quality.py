@@ -181,21 +181,25 @@ class Model:
         return with_scores(rows.withColumn("evidence", self.evidence.of(F.col("bins"))), self.found, self.evidence.share)
 
 
-def train(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang") -> tuple[Model, DataFrame]:
-    """The model, and its binned rows (doc_id, site, path, bins) of all documents."""
-    binned = stored(
-        docs.select("doc_id", F.col(site).alias("site"), F.col(path).alias("path"), bins_of(docs["text"]).alias("bins")),
-        "bins",
+def binned(docs: DataFrame, site: str, path: str, *kept: Column) -> DataFrame:
+    """(doc_id, site, path, bins, kept) of all documents, stored, as the model is fitted to them and then applied."""
+    rows = docs.select(
+        docs["doc_id"], docs[site].alias("site"), docs[path].alias("path"), bins_of(docs["text"]).alias("bins"), *kept
     )
-    evidence = fit(binned, labels)
+    return stored(rows, "bins")
+
+
+def train(rows: DataFrame, labels: DataFrame) -> Model:
+    """The model from binned rows."""
+    evidence = fit(rows, labels)
     good = _sigmoid(F.lit(math.log(evidence.share / (1 - evidence.share))) + evidence.of(F.col("bins")))
-    return Model(evidence, priors(binned.select("site", "path", good.alias("good")), evidence.share)), binned
+    return Model(evidence, priors(rows.select("site", "path", good.alias("good")), evidence.share))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, site: str = "source", path: str = "lang") -> DataFrame:
     """(doc_id, held_out, evidence, site_share, path_share, score, kept) of each document."""
-    model, binned = train(docs, labels, site, path)
-    return model.scored(binned).select(
+    rows = binned(docs, site, path)
+    return train(rows, labels).scored(rows).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "evidence", "site_share", "path_share", "score",
         (F.col("score") >= threshold).alias("kept"),
     )
@@ -203,10 +207,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, site: st
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, site: str = "source", path: str = "lang") -> DataFrame:
     """The rows of docs that score threshold or more, with their own columns."""
-    model, _ = train(docs, labels, site, path)
+    rows = binned(docs, site, path, F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     columns = [F.col(f"row.{c}").alias(c) for c in docs.columns]
-    rows = docs.select(
-        F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[site].alias("site"), docs[path].alias("path"),
-        bins_of(docs["text"]).alias("bins"),
-    )
-    return model.scored(rows).where(F.col("score") >= threshold).select(*columns)
+    return train(rows, labels).scored(rows).where(F.col("score") >= threshold).select(*columns)

@@ -87,12 +87,14 @@ def test_extra_columns_stay(spark):
     assert (row.tokens, row.decoded, row.ids) == ("kept", "a b", expected("a b"))
 
 
-def test_names_in_use_are_refused(spark):
-    docs = spark.createDataFrame([(1, "a b", [5])], "doc_id long, text string, IDS array<int>")
-    with pytest.raises(ValueError):
-        bpe.encode(docs, PATH)
-    with pytest.raises(ValueError):
-        bpe.decode(bpe.encode(docs, PATH, out="own"), PATH, "own", "text")
+def test_names_in_use_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", [5], "own")], "doc_id long, text string, IDS array<int>, ids_before string")
+    coded = bpe.encode(docs, PATH)
+    assert coded.columns == ["doc_id", "text", "ids_before_before", "ids_before", "ids"]
+    assert coded.first()[2:] == ([5], "own", expected("a b"))
+    assert bpe.encode(docs, PATH, out="text").first().text == expected("a b")
+    back = bpe.decode(coded, PATH, "ids", "text")
+    assert (back.first().text, back.first().text_before) == ("a b", "a b")
 
 
 def test_token_file_layout_and_selective_reads(spark, tmp_path):
