@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringfold.llm import bpe, minhash, mixing, quality, toxicity
-from ringfold.llm.common import stored
+from ringfold.llm.common import make_way, stored
 from ringfold.llm.registry import VOCABULARY, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -30,14 +30,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for, in training order."""
-    return mixing.curriculum(docs, mixing.plan(docs)).select(*docs.columns)
+    """Each document as often as its source's target asks for, written in training order."""
+    own = make_way(docs, *mixing.ADDED).columns
+    mixed = mixing.curriculum(docs, mixing.plan(docs))
+    return mixed.select(*(F.col(o).alias(c) for o, c in zip(own, docs.columns)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, checked by decoding them."""
-    coded = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    """Token ids of each document, checked by decoding them, and its place in the training order."""
+    coded = bpe.decode(bpe.encode(mixing.stored_order(docs), VOCABULARY), VOCABULARY)
     return coded.select(
+        "place",
         "doc_id",
         "lang",
         "source",
