@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from ..storage import new_path, shared_dir
 
 __all__ = [
-    "WORD", "laid_out", "make_way", "long_id", "lower_ascii", "new_path", "of_worker", "partition_of", "running_start",
-    "shared_dir", "stored", "text_slices",
+    "WORD", "laid_out", "make_way", "long_id", "lower_ascii", "new_path", "of_worker", "partition_of", "removed",
+    "running_start", "shared_dir", "stored", "text_slices",
 ]
 
 #: A word is a run of anything but ASCII white space; the same class as bytes.split().
@@ -30,6 +30,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Delete the files of a stored DataFrame that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def laid_out(df: DataFrame, *order: str | Column, at: str) -> DataFrame:
     """df range-partitioned and sorted by order, with at: a long that ascends along that order.
 

@@ -8,8 +8,8 @@ probability of 4e-6. Six values also keep apart documents that merely share a co
 
 Pairs that share a band are compared in the join itself, before any set moves. Each document carries its
 shingles' bitmap: as equal shingles set equal bits, two bitmaps differ in no more bits than the sets in
-shingles, so this filter loses nothing; it is sharp for sets of some hundred shingles. Larger ones are told
-apart by four bits of each of 128 signature values. At 0.75 some 98 agree, with a deviation of 4.8, and pairs
+shingles, so this filter loses nothing; it is sharp for sets of some hundred shingles. Larger ones (LARGE) are
+told apart by four bits of each of 128 signature values. At 0.75 some 98 agree, with a deviation of 4.8, and pairs
 with fewer than AGREEING are dropped; that loses one similar pair in 3e8. The rest is confirmed on full sets.
 
 Documents with equal shingle sets are one class, known by a number of its own; only classes are banded. In a
@@ -26,7 +26,7 @@ any). Sets hold 64-bit hashes. Words of a long text are hashed piece by piece.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import of_worker, stored, text_slices
+from .common import of_worker, removed, stored, text_slices
 from .components import connected_components
 
 WORDS, PERMUTATIONS, ROWS = 5, 192, 6
 AGREEING, _DIGITS = 70, 128
+LARGE = 400  # shingles; sets down to three quarters of that have both marks
 _BITS = 10  # of a shingle's hash, by which it sets one of 1024 bits
 _PIECE_BYTES = 4 << 20  # of a text whose words are held at once
 _CACHED_WORDS, _CACHED_LENGTH = 300_000, 64
@@ -131,21 +132,28 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def _summed(a: str, b: str, of: Callable[[Column], Column]) -> Column:
+    """The sum of of() over the longs in which two arrays differ, by exclusive or.
+
+    Written as a loop over the arrays: unrolled, it makes joins so long that the JVM does not compile them.
+    """
+    each = F.zip_with(a, b, lambda x, y: of(x.bitwiseXOR(y)))
+    return F.aggregate(each, F.lit(0), lambda total, n: total + n)
+
+
 def differing(a: str, b: str) -> Column:
     """In how many bits two bitmaps differ; their sets differ in as many shingles at least."""
-    steps = [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range((1 << _BITS) // 64)]
-    return sum(steps[1:], steps[0])
+    return _summed(a, b, F.bit_count)
 
 
 def agreeing(a: str, b: str) -> Column:
     """How many of the digits packed in two arrays of longs are the same."""
-    differing = F.lit(0)
-    for i in range(_DIGITS // 16):
-        x = F.get(a, i).bitwiseXOR(F.get(b, i))
+
+    def digits(x: Column) -> Column:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-        differing = differing + F.bit_count(x)
-    return F.lit(_DIGITS) - differing
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.lit(_DIGITS) - _summed(a, b, digits)
 
 
 def _lists(values: np.ndarray, lens: list[int] | np.ndarray) -> pa.ListArray:
@@ -211,7 +219,11 @@ def class_links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     members = stored(banded.join(shared.select("band", "size"), "band"), "members")
     # Hubs are those who share bands with most: in a group of edited copies that is the original.
     known = members.groupBy("class").agg(F.sum("size").alias("met"))
-    known = known.join(classes.select("class", "n", "digits", "bits"), "class")
+    marks = (
+        F.when(F.col("n") * 100 >= LARGE * percent, F.col("digits")).alias("digits"),
+        F.when(F.col("n") <= LARGE, F.col("bits")).alias("bits"),
+    )
+    known = known.join(classes.select("class", "n", *marks), "class")
     open_ = stored(members.select("band", "class").join(known, "class").withColumn("comp", F.col("class")), "buckets")
 
     waiting = classes.join(open_.select("class").distinct(), "class", "left_semi").select("class", "set_key", "row_key")
@@ -223,6 +235,9 @@ def class_links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     hubs_each, carried = 1, ["n", "comp", "digits", "bits"]
     # Several hubs may meet a document in several buckets; then the first band of the pair counts.
     first_shared = F.get(F.array_intersect("bands", "bands_hub"), 0) == F.col("band")
+    # Of sizes that can be similar, either both have bits or both have digits.
+    few = F.lit(100 + percent) * differing("bits", "bits_hub") <= F.lit(100 - percent) * (F.col("n") + F.col("n_hub"))
+    near = F.coalesce(few, F.lit(True)) & F.coalesce(agreeing("digits", "digits_hub") >= AGREEING, F.lit(True))
     while not open_.isEmpty():
         fields = [F.col("class").alias("hub"), *(F.col(c).alias(f"{c}_hub") for c in carried)]
         if hubs_each == 1:  # an aggregate, so that a bucket's members need not meet
@@ -235,8 +250,7 @@ def class_links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame
             open_.join(hubs, "band")
             .where("class != hub and comp != comp_hub")
             .where(F.lit(100) * F.least("n", "n_hub") >= F.lit(percent) * F.greatest("n", "n_hub"))
-            .where(F.lit(100 + percent) * differing("bits", "bits_hub") <= F.lit(100 - percent) * (F.col("n") + F.col("n_hub")))
-            .where(agreeing("digits", "digits_hub") >= AGREEING)
+            .where(near)
             .where(F.lit(True) if hubs_each == 1 else first_shared)
             .select(
                 F.greatest("class", "hub").alias("x"),
@@ -259,7 +273,8 @@ def class_links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame
         if hubs_each == 1:
             rest = rest.join(classes.select("class", "bands"), "class")
             carried.append("bands")
-        open_ = stored(rest, "buckets")
+        done, open_ = open_, stored(rest, "buckets")
+        removed(done)
         hubs_each *= 16
     return labels
 
