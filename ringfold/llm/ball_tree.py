@@ -1,13 +1,16 @@
 """Exact top-k inner-product search: a ball tree per shard, searched by branch and bound.
 
 Vectors are dealt to shards by id. Each query is first searched in its own shard; the k-th score
-found there goes with it to all other shards, where it prunes from the start. In a shard, nodes
-are expanded in the order of the bound q.c + |q| r, and the k-th score rises as leaves are read.
-A task holds one shard and one batch of queries at a time; queries stream past the tree.
+found there goes with it to all other shards, where it prunes from the start. In a shard each query has an
+upper bound for every node, q.c + |q| r: it first reads the leaf under the best child at each node, nodes
+whose bound is below its k-th score are cut off with all that is under them, and the leaves that remain are
+read in the order of their bounds while the k-th score rises. The bounds of a batch of queries are one
+matrix product. A task holds one shard, of shard_bytes at most, and one batch of queries at a time.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; only
-vectors of equal length are compared; rows of the query's own id are no candidates; exact repeats
-of a row count once; fewer candidates than k are all returned; no vectors give no rows. Scores are
+vectors of equal length are compared, and empty ones with none; rows of the query's own id are no candidates
+(nor is another vector under that id; an id with two vectors asks and answers with both); exact repeats of
+a row count once; fewer candidates than k are all returned; no vectors give no rows. Scores are
 64-bit integers: the components' products must sum to less than 2^63.
 """
 
@@ -58,12 +61,13 @@ class BallTree:
         self.centers, self.radii, self.spans = np.array(centers), np.array(radii), spans
         self.sizes = np.sqrt((self.centers**2).sum(axis=1)) + self.radii
         self.ids, self.vectors = ids[order], vectors[order]
+        self.compared = 0  # rows that have been scored, over all queries
         self.most = float(np.abs(exact).max(initial=0.0))
 
-    def bounds(self, queries: np.ndarray, norms: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """An upper bound of q.v for each query (row) in its node, safe against rounding."""
-        dot = np.einsum("ij,ij->i", queries, self.centers[nodes])
-        return dot + norms * self.radii[nodes] + 1e-9 * norms * self.sizes[nodes] + 1e-6
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """An upper bound of q.v for each query (row) in each node (column), safe against rounding."""
+        norms = np.sqrt((queries**2).sum(axis=1))
+        return queries @ self.centers.T + norms[:, None] * (self.radii + 1e-9 * self.sizes) + 1e-6
 
     def scores(self, queries: np.ndarray, leaf: int) -> np.ndarray:
         a, b = self.spans[leaf]
@@ -77,12 +81,13 @@ class BallTree:
         n = len(query_ids)
         best = np.full((n, k), _NONE)
         best_ids = np.full((n, k), np.iinfo(np.int64).max)
-        exact = queries.astype(np.float64)
-        norms = np.sqrt((exact**2).sum(axis=1))
+        bounds = self.bounds(queries.astype(np.float64))
+        every = np.arange(n)
         first_leaf = 2**self.depth - 1
 
         def read(rows: np.ndarray, leaf: int) -> None:
             a, b = self.spans[leaf]
+            self.compared += len(rows) * (b - a)
             found = self.scores(queries[rows], leaf)
             ids = np.broadcast_to(self.ids[a:b], found.shape)
             found = np.where(ids == query_ids[rows, None], _NONE, found)
@@ -103,21 +108,20 @@ class BallTree:
 
         near = np.zeros(n, np.int64)  # the leaf under the best child at each node
         for _ in range(self.depth):
-            left = self.bounds(exact, norms, 2 * near + 1)
-            right = self.bounds(exact, norms, 2 * near + 2)
+            left, right = bounds[every, 2 * near + 1], bounds[every, 2 * near + 2]
             near = 2 * near + np.where(left >= right, 1, 2)
         near -= first_leaf
-        read_all(np.arange(n), near)
+        read_all(every, near)
 
-        rows, nodes = np.arange(n), np.zeros(n, np.int64)
-        bound = self.bounds(exact, norms, nodes)
+        rows, nodes = every, np.zeros(n, np.int64)
+        bound = bounds[:, 0]
         for level in range(self.depth + 1):
             alive = bound >= np.maximum(best[rows, -1], floor[rows])
             rows, nodes, bound = rows[alive], nodes[alive], bound[alive]
             if level < self.depth:
                 rows = np.repeat(rows, 2)
                 nodes = np.repeat(2 * nodes, 2) + np.tile([1, 2], len(nodes))
-                bound = self.bounds(exact[rows], norms[rows], nodes)
+                bound = bounds[rows, nodes]
         leaves = nodes - first_leaf
         new = leaves != near[rows]
         rows, leaves, bound = rows[new], leaves[new], bound[new]
@@ -193,11 +197,13 @@ def top_k(
     scale: int = 1024,
     target_shards: int = 64,
     shard_rows: tuple[int, int] = (1024, 262_144),
+    shard_bytes: int = 256 << 20,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of vectors for each that is_query marks."""
     exact = integer_vectors(vectors, vec_id, embedding, scale)
-    n = vectors.count()
-    size = min(max(-(-n // target_shards), shard_rows[0]), shard_rows[1])
+    n, longest = vectors.agg(F.count("*"), F.max(F.size(embedding))).first()
+    most = max(1, min(shard_rows[1], shard_bytes // (8 * max(1, longest or 1))))
+    size = min(max(-(-n // target_shards), shard_rows[0]), most)
     shards = max(1, -(-n // size))
     exact = exact.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     queries = integer_vectors(vectors.where(is_query), vec_id, embedding, scale).withColumn(

@@ -50,10 +50,30 @@ def test_tree_bounds_hold_and_large_values_are_exact():
     for q in range(20):
         exact = sorted((-sum(int(a) * int(b) for a, b in zip(queries[q], v)), j) for j, v in enumerate(data.tolist()) if j != q)
         assert sorted(zip((-scores[row == q]).tolist(), ids[row == q].tolist())) == exact[:4]
+    bounds = tree.bounds(queries.astype(float))
     for leaf, (a, b) in enumerate(tree.spans):
-        nodes = np.full(20, leaf + 2**tree.depth - 1)
-        norms = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
-        assert (tree.scores(queries, leaf).max(axis=1) <= tree.bounds(queries.astype(float), norms, nodes)).all()
+        assert (tree.scores(queries, leaf).max(axis=1) <= bounds[:, leaf + 2**tree.depth - 1]).all()
+
+
+def test_tree_cuts_off_what_cannot_win():
+    """Rows in clusters, as embeddings are: most are never scored, and the best are still found."""
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(64, 16)) * 1000
+    data = np.concatenate([c + rng.normal(size=(300, 16)) * 20 for c in centers]).astype(np.int64)
+    tree = ball_tree.BallTree(np.arange(len(data)), data, leaf=64)
+    queries = data[::600]
+    row, ids, scores = tree.search(np.full(len(queries), -1), queries, np.full(len(queries), ball_tree._NONE), 10)
+    assert tree.compared < 0.1 * len(queries) * len(data)
+    for q, x in enumerate(queries):
+        assert sorted(scores[row == q].tolist()) == sorted(data @ x)[-10:]
+
+
+def test_shards_are_bounded_in_bytes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).round(2).tolist(), 0) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")  # a name that the result has
+    found = ball_tree.top_k(df, F.col("vec_id") % 100 == 0, shard_bytes=2000)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 10)
 
 
 def page(i, url, *links):
