@@ -53,7 +53,7 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULE
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, share): of the links that leave the pages of src for other hosts, those to dst."""
+    """(src, dst, n, share): of the links that leave the pages of src for other hosts, those to dst."""
     links = pages.select(
         host_of(F.col("url")).alias("src"),
         F.explode(F.regexp_extract_all(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit(_HREF), F.lit(1))).alias("to"),
@@ -65,7 +65,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     out = counted.groupBy("src").agg(F.sum("n").alias("all"))
-    return counted.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share"))
+    return counted.join(out, "src").select("src", "dst", "n", (F.col("n") / F.col("all")).alias("share"))
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, least: float = 1e-6) -> DataFrame:
@@ -78,6 +78,7 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, least: flo
         sent = edges.join(ranks, F.col("src") == F.col("host")).groupBy("dst").agg(
             F.sum(F.col("rank") * F.col("share")).alias("got")
         )
+        sent = stored(sent, "sent")  # it is summed first, and then joined
         moved = sent.agg(F.coalesce(F.sum("got"), F.lit(0.0))).first()[0]
         back = 1.0 - damping * moved  # the restart, and what hosts without links hold
         joined = seeds.join(sent, F.col("host") == F.col("dst"), "full_outer").select(
@@ -117,10 +118,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold:
         found = spread(over, seeds) if linked and sums[kind] else seeds.withColumnRenamed("weight", "rank")
         return found.select("host", F.col("rank").alias(name))
 
-    counted = edges.withColumnRenamed("share", "_forward").groupBy("src", "dst").agg(F.first("_forward").alias("_f"))
-    arriving = counted.groupBy("dst").agg(F.sum("_f").alias("_all"))
-    backward = counted.join(arriving, "dst").select(
-        F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("_f") / F.col("_all")).alias("share")
+    arriving = edges.groupBy("dst").agg(F.sum("n").alias("all"))
+    backward = edges.join(arriving, "dst").select(
+        F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("share")
     )
     trust, distrust = ranked("allow", "trust", edges), ranked("block", "distrust", backward)
     blocked = (

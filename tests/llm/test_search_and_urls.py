@@ -107,6 +107,38 @@ def test_trust_spreads_along_a_long_chain(spark):
     assert all(abs(rank[f"h{i}"] / rank["h0"] / 0.85**i - 1) < 1e-3 for i in range(31))
 
 
+def test_ranks_are_those_of_a_dense_walk(spark):
+    """A random graph with hosts without links, against the matrix form iterated to the end."""
+    rng = np.random.default_rng(7)
+    n = 25
+    links = rng.integers(0, 4, (n, n)) * (rng.random((n, n)) < 0.15)
+    np.fill_diagonal(links, 0)
+    links[[3, 11]] = 0
+    rows = [(i, f"http://h{i}.net/", "".join(f'<a href="http://h{j}.net/{k}">' for j in range(n) for k in range(links[i, j]))) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = host_trust.host_edges(df)
+    got = {(r.src, r.dst): (r.n, r.share) for r in edges.collect()}
+    shares = links / np.maximum(links.sum(axis=1, keepdims=True), 1)
+    assert got == {(f"h{i}.net", f"h{j}.net"): (links[i, j], pytest.approx(shares[i, j])) for i in range(n) for j in range(n) if links[i, j]}
+    seed = np.zeros(n)
+    seed[[0, 5, 9]] = (0.5, 0.3, 0.2)
+    rank = seed.copy()
+    for _ in range(500):
+        sent = rank @ shares
+        rank = seed * (1 - 0.85 * sent.sum()) + 0.85 * sent
+    seeds = spark.createDataFrame([(f"h{i}.net", float(w)) for i, w in enumerate(seed) if w], "host string, weight double")
+    found = {r.host: r["rank"] for r in host_trust.spread(edges, seeds).collect()}
+    assert all(found.get(f"h{i}.net", 0.0) == pytest.approx(rank[i], abs=1e-5) for i in range(n))
+
+
+def test_urls_of_any_length_and_names(spark):
+    """Long urls, and columns with the names of the result."""
+    url = "http://x.org/es/" + "a" * 100_000
+    df = spark.createDataFrame([(1, url, "", "own", "own")], "page_id long, url string, html string, verdict string, host string")
+    row = host_trust.judge(df).first()
+    assert (row.host, len(row.path), row.rule, row.verdict) == ("x.org", 100_004, "org/", "allow")
+
+
 def test_trust_and_distrust_spread(spark):
     rows = [
         page(1, "http://good.org/a", "http://friend.net/", "//second.net/x", "/local"),
