@@ -104,25 +104,28 @@ def as_text(fingerprint: str) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")), "")
 
 
-def with_next(docs: DataFrame, columns: list[str], max_ranges: int = 4096) -> tuple[DataFrame, Window]:
+def with_next(docs: DataFrame, columns: list[str], least_ranges: int = 4096, range_rows: int = 65_536) -> tuple[DataFrame, Window]:
     """Rows of docs (doc_id, text) in ranges of ascending doc_id, and the window that orders a range.
 
     Each range also holds a guest, the first row of the range after it (after the last: of the
     first), so that lead() over the window finds the next of every row that is no guest. Texts move
-    once. Range borders are exact quantiles of doc_id, max_ranges at most.
+    once. Range borders are exact quantiles of doc_id and, among equal ids, of a hash of the text; there
+    are least_ranges of them, or more where a range would have more than range_rows rows.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.select(*columns, key.alias("_key"))
+    keyed = docs.select(*columns, F.struct(key.alias("id"), F.xxhash64("text").alias("tie")).alias("_key"))
     ids = stored(laid_out(keyed.select("_key").withColumn("_one", F.lit(1)), "_key", at="_at"), "order")
-    step = max(1, -(-ids.count() // max_ranges))
+    n = ids.count()
+    ranges = max(least_ranges, -(-n // range_rows))
+    step = max(1, -(-n // ranges))
     borders = (
         running_start(ids, "_at", "_one", "_rank")
         .where(F.col("_rank") % step == 0)
-        .agg(F.array_sort(F.collect_set("_key")).alias("borders"))  # max_ranges ids at most
+        .agg(F.array_sort(F.collect_set("_key")).alias("borders"))  # ranges of them at most, of 16 bytes
         .scalar()
     )
     keyed = keyed.withColumn("_borders", borders)
-    halvings = F.array(*(F.lit(1 << i) for i in reversed(range(max_ranges.bit_length()))))
+    halvings = F.array(*(F.lit(1 << i) for i in reversed(range(ranges.bit_length()))))
     at = F.aggregate(  # the last border that is no larger, by halving
         halvings,
         F.lit(-1),
@@ -137,10 +140,10 @@ def with_next(docs: DataFrame, columns: list[str], max_ranges: int = 4096) -> tu
     copies = F.when(border, F.array(own, F.struct(before.alias("range"), F.lit(1).alias("guest")))).otherwise(
         F.array(own)
     )
-    rows = keyed.select(
-        *columns, "_key", F.xxhash64("text").alias("_tie"), F.explode(copies).alias("_in")
-    ).select(*columns, "_key", "_tie", F.col("_in.range").alias("_range"), F.col("_in.guest").alias("_guest"))
-    return rows, Window.partitionBy("_range").orderBy("_guest", "_key", "_tie")
+    rows = keyed.select(*columns, "_key", F.explode(copies).alias("_in")).select(
+        *columns, "_key", F.col("_in.range").alias("_range"), F.col("_in.guest").alias("_guest")
+    )
+    return rows, Window.partitionBy("_range").orderBy("_guest", "_key")
 
 
 def edited_neighbours(docs: DataFrame) -> DataFrame:
@@ -151,7 +154,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     n = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - n), F.substring("_next", F.lit(1), n))
     rows = rows.select(
-        "doc_id", "text", "n_chars", "_range", "_guest", "_key", "_tie",
+        "doc_id", "text", "n_chars", "_range", "_guest", "_key",
         F.when(F.col("_guest") == 0, edited).otherwise("").alias("edited"),
     )
     rows = fingerprint(fingerprint(rows, "text", "own"), "edited", "changed")

@@ -261,6 +261,32 @@ def test_fingerprint_selects_smallest_in_text_order(spark):
     assert both.select(order_minhash.likeness("x", "y")).first()[0] < 0.75  # order counts
 
 
+def test_likeness_falls_with_edits_and_moves(spark):
+    """In documents of 500 words: with more edits it falls, and it tells moved blocks from none."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):
+        base = words(rng, 500, 10**6)
+        for edits in (0, 5, 15, 40, 120):
+            copy = list(base)
+            for at in rng.sample(range(500), edits):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((edits, " ".join(base), " ".join(copy)))
+        cuts = [0, *sorted(rng.sample(range(1, 500), 9)), 500]
+        blocks = [base[a:b] for a, b in zip(cuts, cuts[1:])]
+        rng.shuffle(blocks)
+        rows.append((-1, " ".join(base), " ".join(w for b in blocks for w in b)))
+    df = spark.createDataFrame(rows, "edits int, a string, b string")
+    df = order_minhash.fingerprint(order_minhash.fingerprint(df, "a", "x"), "b", "y")
+    mean = {r.edits: r.m for r in df.groupBy("edits").agg(F.avg(order_minhash.likeness("x", "y")).alias("m")).collect()}
+    assert mean[0] == 1.0 and mean[0] > mean[5] > mean[15] > mean[40] > mean[120]
+    assert 0.9 > mean[-1] > mean[120]  # same words, other order
+    # Pairs of words stay whole with the chance of two words unedited; both that a place selects must be shared ones.
+    for e in (5, 15, 40):
+        whole = (1 - e / 500) ** 2
+        assert abs(mean[e] - (whole / (2 - whole)) ** 2) < 0.08
+
+
 def labelled(spark, n=900):
     rng = random.Random(6)
     docs, labels = [], []
