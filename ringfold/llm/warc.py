@@ -11,7 +11,8 @@ what is reachable, so magic inside a payload is no record. The chain must end at
 Defined results: a null payload is empty; a null id gives a record whose id reads back as null, and
 such rows are revisits where another row has the payload; several rows of the largest id are all
 responses; line breaks are dropped from urls; an empty table gives archives without records.
-Archives hold max_records records at most, and a reader holds one archive at a time.
+Pages are written by classes of size, so that an archive has 256 MB at most, or one page that is larger
+than 4 MB; a reader holds one archive at a time.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _BREAK = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Payloads of up to so many bytes, and how many of them an archive holds at most.
+CLASSES: tuple[tuple[int, int], ...] = ((64 << 10, 4096), (4 << 20, 64), (1 << 62, 1))
 _LENGTH = re.compile(rb"(?i)\r\n[ \t]*content-length[ \t]*:[ \t]*(\d+)[ \t]*(?=\r\n)")
 _EDGES = T.StructType().add("path", "string").add("at", "long").add("next", "long").add("length", "long")
 _TEXTS = ("record_id", "url", "record_type", "refers_to", "payload_digest")
@@ -78,7 +81,7 @@ def write(
     html: str = "html",
     least_bytes: int = 0,
     date: str = "2024-01-01T00:00:00Z",
-    max_records: int = 4096,
+    classes: tuple[tuple[int, int], ...] = CLASSES,
 ) -> None:
     """Write a record for each of pages to archives under path; payloads from least_bytes up are revisited."""
     rows = pages.select(
@@ -87,6 +90,7 @@ def write(
         F.coalesce(pages[html].cast("string"), F.lit("")).alias("payload"),
     )
     rows = rows.withColumn("sha1", F.sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload"))
+    sizes = rows.select("bytes")
     first = rows.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("first"))
     # Payloads meet the answer compressed, as they are most of what moves.
     rows = rows.withColumn("payload", packed(F.col("payload"))).join(first, "sha1", "left")
@@ -121,13 +125,20 @@ def write(
         F.lit(_BREAK),
         F.col("block"),
     )
-    (
-        rows.withColumn("block", block)
-        .select(record.alias("value"))
-        .write.option("lineSep", 2 * _BREAK)
-        .option("maxRecordsPerFile", max_records)
-        .text(path)
-    )
+    lower = [-1, *(upper for upper, _ in classes[:-1])]
+    inside = [(F.col("bytes") > a) & (F.col("bytes") <= b) for a, (b, _) in zip(lower, classes)]
+    counts = sizes.agg(*(F.count(F.when(x, 1)) for x in inside)).first()
+    for part, n, (_, most) in zip(inside, counts, classes):
+        if n or part is inside[0]:  # an empty table has an archive, too
+            (
+                rows.where(part)
+                .withColumn("block", block)
+                .select(record.alias("value"))
+                .write.mode("append")
+                .option("lineSep", 2 * _BREAK)
+                .option("maxRecordsPerFile", most)
+                .text(path)
+            )
 
 
 def _head(content: bytes, at: int, limit: int) -> tuple[dict[str, str], int] | None:

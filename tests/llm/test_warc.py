@@ -35,7 +35,7 @@ def test_round_trip(spark):
 def test_payloads_and_small_archives(spark):
     pages = spark.createDataFrame(rows(), PAGES)
     path = new_path(spark, "warc-test")
-    warc.write(pages, path, least_bytes=1, max_records=2)
+    warc.write(pages, path, least_bytes=1, classes=((1 << 62, 2),))
     records = warc.read(spark, path)
     read = records.collect()
     cut = {(r.path, r.offset): bytes(r.payload) for r in warc.payloads(spark, path, records).collect()}
@@ -83,3 +83,19 @@ def test_broken_archives_raise(spark):
     spark.createDataFrame([(cut,)], "value string").write.text(path)
     with pytest.raises(ValueError):
         warc.read(spark, path).count()
+
+
+def test_archives_are_bounded_by_the_size_of_pages(spark, tmp_path):
+    rows = [(i, f"http://a.org/{i}", "x" * (50 + 10 * i if i % 3 else 5000 + i)) for i in range(60)] + [(99, "u", "y" * 90_000), (100, "v", "y" * 90_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = f"{tmp_path}/warc"
+    warc.write(df, path, classes=((1000, 10), (10_000, 4), (1 << 62, 1)))
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "warc").glob("part-*"))
+    assert len(sizes) >= 4 + 5 + 2 and sizes[-1] < 92_000 and sizes[-2] < 4 * 6000
+    found = {warc_id(r.record_id): r for r in warc.read(spark, path).collect()}
+    assert {i: r.payload_bytes for i, r in found.items()} == {i: len(h) for i, _, h in rows}
+    assert found[99].record_type == "revisit" and found[100].record_type == "response"
+
+
+def warc_id(urn):
+    return int(urn.removeprefix("<urn:page:").removesuffix(">"))
