@@ -46,6 +46,7 @@ _LOW, _HIGH = -4, 8  # gains beyond count as these
 _CACHE_BYTES = 64 << 20  # of windows whose gains a task remembers
 _AT_ONCE = 50_000
 _FOLDS, _ROUNDS = 3, 6
+_THREADS = 4  # of the driver, for the fit
 _BASE_BYTES, _TRAINED_BYTES = 256 << 10, 4096
 _SEGMENT, _MATCHED = 24, 6  # the trainer's segment and the runs that it counts
 
@@ -88,14 +89,14 @@ def _compressors(of: Dictionaries) -> tuple[zstandard.ZstdCompressor, zstandard.
     return _compressor(of.base + of.toxic), _compressor(of.base + of.ordinary)
 
 
-def _lengths(compressor: zstandard.ZstdCompressor, windows: list[bytes]) -> np.ndarray:
+def _lengths(compressor: zstandard.ZstdCompressor, windows: list[bytes], threads: int = 1) -> np.ndarray:
     """Compressed lengths of windows, each different one compressed once."""
     lengths = dict.fromkeys(windows, 0)
     different = list(lengths)
     for at in range(0, len(different), _AT_ONCE):
         some = different[at : at + _AT_ONCE]
         framed = [_CARRIER + w + _CARRIER for w in some]
-        lengths.update(zip(some, map(len, compressor.multi_compress_to_buffer(framed, threads=1))))
+        lengths.update(zip(some, map(len, compressor.multi_compress_to_buffer(framed, threads=threads))))
     return np.fromiter(map(lengths.__getitem__, windows), np.int64, len(windows))
 
 
@@ -145,10 +146,11 @@ def toxic_windows(
 ) -> tuple[list[bytes], list[Dictionaries]]:
     """Windows of toxic documents that are toxic by their gains, and for each fold dictionaries that have not seen it."""
     folds = [[w for d in toxic[k::_FOLDS] for w in d] for k in range(_FOLDS)]
+    tested = [ordinary[k::_FOLDS] for k in range(_FOLDS)]  # each dictionary is tried on a part of them
     without = _compressor(base + plain)
-    of_ordinary = _lengths(without, ordinary)
-    lengths = [_lengths(without, f) for f in folds]
-    worst = np.quantile(of_ordinary, 0.75) if len(of_ordinary) else 0
+    of_ordinary = [_lengths(without, t, _THREADS) for t in tested]
+    lengths = [_lengths(without, f, _THREADS) for f in folds]
+    worst = np.quantile(np.concatenate(of_ordinary), 0.75) if ordinary else 0
     kept = [[w for w, n in zip(f, ls) if n >= worst] for f, ls in zip(folds, lengths)]
     unseen: list[Dictionaries] = []
     for _ in range(rounds):
@@ -156,8 +158,8 @@ def toxic_windows(
             Dictionaries(base, trained([w for j, ws in enumerate(kept) if j != k for w in ws]), plain) for k in range(_FOLDS)
         ]
         made = [_compressor(base + d.toxic) for d in unseen]
-        gains = [n - _lengths(c, f) for c, f, n in zip(made, folds, lengths)]
-        usual = np.concatenate([of_ordinary - _lengths(c, ordinary) for c in made])
+        gains = [n - _lengths(c, f, _THREADS) for c, f, n in zip(made, folds, lengths)]
+        usual = np.concatenate([n - _lengths(c, t, _THREADS) for c, t, n in zip(made, tested, of_ordinary)])
         least = next((g for g in range(1, _HIGH) if (usual >= g).mean() <= share), _HIGH)
         following = [[w for w, g in zip(f, gs) if g >= least] for f, gs in zip(folds, gains)]
         if not any(following):
