@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AGGREGATES = ("sum", "min", "max")
@@ -90,14 +90,24 @@ def load(wt_attribute: DataFrame, metric: DataFrame) -> list[Attribute]:
     return list(found)
 
 
+def window_of(code: Column) -> Column:
+    """The window that a catalogue table's word stands for; other words stay."""
+    return F.coalesce(*(F.when(code == k, F.lit(v)) for k, v in WINDOW_SIZES.items()), code)
+
+
+def described(aggregate: Column, metric: Column, filter: Column, window: Column) -> Column:
+    """Attribute.description over the columns of as_table()."""
+    of = F.when(filter == "all", metric).otherwise(F.concat_ws(" ", filter, metric))
+    return F.concat(aggregate, F.lit("("), of, F.lit(") per "), window)
+
+
 def named(wt_attribute: DataFrame, metric: DataFrame) -> DataFrame:
     """(id, name) of each row of a catalogue table, as load() names them; rows of unknown metrics are left out."""
     parts = F.split("metric_name", "_")
-    size = F.coalesce(*(F.when(F.col("window_size") == k, F.lit(v)) for k, v in WINDOW_SIZES.items()), F.col("window_size"))
     return wt_attribute.join(metric.select(F.col("id").alias("metric"), F.col("name").alias("metric_name")), "metric").select(
         "id",
         F.concat_ws(
-            "_", "aggr_fun", F.element_at(parts, -1), F.when(F.size(parts) > 1, F.get(parts, 0)).otherwise("all"), size,
+            "_", "aggr_fun", F.element_at(parts, -1), F.when(F.size(parts) > 1, F.get(parts, 0)).otherwise("all"), window_of(F.col("window_size")),
             F.when(F.col("window_type") != "tumb", F.col("window_type")),
         ).alias("name"),
     )

@@ -261,6 +261,14 @@ def test_rules_by_catalogue_and_text(spark):
         assert sorted(map(tuple, R.matches(people, rule_tables.from_rows(spark, text), compiled=limit).collect())) == [(1, 1), (2, 2)]
 
 
+def test_descriptions_as_columns(spark):
+    table = A.as_table(spark, [*A.generated(), A.attribute("sum_dur_local_week_cont")])
+    text = A.described(*(F.col(c) for c in ("aggregate", "metric", "filter", "window")))
+    assert table.where(text == F.col("description")).count() == 43
+    codes = spark.createDataFrame([("d",), ("w",), ("week",)], "c string")
+    assert [r[0] for r in codes.select(A.window_of(F.col("c"))).collect()] == ["day", "week", "week"]
+
+
 def test_kinds_of_windows(spark):
     base = dt.datetime(2024, 1, 8)
     rows = [(i, base + dt.timedelta(hours=h), 1, "view", 1.0 + i, '{"k": 1}') for i, h in enumerate((0, 30, 100, 168, 190))]
