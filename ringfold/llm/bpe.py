@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import make_way, of_worker
+from .common import make_way, of_worker, text_slices
 
 #: White space by the Unicode property, as the pre-tokenizer's pattern has it.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -351,6 +351,26 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return make_way(df, out).withColumn(out, texts(_moved(df, ids, out)))
 
 
+def checked(text: Column, path: str) -> Column:
+    """A struct of the ids of each text, and whether they decode to it: both in one pass of one Python worker."""
+
+    @F.arrow_udf("struct<ids: array<int>, decodes: boolean>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own, vocab = of_worker((numpy_encoder.__name__, path), lambda: numpy_encoder(path)), vocabulary(path)
+        for column in batches:
+            texts = column.to_pylist()
+            ids, lens, same = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], []
+            for a, b in text_slices(texts):
+                found, sizes = own.encode_column(texts[a:b])
+                ids.append(found)
+                lens.append(sizes)
+                same += [x == (t or "") for x, t in zip(vocab.decode(found, sizes), texts[a:b])]
+            lists = list_array(np.concatenate(ids), np.concatenate(lens))
+            yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "decodes"])
+
+    return both(text.cast("string"))
+
+
 def digests(df: DataFrame, path: str) -> DataFrame:
     """The contract's row of each document: counts and digests of its ids and of their text."""
     coded = decode(encode(df.select("doc_id", "text"), path), path)

@@ -81,6 +81,13 @@ def test_digests(spark):
     assert bpe.digests(docs.limit(0), PATH).count() == 0
 
 
+def test_checked_ids(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "i long, text string")
+    for i, (ids, decodes) in docs.select("i", bpe.checked(F.col("text"), PATH)).collect():
+        assert ids == expected(TEXTS[i]) and decodes == (LIBRARY.decode(ids, skip_special_tokens=False) == (TEXTS[i] or ""))
+    assert docs.limit(0).select(bpe.checked(F.col("text"), PATH)).count() == 0
+
+
 def test_extra_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a b", "kept")], "doc_id long, text string, tokens string")
     row = bpe.decode(bpe.encode(docs, PATH), PATH).first()
