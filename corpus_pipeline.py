@@ -38,15 +38,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, checked by decoding them, and its place in the training order."""
-    coded = bpe.decode(bpe.encode(mixing.stored_order(docs), VOCABULARY), VOCABULARY)
+    coded = mixing.stored_order(docs).withColumn("coded", bpe.checked(F.col("text"), VOCABULARY))
+    ids = F.col("coded.ids")
     return coded.select(
-        "place",
-        "doc_id",
-        "lang",
-        "source",
-        "ids",
-        F.size("ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decodes"),
+        "place", "doc_id", "lang", "source", ids.alias("ids"), F.size(ids).cast("long").alias("n_tokens"), "coded.decodes"
     )
 
 
