@@ -13,12 +13,14 @@ from pyspark.sql.window import Window
 from ..storage import new_path, shared_dir
 
 __all__ = [
-    "WORD", "laid_out", "make_way", "long_id", "lower_ascii", "new_path", "of_worker", "partition_of", "removed",
+    "FOLDED", "WORD", "laid_out", "make_way", "long_id", "lower_ascii", "new_path", "of_worker", "partition_of", "removed",
     "running_start", "shared_dir", "stored", "text_slices",
 ]
 
 #: A word is a run of anything but ASCII white space; the same class as bytes.split().
 WORD = r"[^\x20\x09-\x0D]+"
+#: For bytes.translate(): A-Z lower-cased, ASCII letters, digits and other characters kept, all else a space.
+FOLDED = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes(range(128, 256))
 _T = TypeVar("_T")
 _kept: dict[Hashable, object] = {}
 _ROW_BITS = 33  # monotonically_increasing_id() keeps the partition above these bits

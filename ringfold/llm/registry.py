@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, bpe, host_trust, minhash, mixing, order_minhash, quality, token_files, toxicity, warc
+from . import (
+    ball_tree, bpe, host_trust, lexical, licenses, minhash, mixing, order_minhash, periodic, quality, token_files, toxicity, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,10 +60,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_ball_tree, op2_quality, op3_host_trust, op4_minmax_dedup, op5_bpe,
         op6_toxicity, op7_token_files, op8_curriculum_mix, op9_order_minhash, op10_warc,
+        op11_lexical, op12_licenses, op13_periodic,
     )
     return {f.__name__: f for f in found}
 
@@ -72,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_host_trust": host_trust.JUDGE_SQL,
         "op8_curriculum_mix": mixing.TAKEN_SQL,
         "op10_warc": warc.ROUND_TRIP_SQL,
+        "op11_lexical": lexical.SEARCH_SQL,
     }

@@ -1,0 +1,105 @@
+import random
+import re
+
+import pytest
+
+from ringfold.llm import licenses
+from ringfold.llm.licenses import MOST, NOTICES, RATE, Notice, Scanner
+
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def base_places(words):
+    found = []
+    for phrase, label in PHRASES.items():
+        p = phrase.split()
+        found += [(i, label) for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+    return found
+
+
+def least_edits(pattern, text):
+    """The least edits between pattern and any part of text."""
+    above = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        row = [i]
+        for j, c in enumerate(text, 1):
+            row.append(min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (p != c)))
+        above = row
+    return min(above)
+
+
+def misspelt(rng, text, edits):
+    for _ in range(edits):
+        i = rng.randrange(len(text))
+        text = rng.choice([text[:i] + text[i + 1 :], text[:i] + rng.choice("abxyz9") + text[i:], text[:i] + rng.choice("abxyz9") + text[i + 1 :]])
+    return text
+
+
+def sample(n=250):
+    rng = random.Random(8)
+    filler = "the of license version and under general public rights nc by cc mit word other é für 2 4 0".split()
+    texts = [None, "", " ", "Under THE MIT-License!", "CC BY-NC cc by nc cc-by nc", "under the mit license " * 3, "cc by nc nd"]
+    for _ in range(n):
+        parts = rng.choices(filler, k=rng.randrange(12))
+        for _ in range(rng.randrange(3)):
+            parts.append(misspelt(rng, rng.choice(NOTICES).text, rng.randrange(5)))
+            parts += rng.choices(filler, k=rng.randrange(8))
+        texts.append(rng.choice([" ", ", ", "\n"]).join(parts).title() if rng.random() < 0.3 else " ".join(parts))
+    return texts
+
+
+@pytest.mark.parametrize("notice", [n for n in NOTICES if len(n.text) < 60])
+def test_a_notice_alone_is_found_exactly_where_edits_allow(notice):
+    scanner = Scanner([Notice(notice.label, notice.text)], RATE)
+    edits = min(MOST, int(RATE * len(notice.text)))
+    rng = random.Random(notice.text)
+    texts = [misspelt(rng, f"so {notice.text} it", rng.randrange(6)) for _ in range(25)] + sample(15)[3:]
+    for text in texts:
+        text = " ".join(words_of(text))
+        hits = scanner.hits(text)
+        assert bool(hits) == (least_edits(notice.text, text) <= edits), text
+        for _, _, _, found, start, end, first, last in hits:
+            assert least_edits(notice.text, text[start:end]) <= found <= edits
+            assert text[:start].count(" ") == first and text[: end - 1].count(" ") == last
+
+
+def test_scan_against_plain_loops(spark):
+    texts = sample()
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, hits string")
+    found = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert len(found) == len(texts)
+    for i, text in enumerate(texts):
+        words, row = words_of(text), found[i]
+        places = base_places(words)
+        at = [p for p, _ in places]
+        assert (row.n_words, row.n_base, row.first_word, row.last_word) == (
+            len(words), len(places), min(at, default=None), max(at, default=None),
+        )
+        base = {label for _, label in places}
+        assert row.base_labels == ",".join(sorted(base))
+        labels = set(row.labels.split(",")) - {""}
+        near = {n.label for n in NOTICES if least_edits(n.text, " ".join(words)) <= min(MOST, int(RATE * len(n.text)))}
+        assert base <= labels <= near | base and bool(labels) == bool(near | base)
+        assert 0 <= row.score <= 1 and (row.score > 0) == bool(labels) and (not base or row.score == 1)
+
+
+def test_version_numbers_are_not_misspellings(spark):
+    rows = [
+        (1, "GNU General Public License, version 3"), (2, "Licensed under CC BY-NC 4.0"), (3, "GNU Genral Publik License version 2"),
+        (4, "clean text of no license at all"), (5, None),
+    ]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.labels for r in sorted(found)] == ["gpl-3", "cc-by-nc", "gpl-2", "", ""]
+
+
+def test_spans_names_and_very_long_texts(spark):
+    text = "word " * 300_000 + "under the mlt license " + "license " * 20_000
+    docs = spark.createDataFrame([(1, text, 7)], "doc_id long, text string, n_words int")
+    row = licenses.find(docs).first()
+    assert row.n_words_before == 7 and row.n_words == 320_004
+    assert [(h.label, h.edits, h.first_word, h.last_word) for h in row.hits] == [("mit", 1, 300_000, 300_003)]
+    assert licenses.scan(docs.limit(0)).count() == 0
