@@ -3,21 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import compared, matches as text_matches
-from ..sources.rules import Rules
+from ..sources.rules import INTERVALS, TEXT_TYPES, Rules
+from .campaign_index import matching
 
-#: Firing intervals in days; 0 reports every match.
-INTERVALS = {"0": 0, "1d": 1, "2d": 2, "w": 7}
 _DAY_MS = 86_400_000
-#: Constants of these types are compared as text (eq, like), all others as doubles.
-TEXT_TYPES = ("string", "text", "char", "varchar")
 
 
 def predicate_values(wide: DataFrame, rules: Rules) -> DataFrame:
@@ -65,41 +60,21 @@ def valid_at(campaigns: DataFrame, as_of_ms: int) -> DataFrame:
     return campaigns.where((F.col("valid_from") <= as_of_ms) & (F.col("valid_to") > as_of_ms))
 
 
-def conditions(wide: DataFrame, rows: list) -> dict[int, Column]:
-    """Of each campaign in rows of Rules.flat() the condition on columns of wide."""
-    _known(wide, sorted({r["attribute"] for r in rows}))
-    tests: dict[int, dict[int, list[Column]]] = {}
-    for r in rows:
-        operator, value = F.lit(r["operator"]), F.lit(r["value"])
-        if r["data_type"] in TEXT_TYPES:
-            test = text_matches(F.col(r["attribute"]).cast("string"), operator, value)
-        else:
-            test = compared(_number(wide, r["attribute"]), operator, value.try_cast("double"))
-        tests.setdefault(r["campaign"], {}).setdefault(r["conjunct"], []).append(test)
-    return {
-        campaign: reduce(Column.__or__, (reduce(Column.__and__, each) for each in conjuncts.values()))
-        for campaign, conjuncts in tests.items()
-    }
-
-
-def matches(wide: DataFrame, rules: Rules, as_of_ms: int | None = None, compiled: int = 5_000) -> DataFrame:
+def matches(wide: DataFrame, rules: Rules, as_of_ms: int | None = None, compiled: int = 300_000) -> DataFrame:
     """(subscriber_id, campaign) of campaigns that hold, of those valid at a time if one is given.
 
-    Up to `compiled` predicates become one expression a campaign over the row, and nothing is shuffled; more
-    are joined and grouped, with the same result.
+    Up to `compiled` predicates (some 60 MB) become an index that goes to all tasks, and nothing is shuffled;
+    more are joined and grouped, with the same result.
     """
-    rows = rules.flat().limit(compiled + 1).collect()
+    valid = None if as_of_ms is None else valid_at(rules.campaign, as_of_ms).select(F.col("id").alias("campaign"))
+    flat = rules.flat() if valid is None else rules.flat().join(valid, "campaign", "left_semi")
+    rows = flat.limit(compiled + 1).collect()
     if len(rows) <= compiled:
-        campaigns = rules.campaign if as_of_ms is None else valid_at(rules.campaign, as_of_ms)
-        ids = campaigns.join(rules.flat().select(F.col("campaign").alias("id")).distinct(), "id", "left_semi")
-        valid = {r["id"] for r in ids.select("id").collect()}  # a row for one predicate at least
-        found = [F.when(c, F.lit(k)) for k, c in sorted(conditions(wide, rows).items()) if k in valid]
-        hits = F.array_compact(F.array(*found)) if found else F.array().cast("array<int>")
-        return wide.select("subscriber_id", F.explode(hits).alias("campaign"))
+        _known(wide, sorted({r["attribute"] for r in rows}))
+        return matching(wide, rows)
     found = campaign_values(conjunct_values(predicate_values(wide, rules))).where("holds").drop("holds")
-    if as_of_ms is None:
+    if valid is None:
         return found
-    valid = valid_at(rules.campaign, as_of_ms).select(F.col("id").alias("campaign"))
     return found.join(valid, "campaign", "left_semi").select("subscriber_id", "campaign")
 
 

@@ -58,6 +58,38 @@ RULES_BY_ID: dict[str, list[tuple]] = RULES | {
     ],
     "predicate": [(k, ALL.index(name), operator, constant) for k, name, operator, constant in RULES["predicate"]],
 }
+
+
+def _many_rules(campaigns: int) -> dict[str, list[tuple]]:
+    """Campaigns of one to five conjuncts of one to five predicates each, on all attributes, with shared predicates."""
+    top = {"call": 30, "dur": 160, "cost": 400}
+    draw, predicates, constants = 1, {}, {}
+    tables: dict[str, list[tuple]] = {"campaign": [], "conjunct": [], "conjunct_predicate": []}
+
+    def drawn(below: int) -> int:
+        nonlocal draw
+        draw = (draw * 48_271) % (2**31 - 1)
+        return (draw >> 8) % below
+
+    for c in range(1, campaigns + 1):
+        start = 1_704_067_200_000 + drawn(20) * 86_400_000
+        interval, condition = list(R.INTERVALS)[drawn(4)], rule_tables.STARTS[drawn(2)]
+        tables["campaign"].append((c, start, start + (1 + drawn(30)) * 86_400_000, interval, condition))
+        for _ in range(1 + drawn(5)):
+            conjunct = len(tables["conjunct"]) + 1
+            tables["conjunct"].append((conjunct, c))
+            found = set()
+            for _ in range(1 + drawn(5)):
+                attribute, operator = ALL[drawn(len(ALL))], ("lt", "lte", "gr", "gre", "gr", "gre", "eq")[drawn(7)]
+                constant = constants.setdefault(str(drawn(top[A.attribute(attribute).metric])), len(constants) + 1)
+                found.add(predicates.setdefault((attribute, operator, constant), len(predicates) + 1))
+            tables["conjunct_predicate"] += [(p, conjunct) for p in sorted(found)]
+    tables["predicate"] = [(k, *of) for of, k in predicates.items()]
+    tables["constant"] = [(k, value, "int") for value, k in constants.items()]
+    return tables
+
+
+MANY_RULES = _many_rules(300)
 MOVING = ("sum_call_all_week_cont", "max_cost_local_day_cont", "sum_dur_all_week_step", "min_dur_nonlocal_week_step", "sum_dur_all_week")
 
 
@@ -253,12 +285,11 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, names = C.read_events(spark, sf_dir), ("sum_call_all_week", "max_dur_all_week")
     attributes = [A.attribute(n) for n in names]
     at = F.lit(AS_OF).cast("timestamp_ntz")
-    root = new_path(spark, "wide")
-    S.commit(M.wide_table(M.day_partials(calls.where(F.col("ts") < at)), attributes), root)
+    table = S.RangedTable(new_path(spark, "wide"), 200)
+    table.upsert(M.wide_table(M.day_partials(calls.where(F.col("ts") < at)), attributes))
     changed = calls.where(F.col("ts") >= at).select("caller_id").distinct()
-    fresh = M.wide_table(M.day_partials(calls.join(changed, "caller_id", "left_semi")), attributes)
-    S.commit(S.upserted(S.current(spark, root), fresh), root)
-    return S.current(spark, root).select("subscriber_id", *names)
+    table.upsert(M.wide_table(M.day_partials(calls.join(changed, "caller_id", "left_semi")), attributes))
+    return table.read(spark).select("subscriber_id", *names)
 
 
 def populate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,6 +343,11 @@ def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.matches(_rule_matrix(spark, sf_dir), _rules(spark), AS_OF_MS)
 
 
+def campaign_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """300 campaigns on all attributes, against every customer."""
+    return R.matches(matrix(spark, sf_dir), rule_tables.from_rows(spark, MANY_RULES), AS_OF_MS)
+
+
 def rule_matches_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows from rules whose predicates name attributes by their number in a catalogue."""
     rules = rule_tables.from_rows(spark, RULES_BY_ID)
@@ -364,25 +400,39 @@ def _windows_sql(source: str) -> str:
     )
 
 
-_predicate_rows = ", ".join(
-    f"({cj[1]}, {cp[1]}, {p[0]}, '{p[1]}', '{p[2]}', {k[1]}.0)"
-    for cp in RULES["conjunct_predicate"]
-    for cj in RULES["conjunct"] if cj[0] == cp[1]
-    for p in RULES["predicate"] if p[0] == cp[0]
-    for k in RULES["constant"] if k[0] == p[3]
-)
-_used = sorted({p[1] for p in RULES["predicate"]})
-_value_case = " ".join(f"WHEN '{n}' THEN CAST(m.{n} AS DOUBLE)" for n in _used)
-RULES_SQL = f"""{matrix_sql(_used)},
-flat(campaign, conjunct, predicate, attribute, op, v) AS (VALUES {_predicate_rows}),
-pv AS (SELECT subscriber_id, campaign, conjunct, predicate, op, v, CASE attribute {_value_case} END AS x FROM m, flat),
+def rules_sql(tables: dict[str, list[tuple]]) -> str:
+    conjuncts, predicates = dict(tables["conjunct"]), {p[0]: p for p in tables["predicate"]}
+    constants = {k[0]: k[1] for k in tables["constant"]}
+    rows = ", ".join(
+        f"({conjuncts[c]}, {c}, {p}, '{predicates[p][1]}', '{predicates[p][2]}', {constants[predicates[p][3]]}.0)"
+        for p, c in tables["conjunct_predicate"]
+    )
+    used = sorted({p[1] for p in tables["predicate"]})
+    values = " ".join(f"WHEN '{n}' THEN CAST(m.{n} AS DOUBLE)" for n in used)
+    return f"""{matrix_sql(used)},
+flat(campaign, conjunct, predicate, attribute, op, v) AS (VALUES {rows}),
+pv AS (SELECT subscriber_id, campaign, conjunct, predicate, op, v, CASE attribute {values} END AS x FROM m, flat),
 ph AS (SELECT subscriber_id, campaign, conjunct, predicate, coalesce(CASE op WHEN 'lt' THEN x < v WHEN 'lte' THEN x <= v
-       WHEN 'gr' THEN x > v WHEN 'gre' THEN x >= v END, false) AS holds FROM pv),
+       WHEN 'gr' THEN x > v WHEN 'gre' THEN x >= v WHEN 'eq' THEN x = v END, false) AS holds FROM pv),
 ch AS (SELECT subscriber_id, campaign, conjunct, bool_and(holds) AS holds FROM ph GROUP BY ALL)
 """
-_campaign_rows = ", ".join(f"({c[0]}, {c[1]}, {c[2]}, {R.INTERVALS[c[3]] * 86_400_000}, '{c[4]}')" for c in RULES["campaign"])
+
+
+def campaigns_sql(tables: dict[str, list[tuple]]) -> str:
+    return ", ".join(f"({c[0]}, {c[1]}, {c[2]}, {R.INTERVALS[c[3]] * 86_400_000}, '{c[4]}')" for c in tables["campaign"])
+
+
+def matches_sql(tables: dict[str, list[tuple]]) -> str:
+    return (
+        rules_sql(tables)
+        + f", k(campaign, vf, vt, len, start) AS (VALUES {campaigns_sql(tables)}) SELECT subscriber_id, ch.campaign FROM ch JOIN k "
+        f"ON k.campaign = ch.campaign WHERE vf <= {AS_OF_MS} AND vt > {AS_OF_MS} GROUP BY 1, 2 HAVING bool_or(holds)"
+    )
+
+
+RULES_SQL = rules_sql(RULES)
 REPORTS_SQL = f"""WITH RECURSIVE {CALLS_SQL},
-k(campaign, vf, vt, len, start) AS (VALUES {_campaign_rows}),
+k(campaign, vf, vt, len, start) AS (VALUES {campaigns_sql(RULES)}),
 c AS (SELECT DISTINCT caller_id AS subscriber_id, campaign, epoch_us(ts) // 1000 AS at_ms, vf, len, start
       FROM calls, k WHERE cost > 60 AND epoch_us(ts) // 1000 >= vf AND epoch_us(ts) // 1000 < vt),
 s AS (SELECT subscriber_id, campaign, min(at_ms) AS at_ms FROM c WHERE len > 0 AND start = 'sliding' GROUP BY 1, 2
@@ -463,18 +513,9 @@ for _f, _sql in (
     ),
     (rule_predicates, RULES_SQL + "SELECT * FROM ph"),
     (rule_conjuncts, RULES_SQL + "SELECT * FROM ch"),
-    (
-        rule_matches,
-        RULES_SQL
-        + f", k(campaign, vf, vt, len, start) AS (VALUES {_campaign_rows}) SELECT subscriber_id, ch.campaign FROM ch JOIN k "
-        f"ON k.campaign = ch.campaign WHERE vf <= {AS_OF_MS} AND vt > {AS_OF_MS} GROUP BY 1, 2 HAVING bool_or(holds)",
-    ),
-    (
-        rule_matches_by_id,
-        RULES_SQL
-        + f", k(campaign, vf, vt, len, start) AS (VALUES {_campaign_rows}) SELECT subscriber_id, ch.campaign FROM ch JOIN k "
-        f"ON k.campaign = ch.campaign WHERE vf <= {AS_OF_MS} AND vt > {AS_OF_MS} GROUP BY 1, 2 HAVING bool_or(holds)",
-    ),
+    (rule_matches, matches_sql(RULES)),
+    (campaign_index, matches_sql(MANY_RULES)),
+    (rule_matches_by_id, matches_sql(RULES)),
     (
         moving_windows,
         f"WITH {CALLS_SQL} SELECT caller_id AS subscriber_id, count(*) FILTER (ts > l - INTERVAL 7 DAY) AS sum_call_all_week_cont, "

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.values import OPERATORS
 from . import catalogue
 
+#: Firing intervals in days (0 reports every match), and where a period begins.
+INTERVALS = {"0": 0, "1d": 1, "2d": 2, "w": 7}
+STARTS = ("fixed", "sliding")
+#: Constants of these types are compared as text (eq, E, like), all others as numbers.
+TEXT_TYPES = ("string", "text", "char", "varchar")
+_TEXT_OPERATORS = ("eq", "E", "like")
 #: predicate names an attribute of the wide table, or (wt_attribute) the catalogue's row of it.
 SCHEMAS = {
     "campaign": "id int, valid_from long, valid_to long, firing_interval string, firing_start_condition string",
@@ -42,16 +48,35 @@ class Rules:
     wt_attribute: DataFrame | None = None  # (id, name), where predicates refer to it
 
     def checked(self) -> Rules:
-        """Raises where a row refers to one that is missing, and where an operator is not known."""
+        """Raises where a row refers to one that is missing, or says what would never hold or never be reported."""
         more = () if self.wt_attribute is None else (("predicate", "wt_attribute", "wt_attribute"),)
-        if row := self.predicate.where(~F.col("operator").isin(*OPERATORS)).first():
-            raise ValueError(f"predicate {row['id']}: {row['operator']!r} is none of {OPERATORS}")
+        for table, column, allowed in (
+            ("predicate", "operator", OPERATORS),
+            ("campaign", "firing_interval", tuple(INTERVALS)),
+            ("campaign", "firing_start_condition", STARTS),
+        ):
+            if row := getattr(self, table).where(F.col(column).isNull() | ~F.col(column).isin(*allowed)).first():
+                raise ValueError(f"{table} {row['id']}: {row[column]!r} is none of {allowed}")
+        if row := self.campaign.where("valid_from is null or valid_to is null").first():
+            raise ValueError(f"campaign {row['id']}: valid_from and valid_to are needed")
         for table, column, of in (*_REFERENCES, *more):
             ids = getattr(self, of).select(F.col("id").alias(column))
             if row := getattr(self, table).join(ids, column, "left_anti").first():
                 raise ValueError(f"{table}: {column} {row[column]} is not in {of}")
+        self._check_constants()
         return self
 
+    def _check_constants(self) -> None:
+        text = F.coalesce(F.col("data_type").isin(*TEXT_TYPES), F.lit(False))
+        number = F.col("value").try_cast("double")
+        finite = F.coalesce(F.abs(number) < float("inf"), F.lit(False))  # NaN is larger
+        if row := self.constant.where(~text & ~finite | text & F.col("value").isNull()).first():
+            raise ValueError(f"constant {row['id']}: {row['value']!r} is no {row['data_type']}")
+        of = self.predicate.join(self.constant.select(F.col("id").alias("constant"), "value", "data_type"), "constant")
+        misplaced = F.when(text, ~F.col("operator").isin(*_TEXT_OPERATORS)).otherwise(F.col("operator") == "like")
+        if row := of.where(misplaced).first():
+            raise ValueError(f"predicate {row['id']}: {row['operator']!r} of a constant of type {row['data_type']}")
+
     def flat(self) -> DataFrame:
         """(campaign, conjunct, predicate, attribute, operator, value, data_type) of each predicate in each conjunct."""
         predicate = self.predicate.withColumnRenamed("id", "predicate")

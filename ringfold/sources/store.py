@@ -1,18 +1,16 @@
-"""Tables of subscribers: layout, bulk load, reads, and versioned writes.
-
-A version is a folder of Parquet files; its number is appended to a small table of commits once it is
-complete, so readers of the newest commit never see half a version.
-"""
+"""Tables of subscribers: layout, bulk load, reads, and updates of the id ranges that a change touches."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import table_or_none
+from ..storage import deleted, stored, table_or_none
 from .catalogue import Attribute
 from .dimensions import DIMENSIONS, drawn_codes
 
@@ -68,24 +66,75 @@ def lookup(wide: DataFrame, keys: DataFrame, key: str = "subscriber_id") -> Data
     return wide.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def upserted(current: DataFrame, changed: DataFrame, key: str = "subscriber_id") -> DataFrame:
-    """current with the rows of changed in place of those with their keys."""
-    return current.join(changed.select(key), key, "left_anti").unionByName(changed)
-
-
-def commit(rows: DataFrame, root: str) -> int:
-    """Write the next version of a table and make it the current one; of two writers at once the later fails."""
-    spark = rows.sparkSession
-    version = (current_version(spark, root) or 0) + 1
-    rows.write.mode("error").parquet(f"{root}/v={version}")
-    spark.createDataFrame([(version,)], "version long").write.mode("append").parquet(f"{root}/commits")
-    return version
-
-
-def current_version(spark: SparkSession, root: str) -> int | None:
-    commits = table_or_none(spark, f"{root}/commits", "version long")
-    return None if commits is None else commits.agg(F.max("version")).first()[0]
-
-
-def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/v={current_version(spark, root)}")
+RANGE = "id_range"
+
+
+@dataclass(frozen=True)
+class RangedTable:
+    """Rows with a unique key, in Parquet partitions of `width` keys each, under root/rows.
+
+    An update reads and writes only the partitions that hold a changed key. It first writes the new rows of
+    these to root/pending, then the list of them to root/plan, and then overwrites the partitions. From
+    the moment the plan is whole the update will be done: whoever updates next finishes it first, and doing so twice
+    changes nothing. An update that died before that has left the rows as they were. There is one writer at a time;
+    width should leave no more than some ten thousand ranges, as their numbers meet at the driver.
+    """
+
+    root: str
+    width: int
+    key: str = "subscriber_id"
+
+    def ranged(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn(RANGE, F.floor(F.col(self.key) / self.width).cast("long"))
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.root}/rows").drop(RANGE)
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The rows whose keys are among keys, from their partitions alone."""
+        wanted = self.ranged(keys.select(self.key).distinct())
+        rows = keys.sparkSession.read.parquet(f"{self.root}/rows")
+        return rows.where(F.col(RANGE).isin(self._hit(wanted))).join(wanted.drop(RANGE), self.key, "left_semi").drop(RANGE)
+
+    def upsert(self, changed: DataFrame) -> list[int]:
+        """Put changed rows in place of those with their keys, or beside them; the ranges written.
+
+        changed has the table's columns, in any order; a null key, or one that occurs twice, raises.
+        """
+        spark = changed.sparkSession
+        self.recover(spark)
+        rows = self.ranged(stored(changed, "changed"))
+        twice = rows.groupBy(self.key).count().where(f"count > 1 or {self.key} is null").first()
+        if twice:
+            raise ValueError(f"{self.key} {twice[0]} is not unique among the changed rows")
+        hit = self._hit(rows)
+        if not hit:
+            return hit
+        before = table_or_none(spark, f"{self.root}/rows", rows.schema)
+        if before is not None:
+            kept = before.where(F.col(RANGE).isin(hit)).join(rows.select(self.key), self.key, "left_anti")
+            rows = kept.unionByName(rows)
+        write = uuid.uuid4().hex
+        self._by_range(rows.repartition(RANGE).sortWithinPartitions(RANGE, self.key), f"{self.root}/pending/{write}")
+        plan = spark.createDataFrame([(r, len(hit), write) for r in hit], "id_range long, ranges long, write string")
+        plan.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/plan")
+        self.recover(spark)
+        return hit
+
+    def recover(self, spark: SparkSession) -> None:
+        """Finish an update whose plan is whole; drop what an unfinished one has left."""
+        plan = table_or_none(spark, f"{self.root}/plan", "id_range long, ranges long, write string")
+        rows = [] if plan is None else plan.collect()
+        if rows and len(rows) == rows[0]["ranges"]:
+            pending = spark.read.parquet(f"{self.root}/pending/{rows[0]['write']}")
+            self._by_range(pending, f"{self.root}/rows", overwrite=True)
+        deleted(spark, f"{self.root}/plan")
+        deleted(spark, f"{self.root}/pending")
+
+    def _hit(self, rows: DataFrame) -> list[int]:
+        return sorted(r[RANGE] for r in rows.select(RANGE).distinct().collect())
+
+    @staticmethod
+    def _by_range(rows: DataFrame, path: str, overwrite: bool = False) -> None:
+        writer = rows.write.mode("overwrite" if overwrite else "error").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(RANGE).parquet(path)

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _own: str | None = None
 
@@ -22,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own}"
 
 
-def table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+def table_or_none(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame | None:
     """The Parquet table at path; None if nothing has been written there."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -32,5 +33,18 @@ def table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | No
         raise
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if there is one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write df as Parquet into the shared folder and read it again."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ringfold/{name}-{uuid.uuid4().hex}"

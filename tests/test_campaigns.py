@@ -1,0 +1,92 @@
+"""The campaign index against the join, and rules that are refused."""
+
+import random
+
+import pytest
+
+from ringfold.operators import campaign_index
+from ringfold.operators import rules as R
+from ringfold.sources import rules as rule_tables
+
+COLUMNS = "subscriber_id long, a long, b double, c int, city string"
+
+
+def tables(seed, campaigns=60):
+    rng = random.Random(seed)
+    found = {"campaign": [(c, rng.randrange(5), 5 + rng.randrange(5), "0", "fixed") for c in range(campaigns)]}
+    found["constant"] = [(i, str(i - 3), "int") for i in range(8)] + [(8, "1.5", "double"), (9, "-0.0", "double")]
+    found["constant"] += [(20, "B%", "string"), (21, "Bern", "text"), (22, "%", "string")]
+    found["predicate"] = []
+    for name in "abc":
+        found["predicate"] += [
+            (len(found["predicate"]) + i, name, op, k) for i, (op, k) in enumerate((op, k) for op in ("lt", "lte", "gr", "gre", "eq", "E") for k in range(10))
+        ]
+    found["predicate"] += [(1000 + i, "city", op, k) for i, (op, k) in enumerate([("like", 20), ("eq", 21), ("E", 21), ("like", 22)])]
+    ids = [p[0] for p in found["predicate"]]
+    found["conjunct"], found["conjunct_predicate"] = [], []
+    for c in range(campaigns):
+        for _ in range(rng.randrange(5)):  # some have none
+            k = len(found["conjunct"])
+            found["conjunct"].append((k, c))
+            found["conjunct_predicate"] += [(p, k) for p in rng.sample(ids, rng.randrange(4))]  # so have some of these
+    rng.shuffle(found["conjunct"])
+    return found
+
+
+def people(spark, n=400):
+    rng = random.Random(9)
+    some = [None, float("nan"), float("inf"), -float("inf"), -0.0, 0.0, 1.5]
+    rows = [
+        (i, rng.choice([None, *range(-5, 6)]), rng.choice([*some, *map(float, range(-5, 6))]), rng.choice([None, 0, 1, 4]), rng.choice([None, "Bern", "Basel", "Ulm", ""]))
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows, COLUMNS)
+
+
+@pytest.mark.parametrize("seed, size", [(1, 1024), (2, 7), (3, 1)])
+def test_index_equals_the_join(spark, monkeypatch, seed, size):
+    monkeypatch.setattr(campaign_index.chunks, "__defaults__", (size,))
+    rules, wide = rule_tables.from_rows(spark, tables(seed)), people(spark)
+    for at in (None, 6):
+        found = sorted(map(tuple, R.matches(wide, rules, at).collect()))
+        assert found == sorted(map(tuple, R.matches(wide, rules, at, compiled=0).collect())) and len(found) > 1000
+    plan = R.matches(wide, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_no_campaign_is_valid_and_no_subscriber_is_there(spark):
+    rules = rule_tables.from_rows(spark, tables(1))
+    assert R.matches(people(spark), rules, 1_000).count() == 0
+    assert R.matches(people(spark).limit(0), rules).count() == 0
+
+
+def test_equal_predicates_are_one_threshold():
+    (chunk,) = campaign_index.chunks([(1, 1, "a", "gr", 3.0), (1, 2, "a", "gr", 3.0), (2, 3, "a", "gre", 3.0), (2, 3, "a", "lt", 9.0)])
+    assert sorted((kind.kind, len(kind.sorted)) for _, kind in chunk.thresholds) == [("least", 2), ("most", 1)]
+
+
+GOOD = {
+    "campaign": [(1, 0, 10, "w", "fixed")], "conjunct": [(1, 1)], "conjunct_predicate": [(1, 1)],
+    "predicate": [(1, "a", "gr", 1)], "constant": [(1, "5", "int")],
+}
+
+
+@pytest.mark.parametrize(
+    "table, row, said",
+    [
+        ("campaign", (1, 0, 10, "3d", "fixed"), "3d"),
+        ("campaign", (1, 0, 10, None, "fixed"), "None"),
+        ("campaign", (1, 0, 10, "w", "soon"), "soon"),
+        ("campaign", (1, 0, None, "w", "fixed"), "valid_to"),
+        ("predicate", (1, "a", "like", 1), "like"),
+        ("predicate", (1, "a", None, 1), "None"),
+        ("constant", (1, "abc", "int"), "abc"),
+        ("constant", (1, "NaN", "double"), "NaN"),
+        ("constant", (1, "inf", "double"), "inf"),
+        ("constant", (1, None, "int"), "None"),
+        ("constant", (1, "5", "string"), "gr"),
+    ],
+)
+def test_bad_rules_are_refused(spark, table, row, said):
+    with pytest.raises(ValueError, match=said):
+        rule_tables.from_rows(spark, GOOD | {table: [row]})
