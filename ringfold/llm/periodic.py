@@ -24,7 +24,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, make_way, text_slices
@@ -219,18 +219,17 @@ def find(docs: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """docs with the contract's planted periods: in one of ten texts, by crc32 of doc_id, the words from one on repeat."""
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     h = F.crc32(F.col("doc_id").cast("long").cast("string"))
-    g = F.floor(h / 10)
-    n = F.size(words)
-
-    def planted(a: Column, p: Column) -> Column:
-        places = F.sequence(F.lit(0), n - 1)
-        return F.array_join(F.transform(places, lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
-
-    a = g % n
-    text = F.when((h % 10 == 0) & (n > 0), planted(a, 1 + F.floor((n - a) / (3 + g % 8)))).otherwise(F.col("text"))
-    return docs.withColumn("text", text)
+    g, n = F.floor(h / 10), F.size("_words")
+    # Columns of their own, used more than once, so that they are not put into the lambda and found for each word.
+    rows = docs.withColumn("_words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    rows = rows.withColumn("_at", F.when(n > 0, F.struct((g % n).cast("int").alias("a"), (3 + g % 8).alias("parts"))))
+    rows = rows.withColumn("_p", (1 + F.floor((n - F.col("_at.a")) / F.col("_at.parts"))).cast("int"))
+    a, p = F.col("_at.a"), F.col("_p")
+    places = F.sequence(F.lit(0), n - 1)
+    planted = F.transform(places, lambda i: F.get("_words", F.when(i < a, i).otherwise(a + (i - a) % p)))
+    text = F.when(n > 0, F.array_join(planted, " ")).otherwise(F.col("text"))
+    return rows.withColumn("text", text).drop("_words", "_at", "_p")
 
 
 def digests(docs: DataFrame) -> DataFrame:
