@@ -89,14 +89,17 @@ def wide_table(partials: DataFrame, attributes: Sequence[Attribute]) -> DataFram
 def wide_table_of_calls(calls: DataFrame, attributes: Sequence[Attribute]) -> DataFrame:
     """wide_table with continuous attributes, too: their day or week ends at the subscriber's last call.
 
-    Those depend on each call's time, so calls move once for them; all others come from partials.
+    Those depend on each call's time, so calls are joined with the last one's; all others, and the time of the last,
+    come from partials.
     """
     moving = [a for a in attributes if a.kind == "cont"]
-    rest = wide_table(day_partials(calls), [a for a in attributes if a.kind != "cont"])
+    partials = day_partials(calls)
+    rest = wide_table(partials, [a for a in attributes if a.kind != "cont"])
     if not moving:
         return rest
     known = calls.where("caller_id is not null and ts is not null")
-    rows = known.withColumn("last", F.max("ts").over(Window.partitionBy("caller_id"))).withColumn("calls", F.lit(1))
+    last = partials.groupBy("caller_id").agg(F.max("last_ts").alias("last"))
+    rows = known.join(last, "caller_id").withColumn("calls", F.lit(1))
     parts = {"call": "calls", "dur": "duration", "cost": "cost"}
     values = []
     for a in moving:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.values import compared, matches as text_matches
 from ..sources.rules import INTERVALS, TEXT_TYPES, Rules
+from ..storage import stored
 from .campaign_index import matching
 
 _DAY_MS = 86_400_000
@@ -78,25 +78,57 @@ def matches(wide: DataFrame, rules: Rules, as_of_ms: int | None = None, compiled
     return found.join(valid, "campaign", "left_semi").select("subscriber_id", "campaign")
 
 
-def _sliding_reports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by subscriber, campaign and time; a period begins at a report and hides what follows."""
-    key, until = None, 0
-    for rows in batches:
-        kept = []
-        columns = (rows[c].tolist() for c in ("subscriber_id", "campaign", "at_ms", "interval_ms"))
-        for subscriber, campaign, at, interval in zip(*columns):
-            if (subscriber, campaign) != key or at >= until:
-                key, until = (subscriber, campaign), at + interval
-                kept.append((subscriber, campaign, at))
-        yield pd.DataFrame(kept, columns=["subscriber_id", "campaign", "at_ms"])
+_KEY = ("subscriber_id", "campaign")
+
+
+def _hops(rows: DataFrame) -> DataFrame:
+    """(subscriber_id, campaign, at_ms, next_ms): of each candidate the first one an interval later or more.
+
+    Time is cut into chunks of an interval, so that one lies in the chunk after the candidate's own, at or after a
+    mark there, or else is the first of a later chunk. Rows meet by chunk; one row a chunk meets by key.
+    """
+    chunk = lambda at: F.floor(at / F.col("interval_ms")).cast("long")
+    firsts = rows.groupBy(*_KEY, chunk(F.col("at_ms")).alias("chunk")).agg(F.min("at_ms").alias("first_ms"))
+    later = Window.partitionBy(*_KEY).orderBy("chunk")
+    beyond = firsts.select(  # the first candidate after the next chunk, by the chunk of the mark
+        *_KEY, (F.col("chunk") + 1).alias("chunk"),
+        F.when(F.lead("chunk").over(later) > F.col("chunk") + 1, F.lead("first_ms").over(later))
+        .otherwise(F.lead("first_ms", 2).over(later)).alias("beyond_ms"),
+    )
+    own = F.struct(F.lit(1).alias("candidate"), F.col("at_ms").alias("mark_ms"))
+    ends = F.struct(F.lit(0).alias("candidate"), (F.col("at_ms") + F.col("interval_ms")).alias("mark_ms"))
+    marks = rows.select("*", F.inline(F.array(own, ends))).withColumn("chunk", chunk(F.col("mark_ms")))
+    back = Window.partitionBy(*_KEY, "chunk").orderBy(F.desc("mark_ms"), F.desc("candidate"))
+    back = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = F.min(F.when(F.col("candidate") == 1, F.col("mark_ms"))).over(back)
+    found = marks.withColumn("inside_ms", inside).where("candidate = 0").join(beyond, [*_KEY, "chunk"])
+    return found.select(*_KEY, "at_ms", F.coalesce("inside_ms", "beyond_ms").alias("next_ms"))
+
+
+def _sliding_reports(rows: DataFrame) -> DataFrame:
+    """Of rows (subscriber_id, campaign, at_ms, interval_ms) the first of each key, and what its hops lead to.
+
+    Hops are doubled: after k rounds all reports within 2^k - 1 hops of the first are found. No two
+    reports are in a chunk of an interval, so the chunks that a key can have tell how many rounds there are.
+    """
+    span = F.max(F.floor(F.col("at_ms") / F.col("interval_ms"))) - F.min(F.floor(F.col("at_ms") / F.col("interval_ms"))) + 1
+    reached = rows.groupBy(*_KEY).agg(F.min("at_ms").alias("at_ms"))
+    chunks = rows.groupBy("interval_ms").agg(span.alias("chunks")).agg(F.max("chunks")).first()[0] or 0
+    hops = stored(_hops(rows).where("next_ms is not null"), "hops")
+    for k in range(int(chunks - 1).bit_length() if chunks else 0):
+        if k:
+            onward = hops.select(*_KEY, F.col("at_ms").alias("next_ms"), F.col("next_ms").alias("onward_ms"))
+            hops = stored(hops.join(onward, [*_KEY, "next_ms"]).select(*_KEY, "at_ms", F.col("onward_ms").alias("next_ms")), "hops")
+        more = reached.join(hops, [*_KEY, "at_ms"]).select(*_KEY, F.col("next_ms").alias("at_ms"))
+        reached = stored(reached.unionByName(more), "reached")
+    return reached
 
 
 def reports(candidates: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Of candidate matches (subscriber_id, campaign, at_ms) those reported: one per firing interval.
 
     Intervals are aligned to the campaign's start (fixed) or begin at the last report (sliding).
-    Fixed ones are arithmetic. Sliding ones depend on the order of one subscriber's matches, so only
-    they go through Python, as a sorted stream that keeps one report in mind.
+    Fixed ones are arithmetic; sliding ones follow hops from report to report.
     """
     interval = F.create_map(*(F.lit(x) for k, v in INTERVALS.items() for x in (k, v * _DAY_MS)))
     known = campaigns.select(
@@ -118,11 +150,6 @@ def reports(candidates: DataFrame, campaigns: DataFrame) -> DataFrame:
         .agg(F.min("at_ms").alias("at_ms"))
         .select(*columns)
     )
-    sliding = (
-        rows.where("interval_ms > 0 and firing_start_condition = 'sliding'")
-        .select(*columns, "interval_ms")
-        .repartition("subscriber_id", "campaign")
-        .sortWithinPartitions("subscriber_id", "campaign", "at_ms")
-        .mapInPandas(_sliding_reports, "subscriber_id long, campaign int, at_ms long")
-    )
+    sliding = rows.where("interval_ms > 0 and firing_start_condition = 'sliding'").select(*columns, "interval_ms")
+    sliding = _sliding_reports(stored(sliding, "candidates"))
     return always.unionByName(fixed).unionByName(sliding)
