@@ -20,7 +20,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.values import matches as text_matches
@@ -111,18 +111,24 @@ def chunks(predicates: Sequence[tuple[int, int, str, str, float]], size: int = C
 
 def matching(wide: DataFrame, flat: Sequence[Row]) -> DataFrame:
     """(subscriber_id, campaign) of the campaigns in rows of Rules.flat() that hold; nothing is shuffled."""
-    columns, predicates, texts = {}, [], {}
+    kinds = dict(wide.dtypes)
+    columns: dict[str, Column] = {}
+    texts: dict[tuple[str, str, str], str] = {}
+    predicates = []
     for r in flat:
         operator = "eq" if r["operator"] == "E" else r["operator"]
         if r["data_type"] in TEXT_TYPES:
-            name = texts.setdefault((r["attribute"], operator, r["value"]), f"text_{len(texts)}")
-            test = text_matches(F.col(r["attribute"]).cast("string"), F.lit(operator), F.lit(r["value"]))
-            columns.setdefault(name, test.cast("double").alias(name))
-            predicates.append((r["campaign"], r["conjunct"], name, "gre", 1.0))
+            of = (r["attribute"], operator, r["value"])
+            if of not in texts:
+                texts[of] = name = f"text_{len(texts)}"
+                test = text_matches(F.col(r["attribute"]).cast("string"), F.lit(operator), F.lit(r["value"]))
+                columns[name] = test.cast("double").alias(name)
+            predicates.append((r["campaign"], r["conjunct"], texts[of], "gre", 1.0))
         else:
             name = f"number_{r['attribute']}"
-            is_text = wide.schema[r["attribute"]].dataType.typeName() == "string"
-            columns.setdefault(name, (F.lit(None) if is_text else F.col(r["attribute"])).cast("double").alias(name))
+            if name not in columns:
+                value = F.lit(None) if kinds[r["attribute"]] == "string" else F.col(r["attribute"])
+                columns[name] = value.cast("double").alias(name)
             predicates.append((r["campaign"], r["conjunct"], name, operator, float(r["value"])))
     parts = chunks(predicates)
     names = list(columns)
@@ -139,5 +145,4 @@ def matching(wide: DataFrame, flat: Sequence[Row]) -> DataFrame:
                     [batch.column(0).take(pa.array(row)), pa.array(campaign)], ["subscriber_id", "campaign"]
                 )
 
-    kind = wide.schema["subscriber_id"].dataType.simpleString()
-    return wide.select("subscriber_id", *columns.values()).mapInArrow(held, f"subscriber_id {kind}, campaign int")
+    return wide.select("subscriber_id", *columns.values()).mapInArrow(held, f"subscriber_id {kinds['subscriber_id']}, campaign int")

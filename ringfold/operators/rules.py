@@ -119,8 +119,8 @@ def _sliding_reports(rows: DataFrame) -> DataFrame:
         if k:
             onward = hops.select(*_KEY, F.col("at_ms").alias("next_ms"), F.col("next_ms").alias("onward_ms"))
             hops = stored(hops.join(onward, [*_KEY, "next_ms"]).select(*_KEY, "at_ms", F.col("onward_ms").alias("next_ms")), "hops")
-        more = reached.join(hops, [*_KEY, "at_ms"]).select(*_KEY, F.col("next_ms").alias("at_ms"))
-        reached = stored(reached.unionByName(more), "reached")
+        both = F.explode(F.array_compact(F.array("at_ms", "next_ms")))
+        reached = reached.join(hops, [*_KEY, "at_ms"], "left").select(*_KEY, both.alias("at_ms"))
     return reached
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ CATALOGUE_SCHEMAS = {
     "wt_attribute": "id int, metric int, is_pivot int, window_type string, window_size string, aggr_fun string, aggr_data_type string",
     "metric": "id int, name string",
 }
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
 _REFERENCES = (
     ("conjunct", "campaign", "campaign"),
     ("conjunct_predicate", "conjunct", "conjunct"),
@@ -108,7 +110,15 @@ def load(spark: SparkSession, folder: str) -> Rules:
 
 
 def from_rows(spark: SparkSession, tables: dict[str, Sequence[tuple]]) -> Rules:
-    return _of(lambda name, schema: spark.createDataFrame(tables[name], schema), "wt_attribute" in tables)
+    """From rows in the driver, which become local tables of known size: Spark joins them without shuffles."""
+
+    def local(name: str, schema: str) -> DataFrame:
+        names, kinds = zip(*(field.split() for field in schema.split(", ")))
+        columns = zip(*tables[name]) if tables[name] else ((),) * len(names)
+        arrays = [pa.array(c, _ARROW[kind]) for c, kind in zip(columns, kinds, strict=True)]
+        return spark.createDataFrame(pa.table(arrays, list(names)))
+
+    return _of(local, "wt_attribute" in tables)
 
 
 def listing(rules: Rules) -> DataFrame:
