@@ -124,23 +124,24 @@ def _sliding_reports(rows: DataFrame) -> DataFrame:
     return reached
 
 
+def with_intervals(candidates: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """candidates while their campaign is valid, with its valid_from, interval_ms and firing_start_condition."""
+    interval = F.create_map(*(F.lit(x) for k, v in INTERVALS.items() for x in (k, v * _DAY_MS)))
+    known = campaigns.select(
+        F.col("id").alias("campaign"), "valid_from", "valid_to", "firing_start_condition",
+        interval[F.col("firing_interval")].cast("long").alias("interval_ms"),
+    )
+    # A row per campaign; broadcast where its size allows.
+    return candidates.join(known, "campaign").where("at_ms >= valid_from and at_ms < valid_to")
+
+
 def reports(candidates: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Of candidate matches (subscriber_id, campaign, at_ms) those reported: one per firing interval.
 
     Intervals are aligned to the campaign's start (fixed) or begin at the last report (sliding).
     Fixed ones are arithmetic; sliding ones follow hops from report to report.
     """
-    interval = F.create_map(*(F.lit(x) for k, v in INTERVALS.items() for x in (k, v * _DAY_MS)))
-    known = campaigns.select(
-        F.col("id").alias("campaign"), "valid_from", "valid_to", "firing_start_condition",
-        interval[F.col("firing_interval")].cast("long").alias("interval_ms"),
-    )
-    rows = (
-        candidates.select("subscriber_id", "campaign", "at_ms")
-        .distinct()
-        .join(known, "campaign")  # a row per campaign; broadcast where its size allows
-        .where("at_ms >= valid_from and at_ms < valid_to")
-    )
+    rows = with_intervals(candidates.select("subscriber_id", "campaign", "at_ms").distinct(), campaigns)
     columns = ("subscriber_id", "campaign", "at_ms")
     always = rows.where("interval_ms = 0").select(*columns)
     period = F.floor((F.col("at_ms") - F.col("valid_from")) / F.col("interval_ms"))

@@ -21,6 +21,9 @@ from ..sources import rules as rule_tables
 from ..sources import store as S
 from ..storage import new_path
 from ..streaming import matrix as stream
+from ..streaming import reports as report_stream
+from ..streaming import state as state_stream
+from ..streaming.campaigns import HoldingCampaigns
 from . import queries as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,15 +363,53 @@ def moving_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("subscriber_id", *(F.round(n, 4).alias(n) if "cost" in n else F.col(n) for n in MOVING))
 
 
-def rule_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expensive calls as candidates of every campaign, reported by its interval."""
-    campaigns = _rules(spark).campaign
-    calls = C.read_events(spark, sf_dir).where("cost > 60")
-    candidates = calls.select(
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expensive calls as candidates of every campaign."""
+    return C.read_events(spark, sf_dir).where("cost > 60").select(
         F.col("caller_id").alias("subscriber_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"),
         F.explode(F.array(*(F.lit(c[0]) for c in RULES["campaign"]))).alias("campaign"),
     )
-    return R.reports(candidates, campaigns)
+
+
+def rule_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates reported by their campaign's interval."""
+    return R.reports(_candidates(spark, sf_dir), _rules(spark).campaign)
+
+
+def streamed_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream: three deliveries, with calls up to a day late, each to a stream that starts again."""
+    session = state_stream.with_state(spark)
+    root = new_path(session, "reports")
+    candidates = _candidates(session, sf_dir)
+    arrival = F.col("at_ms") + F.pmod(F.xxhash64("subscriber_id", "at_ms"), F.lit(86_400_000))
+    first, last = candidates.agg(F.min("at_ms"), F.max("at_ms") + 86_400_000).first()
+    delivery = F.floor((arrival - F.lit(first)) * 3 / F.lit((last or 0) + 1 - (first or 0)))
+    heartbeat = session.createDataFrame([(None, 4_102_444_800_000, -1)], candidates.schema)
+    for k in range(3):
+        rows = candidates.where(delivery == k)
+        (rows if k < 2 else rows.unionByName(heartbeat)).write.parquet(f"{root}/arrived/{k}")
+        arrived = session.readStream.schema(candidates.schema).parquet(f"{root}/arrived/*")
+        report_stream.report(arrived, _rules(session).campaign, root).awaitTermination()
+    return spark.read.schema(candidates.schema).parquet(f"{root}/reports").select("subscriber_id", "campaign", "at_ms")
+
+
+def streamed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table from state per subscriber."""
+    session = state_stream.with_state(spark)
+    table = S.RangedTable(new_path(spark, "state"), 1000)
+    state_stream.keep_wide(C.stream_events(session, sf_dir), A.generated(), table).awaitTermination()
+    return _shown(table.read(spark))
+
+
+def streamed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Campaigns that hold for callers, by a stream of two deliveries of calls that evaluates only who calls."""
+    root = new_path(spark, "holding")
+    held = HoldingCampaigns(rule_tables.from_rows(spark, MANY_RULES), A.generated(), root, 200)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(*C.EVENT.names)
+    for k in range(2):
+        events.where((F.col("ts") >= F.lit(AS_OF).cast("timestamp_ntz")) == bool(k)).write.parquet(f"{root}/arrived/events{k}.parquet")
+        held.keep_up(C.stream_events(spark, f"{root}/arrived", files_per_batch=1000)).awaitTermination()
+    return held.matches(spark, AS_OF_MS)
 
 
 def streamed_wide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -515,6 +556,7 @@ for _f, _sql in (
     (rule_conjuncts, RULES_SQL + "SELECT * FROM ch"),
     (rule_matches, matches_sql(RULES)),
     (campaign_index, matches_sql(MANY_RULES)),
+    (streamed_matches, f"SELECT * FROM ({matches_sql(MANY_RULES)}) WHERE subscriber_id IN (SELECT user_id FROM events)"),
     (rule_matches_by_id, matches_sql(RULES)),
     (
         moving_windows,
@@ -526,6 +568,8 @@ for _f, _sql in (
         "FROM (SELECT *, max(ts) OVER (PARTITION BY caller_id) AS l FROM calls) GROUP BY 1",
     ),
     (rule_reports, REPORTS_SQL),
+    (streamed_reports, REPORTS_SQL),
+    (streamed_state, f"WITH {wide_sql(ALL)} {_wide_rows_sql} wide"),
     (streamed_wide_table, f"WITH {wide_sql(ALL)} {_wide_rows_sql} wide"),
     (
         closed_days,
