@@ -10,7 +10,7 @@ however late, merge to the same result. Weeks are whole days, so every attribute
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,30 +20,31 @@ from ..functions.time import WINDOWS, day_index, index_of
 from ..sources.catalogue import Attribute
 
 KEYS = ("caller_id", "day", "long_distance")
-_MERGES = {
-    "calls": F.sum, "sum_dur": F.sum, "min_dur": F.min, "max_dur": F.max,
-    "sum_cost": F.sum, "min_cost": F.min, "max_cost": F.max, "last_ts": F.max,
-}
+_MERGES = {"calls": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "last": F.max}  # by the first word of a name
 
 
-def day_partials(calls: DataFrame) -> DataFrame:
-    """Calls (caller_id, ts, duration, cost, long_distance) as partials; one shuffle, summed before it."""
+def day_partials(calls: DataFrame, metrics: Mapping[str, Column] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Calls (caller_id, ts, duration, cost, long_distance) as partials; one shuffle, summed before it.
+
+    metrics are further values of a call, by name; by names columns that partials are kept apart by.
+    """
+    values = {"dur": F.col("duration"), "cost": F.col("cost")} | dict(metrics or {})
     return (
         calls.where("caller_id is not null and ts is not null")
         .withColumn("day", day_index(F.col("ts")))
-        .groupBy(*KEYS)
+        .groupBy(*KEYS, *by)
         .agg(
             F.count("*").alias("calls"),
-            F.sum("duration").alias("sum_dur"), F.min("duration").alias("min_dur"), F.max("duration").alias("max_dur"),
-            F.sum("cost").alias("sum_cost"), F.min("cost").alias("min_cost"), F.max("cost").alias("max_cost"),
+            *(f(v).alias(f"{f.__name__}_{m}") for m, v in values.items() for f in (F.sum, F.min, F.max)),
             F.max("ts").alias("last_ts"),
         )
-    )
+    )
 
 
 def merged(partials: DataFrame) -> DataFrame:
     """Partials of the same subscriber, day and kind of call as one."""
-    return partials.groupBy(*KEYS).agg(*(f(c).alias(c) for c, f in _MERGES.items()))
+    parts = (c for c in partials.columns if c not in KEYS)
+    return partials.groupBy(*KEYS).agg(*(_MERGES[c.split("_")[0]](c).alias(c) for c in parts))
 
 
 def _matching(attribute: Attribute) -> Column:

@@ -5,6 +5,7 @@ The SQL never uses day partials: it joins raw events with each caller's last eve
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from ..streaming import matrix as stream
 from ..streaming import reports as report_stream
 from ..streaming import state as state_stream
 from ..streaming.campaigns import HoldingCampaigns
+from ..streaming.evolving import EvolvingPartials
 from . import queries as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -275,6 +277,30 @@ def scan_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.scan_aggregate(C.read_events(spark, sf_dir), parts, F.col("long_distance"))
 
 
+def footer_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and extremes of calls by day, of the days of a month's first half, from the footers of a table by day."""
+    path = new_path(spark, "by_day")
+    calls = C.read_events(spark, sf_dir).withColumn("day", F.dayofmonth("ts"))
+    calls.repartition("day").write.partitionBy("day").parquet(path)
+    found = S.footer_aggregates(spark, path, ("call_id", "cost", "duration"), "day", F.col("day") <= 15)
+    return _rounded(found, "min_cost", "max_cost")
+
+
+def bucketed_star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callers with their codes, from two tables in buckets by subscriber, after an update of one of them by a third."""
+    root, name = new_path(spark, "buckets"), f"ringfold_{uuid.uuid4().hex}"
+    calls = C.read_events(spark, sf_dir)
+    before = M.wide_table(M.day_partials(calls.where(F.col("ts") < F.lit(AS_OF).cast("timestamp_ntz"))), [A.attribute("sum_call_all_week")])
+    later = calls.where(F.col("ts") >= F.lit(AS_OF).cast("timestamp_ntz")).select("caller_id").distinct()
+    fresh = M.wide_table(M.day_partials(calls.join(later, "caller_id", "left_semi")), [A.attribute("sum_call_all_week")])
+    wide, changed, now, codes = (S.BucketedTable(f"{name}_{t}", f"{root}/{t}", 16) for t in ("wide", "changed", "now", "codes"))
+    for table, rows in ((wide, before), (changed, fresh), (codes, D.customer_codes(_customer(spark, sf_dir)))):
+        table.write(rows)
+    wide.upserted(spark, changed, now)
+    joined = now.read(spark).join(codes.read(spark), "subscriber_id")
+    return D.with_dimension(joined, "value").select("subscriber_id", "value", "sum_call_all_week")
+
+
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the subscribers who made an expensive call."""
     keys = C.read_events(spark, sf_dir).where("cost > 200").select(F.col("caller_id").alias("subscriber_id"))
@@ -401,6 +427,24 @@ def streamed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(table.read(spark))
 
 
+_CALLS_OF = {"all": "true", "local": "NOT long_distance", "nonlocal": "long_distance"}
+RATES = tuple(A.DerivedAttribute(a, "rate", f, "week") for a in ("min", "max") for f in A.FILTERS)
+
+
+def evolving_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of a metric, cost by duration, that the catalogue gains between two deliveries to a stream."""
+    root = new_path(spark, "evolving")
+    partials = EvolvingPartials(root)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(*C.EVENT.names)
+    for k in range(2):
+        events.where((F.col("ts") >= F.lit(AS_OF).cast("timestamp_ntz")) == bool(k)).write.parquet(f"{root}/arrived/events{k}.parquet")
+        partials.keep_up(spark, f"{root}/arrived", files_per_batch=1000).awaitTermination()
+        partials.add_metric(spark, "rate", "cost / duration")
+    partials.backfill(spark)
+    found = M.wide_table(partials.read(spark), [*RATES, A.attribute("sum_call_all_week")])
+    return found.select("subscriber_id", "sum_call_all_week", *(F.round(a.name, 6).alias(a.name) for a in RATES))
+
+
 def streamed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Campaigns that hold for callers, by a stream of two deliveries of calls that evaluates only who calls."""
     root = new_path(spark, "holding")
@@ -521,6 +565,17 @@ for _f, _sql in (
     ),
     (scan, f"WITH {CALLS_SQL} SELECT call_id, caller_id, cost FROM calls WHERE cost > 50 AND ts >= TIMESTAMP '2024-01-10'"),
     (scan_aggregate, f"WITH {CALLS_SQL} SELECT count(*) AS n, round(sum(cost), 4) AS cost, max(duration) AS longest FROM calls WHERE long_distance"),
+    (
+        footer_aggregates,
+        f"WITH {CALLS_SQL} SELECT CAST(day(ts) AS INTEGER) AS day, count(*) AS n, min(call_id) AS min_call_id, max(call_id) AS max_call_id, "
+        "round(min(cost), 4) AS min_cost, round(max(cost), 4) AS max_cost, min(duration) AS min_duration, max(duration) AS max_duration "
+        "FROM calls WHERE day(ts) <= 15 GROUP BY 1",
+    ),
+    (
+        bucketed_star_join,
+        matrix_sql(("sum_call_all_week",))
+        + "SELECT subscriber_id, value, sum_call_all_week FROM m JOIN val USING (value_id) WHERE last_updated IS NOT NULL",
+    ),
     (
         lookup,
         matrix_sql(("sum_call_all_week", "sum_dur_all_week"))
@@ -567,6 +622,15 @@ for _f, _sql in (
         "CAST(coalesce(sum(duration) FILTER (date_trunc('week', ts) = date_trunc('week', l)), 0) AS BIGINT) AS sum_dur_all_week "
         "FROM (SELECT *, max(ts) OVER (PARTITION BY caller_id) AS l FROM calls) GROUP BY 1",
     ),
+    (
+        evolving_catalogue,
+        f"WITH {CALLS_SQL} SELECT caller_id AS subscriber_id, count(*) AS sum_call_all_week, "
+        + ", ".join(
+            f"round({a.aggregate}(cost / duration) FILTER (WHERE {_CALLS_OF[a.filter]}), 6) AS {a.name}"
+            for a in RATES
+        )
+        + " FROM (SELECT *, max(ts) OVER (PARTITION BY caller_id) AS l FROM calls) WHERE date_trunc('week', ts) = date_trunc('week', l) GROUP BY 1",
+    ),
     (rule_reports, REPORTS_SQL),
     (streamed_reports, REPORTS_SQL),
     (streamed_state, f"WITH {wide_sql(ALL)} {_wide_rows_sql} wide"),

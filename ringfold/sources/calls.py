@@ -30,8 +30,8 @@ EVENT = (
 )
 
 
-def from_events(events: DataFrame) -> DataFrame:
-    """Events as calls: the user calls; purchases and errors are long-distance."""
+def from_events(events: DataFrame, *more: str) -> DataFrame:
+    """Events as calls: the user calls; purchases and errors are long-distance. more: columns to keep beside."""
     return events.select(
         F.col("event_id").alias("call_id"),
         F.col("user_id").alias("caller_id"),
@@ -39,6 +39,7 @@ def from_events(events: DataFrame) -> DataFrame:
         "ts",
         (F.get_json_object("props", "$.k").cast("int") + 1).alias("duration"),
         F.col("event_type").isin("purchase", "error").alias("long_distance"),
+        *more,
     )
 
 

@@ -30,11 +30,14 @@ class Attribute:
     kind: str = "tumb"
 
     def __post_init__(self) -> None:
-        known = (AGGREGATES, METRICS, FILTERS, WINDOWS, WINDOW_TYPES)
+        known = (AGGREGATES, self._metrics(), FILTERS, WINDOWS, WINDOW_TYPES)
         for value, allowed in zip((self.aggregate, self.metric, self.filter, self.window, self.kind), known):
             if value not in allowed:
                 raise ValueError(f"{value!r} is none of {allowed}")
 
+    def _metrics(self) -> Sequence[str]:
+        return METRICS
+
     @property
     def name(self) -> str:
         tail = "" if self.kind == "tumb" else f"_{self.kind}"
@@ -46,6 +49,14 @@ class Attribute:
         return f"{self.aggregate}({of}) per {self.window}"
 
 
+@dataclass(frozen=True, order=True)
+class DerivedAttribute(Attribute):
+    """An attribute of a metric that is computed from calls by an expression; see streaming.evolving."""
+
+    def _metrics(self) -> Sequence[str]:
+        return (self.metric,) if self.metric.isidentifier() and "_" not in self.metric else ()
+
+
 def attribute(name: str) -> Attribute:
     return Attribute(*name.split("_"))
 

@@ -138,3 +138,65 @@ class RangedTable:
     def _by_range(rows: DataFrame, path: str, overwrite: bool = False) -> None:
         writer = rows.write.mode("overwrite" if overwrite else "error").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(RANGE).parquet(path)
+
+
+@dataclass(frozen=True)
+class BucketedTable:
+    """A catalogue table in files by a hash of its key, under path: equal keys of tables with as many buckets meet in
+    the same task, so joins on the key move nothing, nor does writing their result to another such table."""
+
+    name: str
+    path: str
+    buckets: int
+    key: str = "subscriber_id"
+
+    def write(self, rows: DataFrame) -> None:
+        """Rows that are not yet by key are dealt to their buckets first, one file to each."""
+        by_key = rows.repartition(self.buckets, self.key)
+        self._save(by_key)
+
+    def _save(self, rows: DataFrame) -> None:
+        writer = rows.write.bucketBy(self.buckets, self.key).sortBy(self.key).format("parquet").mode("error")
+        writer.option("path", self.path).saveAsTable(self.name)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.table(self.name)
+
+    def upserted(self, spark: SparkSession, changed: BucketedTable, to: BucketedTable) -> None:
+        """Write to another table the rows of this one, those of changed in place of theirs; buckets as many in all three.
+
+        changed has the columns of this table. The next version is a table of its own, so readers of this one go on.
+        """
+        if not self.buckets == changed.buckets == to.buckets:
+            raise ValueError(f"{self.buckets}, {changed.buckets} and {to.buckets} buckets do not meet")
+        old, new = self.read(spark).alias("old"), changed.read(spark).withColumn("_new", F.lit(True)).alias("new")
+        joined = old.join(new, self.key, "full")
+        columns = [self.key] + [c for c in self.read(spark).columns if c != self.key]
+        to._save(joined.select(self.key, *(F.when(F.col("_new"), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in columns[1:])))
+
+
+def footer_session(spark: SparkSession) -> SparkSession:
+    """A session that reads Parquet with the scan that answers count, min and max from the files' footers."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        if (value := spark.conf.get(name, None)) is not None:
+            session.conf.set(name, value)
+    return session
+
+
+def footer_aggregates(spark: SparkSession, path: str, columns: Sequence[str], by: str | None = None, where: Column | None = None) -> DataFrame:
+    """Rows n, and min_ and max_ of columns, of a Parquet table, computed at the storage: no data page is read.
+
+    by and where may name columns that the table is partitioned by, no others; columns are numbers, booleans or
+    dates. What the footers cannot answer raises, in place of a scan.
+    """
+    parts = [F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max))]
+    rows = footer_session(spark).read.parquet(path)
+    rows = rows if where is None else rows.where(where)
+    found = rows.groupBy(by).agg(*parts) if by else rows.agg(*parts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    if "PushedAggregation: [COUNT(*)" not in plan:
+        raise ValueError(f"the footers of {path} do not answer for {', '.join(columns)} by {by} where {where}")
+    return found

@@ -23,12 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own}"
 
 
-def table_or_none(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame | None:
-    """The Parquet table at path; None if nothing has been written there."""
+def table_or_none(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame | None:
+    """The Parquet table at path; None if nothing has been written there (without a schema: no file)."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 

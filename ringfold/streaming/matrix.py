@@ -7,7 +7,8 @@ between batches. Readers merge committed batches alone, so what is being written
 
 compact() merges what is committed into a base, and then points to it by a row in another small table. It
 may run beside the stream and its readers: batches up to the base no longer count, those after it do, and
-the stream goes on where it was.
+the stream goes on where it was. vacuum() then deletes what the newest base stands for, so nothing grows with the
+number of batches; readers that began before the base must be done by then.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.matrix import day_partials, merged
-from ..storage import table_or_none
+from ..storage import deleted, table_or_none
 
 
 def append_partials(batch: DataFrame, batch_id: int, root: str) -> None:
@@ -35,14 +36,13 @@ def append_partials(batch: DataFrame, batch_id: int, root: str) -> None:
 
 
 def _point(spark: SparkSession, path: str, number: int) -> None:
-    """Add a number to a table of them; adding one again changes nothing."""
-    row = spark.range(1).select(F.lit(number).cast("long").alias("number"), F.current_timestamp().alias("at"))
-    row.write.mode("append").parquet(path)
+    """Add a number to a table of them, as a folder of its own; adding one again changes nothing."""
+    spark.range(1).select(F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{path}/number={number}")
 
 
-def _pointed(spark: SparkSession, path: str) -> DataFrame | None:
+def _pointed(spark: SparkSession, path: str) -> list[int]:
     found = table_or_none(spark, path, "number long, at timestamp")
-    return None if found is None else found.select("number").distinct()
+    return [] if found is None else sorted(r["number"] for r in found.select("number").distinct().collect())
 
 
 def keep_up(calls: DataFrame, root: str, available_now: bool = True, every: str = "10 seconds") -> StreamingQuery:
@@ -53,25 +53,25 @@ def keep_up(calls: DataFrame, root: str, available_now: bool = True, every: str
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
 
+#: Of calls without rows, whose partials tell no schema.
+_NOTHING = (
+    "caller_id long, day int, long_distance boolean, calls long, sum_dur long, min_dur int, max_dur int, "
+    "sum_cost double, min_cost double, max_cost double, last_ts timestamp_ntz"
+)
+
+
 def _committed(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
     """Partials of the newest base and of the batches committed after it, and the last batch of all these."""
-    bases, commits = _pointed(spark, f"{root}/bases"), _pointed(spark, f"{root}/commits")
-    upto = -1 if bases is None else bases.agg(F.max("number")).first()[0]
-    schema = None
-    parts = []
-    if upto >= 0:
-        parts.append(spark.read.parquet(f"{root}/base/upto={upto}"))
-        schema = parts[0].schema
-    last = upto
-    if commits is not None:
-        last = max(upto, commits.agg(F.max("number")).first()[0])
-    if last > upto:
-        rows = spark.read.parquet(f"{root}/partials").where(F.col("batch") > upto)
-        rows = rows.join(commits.where(F.col("number") <= last), F.col("batch") == F.col("number"), "left_semi")
-        parts.append(rows.drop("batch") if schema is None else rows.select(*schema.names))
-    if not parts:
+    upto = max(_pointed(spark, f"{root}/bases"), default=-1)
+    after = [k for k in _pointed(spark, f"{root}/commits") if k > upto]  # as many as came since the last compact()
+    if upto < 0 and not after:
         raise ValueError(f"no batch has been committed under {root}")
-    return reduce(DataFrame.unionByName, parts), last
+    parts = [] if upto < 0 else [spark.read.parquet(f"{root}/base/upto={upto}")]
+    rows = table_or_none(spark, f"{root}/partials") if after else None
+    if rows is not None:
+        names = parts[0].columns if parts else [c for c in rows.columns if c != "batch"]
+        parts.append(rows.where(F.col("batch").isin(after)).select(*names))
+    return reduce(DataFrame.unionByName, parts or [spark.createDataFrame([], _NOTHING)]), max([upto, *after])
 
 
 def snapshot(spark: SparkSession, root: str) -> DataFrame:
@@ -87,6 +87,19 @@ def compact(spark: SparkSession, root: str) -> int:
     return last
 
 
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Delete the batches, commits and bases that the newest base stands for; its number, -1 if there is none."""
+    bases = _pointed(spark, f"{root}/bases")
+    upto = max(bases, default=-1)
+    for k in (k for k in _pointed(spark, f"{root}/commits") if k <= upto):
+        deleted(spark, f"{root}/partials/batch={k}")
+        deleted(spark, f"{root}/commits/number={k}")
+    for k in (k for k in bases if k < upto):
+        deleted(spark, f"{root}/base/upto={k}")
+        deleted(spark, f"{root}/bases/number={k}")
+    return upto
+
+
 def closed_windows(calls: DataFrame, delay: str = "1 day", length: str = "1 day", anchor: str | None = None) -> DataFrame:
     """Totals of each subscriber's windows that no call can change any more, in append mode.
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringfold.sources.store import RangedTable
+from ringfold.sources import store as S
+from ringfold.sources.store import BucketedTable, RangedTable
 
 ROWS = "subscriber_id long, calls long"
 
@@ -102,3 +103,46 @@ def test_an_update_that_dies_is_finished_or_undone(spark, tmp_path, monkeypatch,
     assert counts(spark, ranged) == (want | {31: 5, 77: 6} if done else want)
     ranged.upsert(change)
     assert counts(spark, ranged) == want | {31: 5, 77: 6}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_move_nothing(spark, tmp_path):
+    names = iter("abcdef")
+    made = lambda n=4: BucketedTable(f"test_buckets_{(x := next(names))}", f"{tmp_path}/{x}", n)
+    wide, changed, now, other = made(), made(), made(), made(8)
+    wide.write(spark.range(100).select(F.col("id").alias("subscriber_id"), F.lit(0).cast("long").alias("calls")))
+    changed.write(spark.createDataFrame([(31, 5), (250, None)], ROWS).select("calls", "subscriber_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide.upserted(spark, changed, now)
+        assert {r.subscriber_id: r.calls for r in now.read(spark).collect()} == {i: 0 for i in range(100)} | {31: 5, 250: None}
+        assert len(list((tmp_path / "c").glob("*.parquet"))) == 4  # a file a bucket: nothing was dealt anew
+        joined = now.read(spark).join(wide.read(spark), "subscriber_id", "left_semi")
+        assert "Exchange" not in plan_of(joined) and joined.count() == 100
+        assert "Exchange" not in plan_of(S.lookup(wide.read(spark), changed.read(spark)))
+        full = wide.read(spark).alias("a").join(changed.read(spark).alias("b"), "subscriber_id", "full")
+        assert "Exchange" not in plan_of(full)
+        assert "Exchange" in plan_of(now.read(spark).join(spark.range(5).withColumnRenamed("id", "subscriber_id"), "subscriber_id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    other.write(wide.read(spark))
+    with pytest.raises(ValueError, match="do not meet"):
+        wide.upserted(spark, other, now)
+
+
+def test_footers_answer(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("y"), (F.col("id") % 3).cast("int").alias("part"))
+    rows.write.partitionBy("part").parquet(f"{tmp_path}/t")
+    found = S.footer_aggregates(spark, f"{tmp_path}/t", ("x", "y"), "part", F.col("part") > 0)
+    plan = plan_of(found)
+    assert "PushedAggregation: [COUNT(*), MIN(x), MAX(x), MIN(y), MAX(y)]" in plan and "PushedGroupBy: [part]" in plan
+    assert sorted(map(tuple, found.collect())) == [(1, 333, 0.0, 6.0, 4, 994), (2, 333, 0.0, 6.0, 2, 998)]
+    assert tuple(S.footer_aggregates(spark, f"{tmp_path}/t", ("y",)).first()) == (1000, 0, 998)
+    with pytest.raises(ValueError, match="do not answer"):
+        S.footer_aggregates(spark, f"{tmp_path}/t", ("x",), where=F.col("y") > 5)
+    with pytest.raises(ValueError, match="do not answer"):
+        S.footer_aggregates(spark, f"{tmp_path}/t", ("x",), "y")
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"

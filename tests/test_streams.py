@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from ringfold.operators import matrix as M
@@ -14,7 +15,9 @@ from ringfold.sources import catalogue as A
 from ringfold.sources import rules as rule_tables
 from ringfold.sources.store import RangedTable
 from ringfold.streaming import reports as report_stream
+from ringfold.streaming import matrix as stream
 from ringfold.streaming.campaigns import HoldingCampaigns
+from ringfold.streaming.evolving import EvolvingPartials
 from ringfold.streaming.state import keep_wide, with_state
 
 DAY_MS = 86_400_000
@@ -113,3 +116,57 @@ def test_only_who_calls_is_evaluated(spark, tmp_path, monkeypatch):
     held.refresh(frame([]), 2)
     held.refresh(frame([(1, dt.datetime(2024, 1, 1), None, "view", 1.0, "{}")]), 3)
     assert shown(held.matches(spark)) == shown(R.matches(wide(rows + some), rules))
+
+
+def test_batches_without_rows_and_vacuum(spark, tmp_path):
+    root = str(tmp_path)
+    nobody = [(1, dt.datetime(2024, 1, 1), None, "view", 1.0, "{}")]
+    frame = lambda some: C.from_events(spark.createDataFrame(some, C.EVENT))
+    for k, some in enumerate(([], nobody)):
+        stream.append_partials(frame(some), k, root)
+        assert stream.snapshot(spark, root).count() == 0 and stream.vacuum(spark, root) == -1
+    assert stream.compact(spark, root) == 1 and stream.snapshot(spark, root).count() == 0
+    rows = events(60, 8)
+    for k in range(3):
+        stream.append_partials(frame(rows[20 * k : 20 * k + 20]), 2 + k, root)
+        assert stream.compact(spark, root) == 2 + k
+    want = shown(M.day_partials(frame(rows)))
+    assert stream.vacuum(spark, root) == 4 and shown(stream.snapshot(spark, root)) == want
+    left = [f.relative_to(tmp_path).parts[:2] for f in tmp_path.rglob("*.parquet")]
+    assert set(left) == {("base", "upto=4"), ("bases", "number=4")}
+    stream.append_partials(frame(rows[40:]), 4, root)  # comes again
+    stream.append_partials(frame(rows[:5]), 5, root)
+    assert shown(stream.snapshot(spark, root)) == shown(M.day_partials(frame(rows + rows[:5])))
+
+
+RATES = [A.DerivedAttribute(a, "rate", f, w) for a in ("sum", "min", "max") for f in A.FILTERS for w in A.WINDOWS]
+
+
+def test_a_metric_that_comes_in_mid_stream(spark, tmp_path):
+    partials = EvolvingPartials(f"{tmp_path}/state")
+    rows, rate = events(400, 9), "cost / (duration + 1)"
+    for k in range(4):
+        spark.createDataFrame(rows[100 * k : 100 * k + 100], C.EVENT).coalesce(1).write.parquet(f"{tmp_path}/in/events{k}.parquet")
+        partials.keep_up(spark, f"{tmp_path}/in").awaitTermination()
+        if k == 1:
+            partials.add_metric(spark, "rate", rate)
+            partials.add_metric(spark, "rate", rate)
+            assert partials.backfill(spark) == ["rate"] and partials.backfill(spark) == []
+    attributes = [*A.generated(), *RATES]
+    calls = C.from_events(spark.createDataFrame(rows, C.EVENT))
+    want = shown_all(M.wide_table(M.day_partials(calls, {"rate": F.expr(rate)}), attributes))
+    assert shown_all(M.wide_table(partials.read(spark), attributes)) == want
+    with pytest.raises(ValueError, match="rate"):
+        partials.add_metric(spark, "rate", "cost")
+    # A batch from before the metric comes again, now with it: what was filled in for it does not count twice.
+    again = C.from_events(spark.read.parquet(f"{tmp_path}/in/events1.parquet").withColumn("file", F.lit("f")), "file")
+    batch = spark.read.parquet(f"{tmp_path}/state/batches").where(F.exists("files", lambda f: f.contains("events1.parquet"))).first()["of"]
+    partials.append(again, batch)
+    assert shown_all(M.wide_table(partials.read(spark), attributes)) == want
+    with pytest.raises(ValueError):
+        A.DerivedAttribute("sum", "two_words", "all", "week")
+
+
+def shown_all(df):
+    rows = df.select(*sorted(df.columns)).withColumns({c: F.round(c, 6) for c, kind in df.dtypes if kind == "double"})
+    return sorted(map(str, rows.collect()))
