@@ -383,6 +383,38 @@ def rule_matches_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.matches(_rule_matrix(spark, sf_dir), rules, AS_OF_MS, compiled=0)
 
 
+def described_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each attribute of a catalogue table, in the order of its ids, adds up to over all callers."""
+    tables = {
+        name: spark.createDataFrame(RULES_BY_ID[name], schema)
+        for name, schema in rule_tables.CATALOGUE_SCHEMAS.items() if name != "predicate"
+    }
+    attributes = A.load(tables["wt_attribute"].orderBy(F.desc("id")), tables["metric"])
+    wide = M.wide_table(M.day_partials(C.read_events(spark, sf_dir)), attributes)
+    totals = wide.agg(*(F.sum(F.col(n).cast("double")).alias(n) for n in A.names(attributes)))
+    by_name = totals.unpivot([], A.names(attributes), "name", "total")
+    known = A.as_table(spark, attributes)
+    text = A.described(F.col("aggregate"), F.col("metric"), F.col("filter"), A.window_of(F.col("window")))
+    return by_name.join(known, "name").select("attr_id", "name", text.alias("description"), F.round("total", 3).alias("total"))
+
+
+def listed_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The condition of each campaign in words, and how many customers it holds for."""
+    rules = _rules(spark)
+    counts = R.matches(_rule_matrix(spark, sf_dir), rules).groupBy("campaign").agg(F.count("*").alias("subscribers"))
+    listed = rule_tables.listing(rules).join(counts, "campaign", "left")
+    return listed.select("campaign", "condition", F.coalesce("subscribers", F.lit(0)).alias("subscribers"))
+
+
+def populate_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fresh rows for the range of customer keys are updated at the current time, all at the same."""
+    low, high = _customer(spark, sf_dir).agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    now = F.current_timestamp()
+    age = F.unix_seconds(now) - F.unix_seconds("last_updated")
+    rows = S.populate(spark, low, high, A.generated())
+    return rows.groupBy().agg(F.count("*").alias("n"), F.count_distinct("last_updated").alias("times"), F.max(F.abs(age) < 3600).alias("is_now"))
+
+
 def moving_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous and stepwise attributes of a catalogue beside a tumbling one."""
     wide = M.wide_table_of_calls(C.read_events(spark, sf_dir), [A.attribute(n) for n in MOVING])
@@ -631,6 +663,25 @@ for _f, _sql in (
         )
         + " FROM (SELECT *, max(ts) OVER (PARTITION BY caller_id) AS l FROM calls) WHERE date_trunc('week', ts) = date_trunc('week', l) GROUP BY 1",
     ),
+    (
+        described_attributes,
+        f"WITH {wide_sql(ALL)}, t(attr_id, name, description, total) AS ("
+        + " UNION ALL ".join(
+            f"SELECT CAST({i} AS INTEGER), '{a.name}', '{a.aggregate}({a.metric if a.filter == 'all' else f'{a.filter} {a.metric}'}) per {a.window}', "
+            f"round(sum(CAST({a.name} AS DOUBLE)), 3) FROM wide"
+            for i, a in enumerate(A.generated())
+        )
+        + ") SELECT * FROM t",
+    ),
+    (
+        listed_campaigns,
+        RULES_SQL
+        + ", shown AS (SELECT campaign, conjunct, '(' || string_agg(attribute || ' ' || op || ' ' || CAST(CAST(v AS INTEGER) AS VARCHAR), ' AND ' ORDER BY predicate) || ')' AS text "
+        "FROM flat GROUP BY 1, 2), held AS (SELECT campaign, count(*) AS n FROM (SELECT DISTINCT subscriber_id, campaign FROM ch WHERE holds) GROUP BY 1) "
+        "SELECT campaign, string_agg(text, ' OR ' ORDER BY conjunct) AS condition, coalesce(any_value(n), 0) AS subscribers "
+        "FROM shown LEFT JOIN held USING (campaign) GROUP BY 1",
+    ),
+    (populate_now, "SELECT max(c_custkey) - min(c_custkey) + 1 AS n, CAST(1 AS BIGINT) AS times, true AS is_now FROM customer"),
     (rule_reports, REPORTS_SQL),
     (streamed_reports, REPORTS_SQL),
     (streamed_state, f"WITH {wide_sql(ALL)} {_wide_rows_sql} wide"),
