@@ -1,10 +1,11 @@
 """Byte-level BPE over whole texts: batched numpy merge rounds, and the inverse.
 
-A text is cut into chunks (an optional space and a run of letters and digits, or of punctuation, or what is
-left up to the next white space; or a run of white space). No pre-token crosses a chunk's end, so the ids of
+A text is cut into chunks (an optional space and a run of Latin letters and digits, or of punctuation, or what
+is left up to the next white space; or a run of white space). No pre-token crosses a chunk's end, so the ids of
 a chunk depend on the chunk alone and are kept by a worker from batch to batch, up to a number of bytes. Chunks
-not met before are merged together, all of a batch in one flat array of symbols; pieces of more than
-LONG_PIECE bytes are merged one by one by a queue of pairs, so that a long word costs n log n.
+not met before are split into pre-tokens (those with characters beyond Latin by the library's own splitter) and
+merged together, all of a batch in one flat array of symbols; pieces of more than LONG_PIECE bytes are merged one
+by one by a queue of pairs, so that a long word costs n log n.
 
 Defined results: a null or empty text has no ids; a null list of ids decodes to the empty text;
 the literal of a special token in a text becomes that token's id, as in the tokenizers library.
@@ -17,32 +18,39 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import make_way, of_worker, text_slices
 
 #: White space by the Unicode property, as the pre-tokenizer's pattern has it.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: ASCII punctuation but for the apostrophe, which can begin a contraction.
 _MARKS = r"!-&(-/:-@\[-`{-~"
-#: A border of letters or digits and punctuation always parts pieces; elsewhere a run stays whole.
+#: Letters and digits on which all versions of Unicode agree: Latin ones. Of other scripts runs stay whole.
+_LATIN = r"0-9A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: A border of Latin letters or digits and punctuation always parts pieces; elsewhere a run stays whole.
 _CHUNK = re.compile(
-    rf" ?[^\W_]++(?![^{_SPACE}{_MARKS}])| ?[{_MARKS}]++(?![^{_SPACE}\w])| ?[^{_SPACE}]+"
+    rf" ?[{_LATIN}]++(?![^{_SPACE}{_MARKS}])| ?[{_MARKS}]++(?![^{_SPACE}{_LATIN}])| ?[^{_SPACE}]+"
     rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
-#: Before white space that follows none, or between a letter or digit and punctuation.
-_CUT = re.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])|(?<=[^\W_])(?=[{_MARKS}])")
+#: Before white space that follows none, or between a Latin letter or digit and punctuation.
+_CUT = re.compile(rf"(?<=[^{_SPACE}])(?=[{_SPACE}])|(?<=[{_LATIN}])(?=[{_MARKS}])")
 #: The public pattern that splits a chunk before merging.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: A chunk with other characters than these is split by the library, whose Unicode is the one that counts.
+_SURE = regex.compile(rf"[\x00-\x7f\xa0-\u024f{_SPACE}]*+")
 _NO_RANK = np.int64(1) << 40
 
 SEGMENT_CHARS = 1 << 20
@@ -187,18 +195,6 @@ class Vocabulary:
         return [flat[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
 
 
-class _Numbers(dict):
-    """Numbers chunks in the order in which they are first asked for; new has those since the last look."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = number = len(self)
-        self.new.append(chunk)
-        return number
-
-
 class ChunkEncoder:
     """Ids of texts through a bounded cache of chunks; fresh(chunks) encodes those not in it."""
 
@@ -208,7 +204,7 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index = _Numbers()
+        self.index: defaultdict[str, int] = defaultdict(count().__next__)  # chunks are numbered as they come
         self.ids = np.zeros(0, np.int32)
         self.starts = self.lens = np.zeros(0, np.int64)
         self.bytes = 0
@@ -219,14 +215,14 @@ class ChunkEncoder:
             self.clear()
         chunks = [_CHUNK.findall(t) for t in texts]
         counts = [len(c) for c in chunks]
+        known = len(self.index)
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(chunks)), np.int64, sum(counts))
-        if new := self.index.new:
+        if new := list(islice(self.index, known, None)):
             ids, lens = self.fresh(new)
             self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lens) - lens)
             self.lens = np.append(self.lens, lens)
             self.ids = np.append(self.ids, ids.astype(np.int32))
             self.bytes += sum(map(len, new)) + 4 * len(ids) + _CHUNK_BYTES * len(new)
-            self.index.new = []
         lens = self.lens[at]
         bounds = np.append(0, np.cumsum(lens))[np.append(0, np.cumsum(counts))]
         return gather(self.ids, self.starts[at], lens), np.diff(bounds)
@@ -279,15 +275,29 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def library(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 def numpy_encoder(path: str) -> ChunkEncoder:
     vocab = vocabulary(path)
+    splitter, byte_of = library(path).pre_tokenizer, _byte_chars()
+
+    def pieces_of(chunk: str) -> list[bytes]:
+        if _SURE.fullmatch(chunk):
+            return [p.encode() for p in _PIECE.findall(chunk)]
+        return [bytes(map(byte_of.__getitem__, piece)) for piece, _ in splitter.pre_tokenize_str(chunk)]
 
     def fresh(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [_PIECE.findall(c) for c in chunks]
-        pieces = list(dict.fromkeys(p for ps in split for p in ps))
-        ids, lens = vocab.merge([p.encode("utf-8", "replace") for p in pieces])
-        number = {p: i for i, p in enumerate(pieces)}
-        at = np.fromiter((number[p] for ps in split for p in ps), np.int64)
+        split = [pieces_of(c) for c in chunks]
+        number: dict[bytes, int] = {}
+        at = np.fromiter((number.setdefault(p, len(number)) for ps in split for p in ps), np.int64)
+        ids, lens = vocab.merge(list(number))
         starts = np.cumsum(lens) - lens
         bounds = np.append(0, np.cumsum(lens[at]))[np.append(0, np.cumsum([len(ps) for ps in split]))]
         return gather(ids, starts[at], lens[at]), np.diff(bounds)

@@ -11,39 +11,27 @@ Null and empty texts have the end id alone. An empty table gives files without r
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Sequence
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import ChunkEncoder, encode_with
+from .bpe import ChunkEncoder, encode_with, library
 from .common import laid_out, new_path, running_start
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
-
-
 def library_encoder(path: str) -> ChunkEncoder:
     """Ids by the tokenizers library, which is asked once for each chunk that is not in the cache."""
-    tokenizer = _tokenizer(path)
+    tokenizer = library(path)
 
     def fresh(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         lens = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int64, int(lens.sum())), lens
+        return np.fromiter(chain.from_iterable(found), np.int32, int(lens.sum())), lens
 
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     return ChunkEncoder(fresh, special)

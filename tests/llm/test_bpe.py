@@ -32,6 +32,32 @@ def test_ids_are_the_librarys(encoder):
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [expected(t) for t in TEXTS]
 
 
+def drawn(rng):
+    """A text of any code points, of letters that Unicode versions disagree on, or of white space."""
+    n = rng.randrange(1, 30)
+    return "".join(
+        rng.choices(
+            rng.choice([
+                [chr(c) for c in (rng.randrange(0x20000) for _ in range(40)) if not 0xD800 <= c < 0xE000],
+                ["\u209f", "\U000191aa", "\U00018dd2", "'t", "'s", " ", "!", "a", "1", "\u06f3", "_"],
+                ["a", "'s", " ", "  ", "\n", "!", "_", "\xf1", "\u2019", *map(chr, (rng.randrange(0x250, 0x3000) for _ in range(9)))],
+                [" ", "x", "\n", "\xa0", "\u3000", "\x1c", "\x85"],
+            ]),
+            k=n,
+        )
+    )
+
+
+@pytest.mark.parametrize("encoder", [bpe.numpy_encoder, token_files.library_encoder])
+def test_ids_of_any_unicode(encoder):
+    rng = random.Random(11)
+    texts = [drawn(rng) for _ in range(30_000)]
+    ids, lens = encoder(PATH).encode_column(texts)
+    ends = np.append(0, np.cumsum(lens))
+    want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+
+
 def test_long_texts_in_segments(monkeypatch):
     monkeypatch.setattr(bpe, "SEGMENT_CHARS", 64)
     texts = [" ".join(["some  words\n and more"] * 60), "x" * 500, *TEXTS]
