@@ -13,6 +13,7 @@ number of batches; readers that began before the base must be done by then.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,21 +21,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.matrix import day_partials, merged
+from ..sources.store import RANGE
 from ..storage import deleted, table_or_none
 
 
-def append_partials(batch: DataFrame, batch_id: int, root: str) -> None:
-    (
-        day_partials(batch)
-        .withColumn("batch", F.lit(batch_id).cast("long"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch")
-        .parquet(f"{root}/partials")
-    )
+def append_partials(batch: DataFrame, batch_id: int, root: str, width: int | None = None) -> None:
+    """Take in a micro-batch; with a width, in partitions of so many subscribers each, which readers may choose from."""
+    rows = _ranged(day_partials(batch), width).withColumn("batch", F.lit(batch_id).cast("long"))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("batch", *_range_columns(width)).parquet(f"{root}/partials")
     _point(batch.sparkSession, f"{root}/commits", batch_id)
 
 
+def _ranged(partials: DataFrame, width: int | None) -> DataFrame:
+    return partials if width is None else partials.withColumn(RANGE, F.floor(F.col("caller_id") / width).cast("long"))
+
+
+def _range_columns(width: int | None) -> list[str]:
+    return [] if width is None else [RANGE]
+
+
 def _point(spark: SparkSession, path: str, number: int) -> None:
     """Add a number to a table of them, as a folder of its own; adding one again changes nothing."""
     spark.range(1).select(F.current_timestamp().alias("at")).write.mode("overwrite").parquet(f"{path}/number={number}")
@@ -60,8 +66,11 @@ _NOTHING = (
 )
 
 
-def _committed(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
-    """Partials of the newest base and of the batches committed after it, and the last batch of all these."""
+def _committed(spark: SparkSession, root: str, ranges: Sequence[int] | None = None) -> tuple[DataFrame, int]:
+    """Partials of the newest base and of the batches committed after it, and the last batch of all these.
+
+    Of some id ranges alone, if they are given; the partitions of others are not read.
+    """
     upto = max(_pointed(spark, f"{root}/bases"), default=-1)
     after = [k for k in _pointed(spark, f"{root}/commits") if k > upto]  # as many as came since the last compact()
     if upto < 0 and not after:
@@ -69,20 +78,26 @@ def _committed(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
     parts = [] if upto < 0 else [spark.read.parquet(f"{root}/base/upto={upto}")]
     rows = table_or_none(spark, f"{root}/partials") if after else None
     if rows is not None:
-        names = parts[0].columns if parts else [c for c in rows.columns if c != "batch"]
-        parts.append(rows.where(F.col("batch").isin(after)).select(*names))
-    return reduce(DataFrame.unionByName, parts or [spark.createDataFrame([], _NOTHING)]), max([upto, *after])
+        parts.append(rows.where(F.col("batch").isin(after)).drop("batch"))
+    if ranges is not None:
+        parts = [rows.where(F.col(RANGE).isin(*ranges)) for rows in parts]
+    parts = [rows.drop(RANGE) for rows in parts] or [spark.createDataFrame([], _NOTHING)]
+    return reduce(DataFrame.unionByName, parts), max([upto, *after])
 
 
-def snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The merged partials of all batches that are committed now."""
-    return merged(_committed(spark, root)[0])
+def snapshot(spark: SparkSession, root: str, ranges: Sequence[int] | None = None) -> DataFrame:
+    """The merged partials of all batches that are committed now, of some id ranges if they are given."""
+    return merged(_committed(spark, root, ranges)[0])
 
 
-def compact(spark: SparkSession, root: str) -> int:
-    """Merge the batches that are committed now into a base that stands for them; the number of the last."""
+def compact(spark: SparkSession, root: str, width: int | None = None) -> int:
+    """Merge the batches that are committed now into a base that stands for them; the number of the last.
+
+    width is the one that the batches were appended with.
+    """
     rows, last = _committed(spark, root)
-    merged(rows).write.mode("overwrite").parquet(f"{root}/base/upto={last}")
+    writer = _ranged(merged(rows), width).write.mode("overwrite")
+    writer.partitionBy(*_range_columns(width)).parquet(f"{root}/base/upto={last}")
     _point(spark, f"{root}/bases", last)
     return last
 

@@ -113,9 +113,14 @@ def test_only_who_calls_is_evaluated(spark, tmp_path, monkeypatch):
         assert shown(held.matches(spark, registry.AS_OF_MS)) == shown(R.matches(wide(rows + some), rules, registry.AS_OF_MS))
     after = {f: f.stat().st_mtime_ns for f in tmp_path.glob("holding/rows/*/*.parquet")}
     assert {f.parent.name for f in after if before.get(f) != after[f]} == {"id_range=0", "id_range=3"}
+    assert held.compact(spark) == 1 and not list(tmp_path.glob("partials/batch=*"))
     held.refresh(frame([]), 2)
     held.refresh(frame([(1, dt.datetime(2024, 1, 1), None, "view", 1.0, "{}")]), 3)
     assert shown(held.matches(spark)) == shown(R.matches(wide(rows + some), rules))
+    more = [(*r[:2], 38, *r[3:]) for r in events(5, 10)]
+    held.refresh(frame(more), 4)  # on top of the base
+    assert read.pop() == ([3], True)
+    assert shown(held.matches(spark)) == shown(R.matches(wide(rows + some + more), rules))
 
 
 def test_batches_without_rows_and_vacuum(spark, tmp_path):
