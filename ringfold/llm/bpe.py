@@ -286,12 +286,13 @@ def library(path: str) -> Tokenizer:
 
 def numpy_encoder(path: str) -> ChunkEncoder:
     vocab = vocabulary(path)
-    splitter, byte_of = library(path).pre_tokenizer, _byte_chars()
+    byte_of = _byte_chars()
 
     def pieces_of(chunk: str) -> list[bytes]:
         if _SURE.fullmatch(chunk):
             return [p.encode() for p in _PIECE.findall(chunk)]
-        return [bytes(map(byte_of.__getitem__, piece)) for piece, _ in splitter.pre_tokenize_str(chunk)]
+        found = library(path).pre_tokenizer.pre_tokenize_str(chunk)  # read when first needed: it takes memory
+        return [bytes(map(byte_of.__getitem__, piece)) for piece, _ in found]
 
     def fresh(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [pieces_of(c) for c in chunks]
@@ -361,32 +362,49 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return make_way(df, out).withColumn(out, texts(_moved(df, ids, out)))
 
 
+def coded(text: Column, path: str) -> Column:
+    """A struct of the ids of each text, and the text that they decode to: both in one pass of one Python worker."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists, decoded, _ in _round_trips(batches, path):
+            yield pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+    return both(text.cast("string"))
+
+
 def checked(text: Column, path: str) -> Column:
     """A struct of the ids of each text, and whether they decode to it: both in one pass of one Python worker."""
 
     @F.arrow_udf("struct<ids: array<int>, decodes: boolean>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own, vocab = of_worker((numpy_encoder.__name__, path), lambda: numpy_encoder(path)), vocabulary(path)
-        for column in batches:
-            texts = column.to_pylist()
-            ids, lens, same = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], []
-            for a, b in text_slices(texts):
-                found, sizes = own.encode_column(texts[a:b])
-                ids.append(found)
-                lens.append(sizes)
-                same += [x == (t or "") for x, t in zip(vocab.decode(found, sizes), texts[a:b])]
-            lists = list_array(np.concatenate(ids), np.concatenate(lens))
+        for lists, decoded, texts in _round_trips(batches, path):
+            same = [x == (t or "") for x, t in zip(decoded, texts)]
             yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "decodes"])
 
     return both(text.cast("string"))
 
 
+def _round_trips(batches: Iterator[pa.Array], path: str) -> Iterator[tuple[pa.ListArray, list[str], list[str | None]]]:
+    """The ids of each batch of texts, the texts they decode to, and the texts."""
+    own, vocab = of_worker((numpy_encoder.__name__, path), lambda: numpy_encoder(path)), vocabulary(path)
+    for column in batches:
+        texts = column.to_pylist()
+        ids, lens, decoded = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], []
+        for a, b in text_slices(texts):
+            found, sizes = own.encode_column(texts[a:b])
+            ids.append(found)
+            lens.append(sizes)
+            decoded += vocab.decode(found, sizes)
+        yield list_array(np.concatenate(ids), np.concatenate(lens)), decoded, texts
+
+
 def digests(df: DataFrame, path: str) -> DataFrame:
     """The contract's row of each document: counts and digests of its ids and of their text."""
-    coded = decode(encode(df.select("doc_id", "text"), path), path)
-    return coded.select(
+    both = df.select("doc_id", coded(F.col("text"), path).alias("coded"))
+    return both.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.size("coded.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("coded.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
     )
