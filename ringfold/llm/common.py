@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..storage import new_path, shared_dir
+from ..storage import new_path, shared_dir, stored
 
 __all__ = [
     "FOLDED", "WORD", "laid_out", "make_way", "long_id", "lower_ascii", "new_path", "of_worker", "partition_of", "removed",
@@ -25,12 +25,6 @@ _T = TypeVar("_T")
 _kept: dict[Hashable, object] = {}
 _ROW_BITS = 33  # monotonically_increasing_id() keeps the partition above these bits
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet into the shared folder and read it again."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def removed(df: DataFrame) -> None:
     """Delete the files of a stored DataFrame that nothing reads any more."""
