@@ -175,3 +175,21 @@ def test_a_metric_that_comes_in_mid_stream(spark, tmp_path):
 def shown_all(df):
     rows = df.select(*sorted(df.columns)).withColumns({c: F.round(c, 6) for c, kind in df.dtypes if kind == "double"})
     return sorted(map(str, rows.collect()))
+
+
+def test_reports_of_a_range_of_subscribers_share_a_key(spark, tmp_path):
+    """Each key costs calls to the JVM, so there are fewer keys than subscribers; unknown ones have their own."""
+    session = with_state(spark)
+    campaigns = rule_tables.from_rows(session, RULES).campaign
+    people = [None, 0, -1, 999, 1000, 2**62, 2**62 + 1, *range(40)]
+    rows = [(p, c, (3 + i) * DAY_MS + h) for i in range(12) for p in people for c in (1, 5, 6, 8) for h in (0, 0, 7)]
+    session.createDataFrame([*rows, (None, -1, 100 * DAY_MS)], CANDIDATES).write.parquet(f"{tmp_path}/arrived/0")
+    report_stream.report(session.readStream.schema(CANDIDATES).parquet(f"{tmp_path}/arrived/*"), campaigns, str(tmp_path)).awaitTermination()
+    found = session.read.schema(CANDIDATES).parquet(f"{tmp_path}/reports").collect()
+    known = [r for r in rows if r[0] is not None]
+    want = R.reports(session.createDataFrame(known, CANDIDATES), campaigns).collect()
+    assert sorted(map(tuple, (r for r in found if r[0] is not None))) == sorted(map(tuple, want)) and len(want) > 400
+    of = lambda who: sorted((r[1], r[2]) for r in found if r[0] == who)
+    assert of(None) == of(0) and of(2**62) == of(2**62 + 1) == of(0)
+    keys = session.read.format("statestore").option("path", f"{tmp_path}/progress").option("stateVarName", "firing").option("batchId", 0).load()
+    assert 0 < keys.count() <= 4 * 5
