@@ -193,3 +193,21 @@ def test_reports_of_a_range_of_subscribers_share_a_key(spark, tmp_path):
     assert of(None) == of(0) and of(2**62) == of(2**62 + 1) == of(0)
     keys = session.read.format("statestore").option("path", f"{tmp_path}/progress").option("stateVarName", "firing").option("batchId", 0).load()
     assert 0 < keys.count() <= 4 * 5
+
+
+def test_state_of_a_range_of_subscribers_is_one_value(spark, tmp_path):
+    """And only those who call are emitted, with nulls and large numbers as they are."""
+    session = with_state(spark)
+    attributes = A.generated()
+    table = RangedTable(str(tmp_path / "t"), 10)
+    day = lambda n, s=0: dt.datetime(2024, 1, n, 0, 0, s)
+    first = [(1, day(1), -1, "view", None, "{}"), (2, day(2), 7, "error", 0.1, '{"k": 2147483646}'), (3, day(2, 1), 7, "error", 0.1, '{"k": 2147483646}')]
+    first += [(4, day(3), 7, "view", 5.0, '{"k": 1}'), (5, day(3), 2**60 + 1, "view", 1.0, "{}"), (6, day(3), 8, "view", 2.0, '{"k": 3}')]
+    second = [(7, day(20), 8, "view", None, "{}"), (8, day(1), 7, "view", 1.0, "{}"), (9, None, 7, "view", 1.0, "{}")]
+    for k, rows in enumerate((first, second)):
+        session.createDataFrame(rows, C.EVENT).coalesce(1).write.parquet(f"{tmp_path}/in/events{k}.parquet")
+        keep_wide(C.stream_events(session, f"{tmp_path}/in"), attributes, table).awaitTermination()
+        calls = C.from_events(session.createDataFrame(first + (second if k else []), C.EVENT))
+        assert shown(table.read(spark)) == shown(M.wide_table(M.day_partials(calls), attributes))
+    held = session.read.format("statestore").option("path", f"{table.root}/progress").option("stateVarName", "partials").load()
+    assert held.count() == 3  # ranges
