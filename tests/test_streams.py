@@ -211,3 +211,18 @@ def test_state_of_a_range_of_subscribers_is_one_value(spark, tmp_path):
         assert shown(table.read(spark)) == shown(M.wide_table(M.day_partials(calls), attributes))
     held = session.read.format("statestore").option("path", f"{table.root}/progress").option("stateVarName", "partials").load()
     assert held.count() == 3  # ranges
+
+
+def test_a_range_of_partials_is_one_file(spark, tmp_path):
+    """Tasks write no file each to every range: files would grow with the ranges times the tasks."""
+    calls = C.from_events(spark.createDataFrame(events(2000, 11, callers=60), C.EVENT).repartition(4))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stream.append_partials(calls, 0, str(tmp_path), 10)
+        assert len(list(tmp_path.glob("partials/batch=0/*/*.parquet"))) == 6
+        stream.compact(spark, str(tmp_path), 10)
+        assert len(list(tmp_path.glob("base/upto=0/*/*.parquet"))) == 6
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert shown(stream.snapshot(spark, str(tmp_path))) == shown(M.day_partials(calls))
