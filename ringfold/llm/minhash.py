@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import of_worker, removed, stored, text_slices
+from .common import of_worker, perhaps_among, removed, stored, text_slices
 from .components import connected_components
 
 WORDS, PERMUTATIONS, ROWS = 5, 192, 6
@@ -198,7 +198,9 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (x, hub, n_x, n_hub) that are similar enough, by their full sets."""
+    """Those of pairs (stored: x, hub, n_x, n_hub) that are similar enough, by their full sets; others' sets stay where they are."""
+    ends = pairs.select(F.explode(F.array("x", "hub")).alias("class"))
+    sets = perhaps_among(sets, F.col("class"), ends).where("_perhaps")
     one = pairs.join(sets.select(F.col("class").alias("x"), F.col("set").alias("set_x")), "x")
     both = one.join(sets.select(F.col("class").alias("hub"), F.col("set").alias("set_hub")), "hub")
     shared = F.size(F.array_intersect("set_x", "set_hub"))
@@ -227,7 +229,8 @@ def class_links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     open_ = stored(members.select("band", "class").join(known, "class").withColumn("comp", F.col("class")), "buckets")
 
     waiting = classes.join(open_.select("class").distinct(), "class", "left_semi").select("class", "set_key", "row_key")
-    found = texts.join(waiting.select("row_key"), "row_key", "left_semi").select("text")
+    likely = perhaps_among(texts, F.col("row_key"), waiting.select("row_key")).where("_perhaps")
+    found = likely.join(waiting.select("row_key"), "row_key", "left_semi").select("text")
     # A row's key is 64 bits, so the set's own key has the last word; equal rows give their set once.
     sets = found.mapInArrow(_full_sets, "set_key binary, set array<long>").join(waiting, "set_key").select("class", "set")
     sets = stored(sets.dropDuplicates(["class"]), "sets")
@@ -260,7 +263,7 @@ def class_links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame
             )
             .distinct()
         )
-        new = stored(_links(pairs, sets, percent), "links")
+        new = stored(_links(stored(pairs, "pairs"), sets, percent), "links")
         rest = open_.join(hubs.select("band", F.col("hub").alias("class")), ["band", "class"], "left_anti")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
@@ -338,7 +341,13 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
         .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
         .distinct()
     )
-    same = docs["doc_id"].cast("long").eqNullSafe(dropped["_id"]) & (F.xxhash64(docs["text"].cast("string")) == dropped["_key"])
-    kept = docs.join(dropped, same, "left_anti")
+    dropped = stored(dropped, "dropped")
+    text_key = F.xxhash64(docs["text"].cast("string"))
+    marked = perhaps_among(docs, F.xxhash64(docs["doc_id"].cast("long"), text_key), dropped.select(F.xxhash64("_id", "_key")))
+    # Most rows are none of the dropped for sure, and their texts need not move.
+    unsure = marked.where("_perhaps")
+    same = unsure["doc_id"].cast("long").eqNullSafe(dropped["_id"]) & (F.xxhash64(unsure["text"].cast("string")) == dropped["_key"])
+    stays = marked.where("not _perhaps").unionByName(unsure.join(dropped, same, "left_anti"))
+    kept = stays.select(*docs.columns)
     repeated = found.groupBy("doc_id", "text_key").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

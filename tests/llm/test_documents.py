@@ -374,3 +374,25 @@ def test_quality_priors_shrink(spark):
     found = {(r._site, r._path): r for r in quality.priors(spark.createDataFrame(soft, "site string, path string, good double"), 0.6).collect()}
     assert found["big", "a"].site_share > 0.9 and found["poor", "a"].site_share < 0.2
     assert 0.1 < found["small", "a"].site_share < 0.6  # one document moves a site a little
+
+
+def test_few_rows_without_a_key_are_perhaps_among_keys(spark):
+    """So that a join need not move their texts."""
+    from ringfold.llm.common import perhaps_among
+
+    rows = spark.range(50_000).withColumn("key", F.when(F.col("id") > 0, F.xxhash64("id")))
+    found = perhaps_among(rows, F.col("key"), rows.where("id % 50 = 7").select("key"))
+    assert found.columns == ["id", "key", "_perhaps"] and found.count() == 50_000
+    assert found.where("id % 50 = 7 and not _perhaps").count() == 0
+    assert found.where("id % 50 != 7 and _perhaps").count() < 50
+    assert perhaps_among(rows, F.col("key"), rows.limit(0).select("key")).where("_perhaps").count() == 0
+
+
+def test_texts_that_stay_are_not_moved(spark):
+    docs = labelled(spark, 200)[0]
+    docs = docs.unionByName(docs.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 5000))
+    kept = minhash.keep_one(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and kept.columns == docs.columns
+    found = minhash.near_duplicates(docs).where("kept or n_shingles = 0")
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in found.dropDuplicates(["doc_id"]).collect())
