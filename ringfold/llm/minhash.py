@@ -42,6 +42,7 @@ WORDS, PERMUTATIONS, ROWS = 5, 192, 6
 AGREEING, _DIGITS = 70, 128
 LARGE = 400  # shingles; sets down to three quarters of that have both marks
 _BITS = 10  # of a shingle's hash, by which it sets one of 1024 bits
+_DROPPED_BITS = 24  # of a band, where it is only asked whether a band is met again
 _PIECE_BYTES = 4 << 20  # of a text whose words are held at once
 _CACHED_WORDS, _CACHED_LENGTH = 300_000, 64
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -197,6 +198,10 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([keys, _lists(values, [len(s) for s in sets])], ["set_key", "set"])
 
 
+def _of_hub(*names: str) -> list[Column]:
+    return [F.col(c).alias("hub" if c == "class" else f"{c}_hub") for c in names]
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (stored: x, hub, n_x, n_hub) that are similar enough, by their full sets; others' sets stay where they are."""
     ends = pairs.select(F.explode(F.array("x", "hub")).alias("class"))
@@ -217,42 +222,52 @@ def class_links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     classes: class, set_key, row_key, n, bands, digits, bits; texts: row_key, text.
     """
     banded = classes.select("class", F.explode(F.array_distinct("bands")).alias("band"))
-    shared = banded.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("size")).where("a < b")
-    members = stored(banded.join(shared.select("band", "size"), "band"), "members")
+    # A class has a band once, so a band met twice has two classes (or its short form has: then a bucket holds one
+    # class, and ends at once). Few bands are, and only their members move.
+    banded = banded.withColumn("short", F.shiftright("band", _DROPPED_BITS))
+    shared = stored(banded.groupBy("short").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    met_again = perhaps_among(banded, F.col("short"), shared.select("short")).where("_perhaps").drop("_perhaps")
+    members = stored(met_again.join(shared, "short").select("band", "class", "size"), "members")
     # Hubs are those who share bands with most: in a group of edited copies that is the original.
-    known = members.groupBy("class").agg(F.sum("size").alias("met"))
+    met = members.groupBy("class").agg(F.sum("size").alias("met"))
     marks = (
         F.when(F.col("n") * 100 >= LARGE * percent, F.col("digits")).alias("digits"),
         F.when(F.col("n") <= LARGE, F.col("bits")).alias("bits"),
     )
-    known = known.join(classes.select("class", "n", *marks), "class")
-    open_ = stored(members.select("band", "class").join(known, "class").withColumn("comp", F.col("class")), "buckets")
-
-    waiting = classes.join(open_.select("class").distinct(), "class", "left_semi").select("class", "set_key", "row_key")
-    likely = perhaps_among(texts, F.col("row_key"), waiting.select("row_key")).where("_perhaps")
-    found = likely.join(waiting.select("row_key"), "row_key", "left_semi").select("text")
-    # A row's key is 64 bits, so the set's own key has the last word; equal rows give their set once.
-    sets = found.mapInArrow(_full_sets, "set_key binary, set array<long>").join(waiting, "set_key").select("class", "set")
-    sets = stored(sets.dropDuplicates(["class"]), "sets")
+    likely = perhaps_among(classes, F.col("class"), members.select("class")).where("_perhaps")
+    known = likely.join(met, "class").select("class", "set_key", "row_key", "met", "n", *marks, "bands")
+    known = stored(known, "known")
+    open_ = members.select("band", "class").join(known.select("class", "met"), "class").withColumn("comp", F.col("class"))
+    open_ = stored(open_, "buckets")
+
+    waiting = known.select("class", "set_key")
+    found = perhaps_among(texts, F.col("row_key"), known.select("row_key")).where("_perhaps").select("text")
+    # Rows that are not waited for have other keys; equal rows give their set once.
+    sets = found.mapInArrow(_full_sets, "set_key binary, set array<long>").dropDuplicates(["set_key"])
+    sets = stored(sets.join(waiting, "set_key").select("class", "set"), "sets")
     links = labels = None
-    hubs_each, carried = 1, ["n", "comp", "digits", "bits"]
+    hubs_each = 1
+    compared = known.select("class", "n", "digits", "bits")
     # Several hubs may meet a document in several buckets; then the first band of the pair counts.
     first_shared = F.get(F.array_intersect("bands", "bands_hub"), 0) == F.col("band")
     # Of sizes that can be similar, either both have bits or both have digits.
     few = F.lit(100 + percent) * differing("bits", "bits_hub") <= F.lit(100 - percent) * (F.col("n") + F.col("n_hub"))
     near = F.coalesce(few, F.lit(True)) & F.coalesce(agreeing("digits", "digits_hub") >= AGREEING, F.lit(True))
     while not open_.isEmpty():
-        fields = [F.col("class").alias("hub"), *(F.col(c).alias(f"{c}_hub") for c in carried)]
         if hubs_each == 1:  # an aggregate, so that a bucket's members need not meet
-            first = F.max_by(F.struct(*fields), F.struct("met", -F.col("class"))).alias("h")
+            first = F.max_by(F.struct(*_of_hub("class", "comp")), F.struct("met", -F.col("class"))).alias("h")
             hubs = open_.groupBy("band").agg(first).select("band", "h.*")
         else:
             ordered = Window.partitionBy("band").orderBy(F.desc("met"), "class")
-            hubs = open_.withColumn("k", F.row_number().over(ordered)).where(F.col("k") <= hubs_each).select("band", *fields)
+            hubs = open_.withColumn("k", F.row_number().over(ordered)).where(F.col("k") <= hubs_each)
+            hubs = hubs.select("band", *_of_hub("class", "n", "comp", "digits", "bits", "bands"))
+        hubs = stored(hubs, "hubs")  # so that the join can split a bucket
+        meeting = open_.join(hubs, "band").where("class != hub and comp != comp_hub")
+        if hubs_each == 1:  # at most a pair for each member, so pairs move and get what they are compared by
+            ends = meeting.select(F.greatest("class", "hub").alias("class"), F.least("class", "hub").alias("hub")).distinct()
+            meeting = ends.join(compared, "class").join(compared.select(*_of_hub(*compared.columns)), "hub")
         pairs = (
-            open_.join(hubs, "band")
-            .where("class != hub and comp != comp_hub")
-            .where(F.lit(100) * F.least("n", "n_hub") >= F.lit(percent) * F.greatest("n", "n_hub"))
+            meeting.where(F.lit(100) * F.least("n", "n_hub") >= F.lit(percent) * F.greatest("n", "n_hub"))
             .where(near)
             .where(F.lit(True) if hubs_each == 1 else first_shared)
             .select(
@@ -274,28 +289,40 @@ def class_links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame
         mixed = rest.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
         rest = rest.join(mixed.select("band"), "band", "left_semi")
         if hubs_each == 1:
-            rest = rest.join(classes.select("class", "bands"), "class")
-            carried.append("bands")
+            rest = rest.join(known.select("class", "n", "digits", "bits", "bands"), "class")
         done, open_ = open_, stored(rest, "buckets")
         removed(done)
+        removed(hubs)
         hubs_each *= 16
+    for df in (shared, members, known, sets, open_):
+        removed(df)
     return labels
 
 
 def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, text_key, n_shingles, group, component_id) of each row of docs; group is null for empty sets."""
+    return _grouped(docs, percent)[0]
+
+
+def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """grouped(), and the stored frames that it reads.
+
+    (doc_id, text_key, n_shingles, group, component_id) of each row of docs; group is null for empty sets.
+    """
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string").alias("text")).select(
         "doc_id", F.xxhash64("text").alias("text_key"), F.xxhash64("doc_id", "text").alias("row_key"), "text"
     )
     sketch = stored(rows.mapInArrow(_sketch, _SKETCH_SQL), "sketch")
-    one = F.min_by(F.struct("row_key", F.col("n_shingles").alias("n"), "bands", "digits", "bits"), "row_key").alias("one")
-    classes = stored(
-        sketch.where("n_shingles > 0")
-        .groupBy("set_key")
-        .agg(F.min("doc_id").alias("least"), one)
-        .select("set_key", "least", "one.*", F.monotonically_increasing_id().alias("class")),
-        "classes",
-    )
+    full = sketch.where("n_shingles > 0")
+    copied = full.groupBy("set_key").count().where("count > 1").select(F.xxhash64("set_key"))
+    # Most sets are no other's copy for sure, and need not move to become classes.
+    marked = perhaps_among(full, F.xxhash64("set_key"), copied)
+    fields = ["row_key", F.col("n_shingles").alias("n"), "bands", "digits", "bits"]
+    one = F.min_by(F.struct(*fields), "row_key").alias("one")
+    met_again = marked.where("_perhaps").groupBy("set_key").agg(F.min("doc_id").alias("least"), one)
+    alone = marked.where("not _perhaps").select("set_key", F.col("doc_id").alias("least"), *fields)
+    classes = alone.unionByName(met_again.select("set_key", "least", "one.*"))
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     labels = class_links(classes, rows.select("row_key", "text"), percent)
     named = classes.select("set_key", "least", F.col("class").alias("group"))
     if labels is not None:
@@ -306,7 +333,7 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
         named = named.join(smallest, "group").select("set_key", "group", "component_id")
     else:
         named = named.withColumnRenamed("least", "component_id")
-    return (
+    result = (
         sketch.select("doc_id", "text_key", "n_shingles", "set_key")
         .join(named, "set_key", "left")
         .select(
@@ -314,6 +341,7 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
             F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         )
     )
+    return result, [sketch, classes]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -332,7 +360,10 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Rows of equal id and text count once. Texts without words all stay.
     """
-    found = stored(grouped(docs, percent), "groups")
+    result, read = _grouped(docs, percent)
+    found = stored(result, "groups")
+    for df in read:
+        removed(df)
     own = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     first = found.where("group is not null").groupBy("group").agg(F.min(own).alias("first"))
     dropped = (
@@ -342,12 +373,20 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
         .distinct()
     )
     dropped = stored(dropped, "dropped")
-    text_key = F.xxhash64(docs["text"].cast("string"))
-    marked = perhaps_among(docs, F.xxhash64(docs["doc_id"].cast("long"), text_key), dropped.select(F.xxhash64("_id", "_key")))
-    # Most rows are none of the dropped for sure, and their texts need not move.
-    unsure = marked.where("_perhaps")
-    same = unsure["doc_id"].cast("long").eqNullSafe(dropped["_id"]) & (F.xxhash64(unsure["text"].cast("string")) == dropped["_key"])
-    stays = marked.where("not _perhaps").unionByName(unsure.join(dropped, same, "left_anti"))
-    kept = stays.select(*docs.columns)
-    repeated = found.groupBy("doc_id", "text_key").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    marks = dropped.select(F.xxhash64("_id", "_key"))
+
+    def without(rows: DataFrame, doc_id: Column, text_key: Column) -> DataFrame:
+        return rows.join(dropped, doc_id.eqNullSafe(dropped["_id"]) & (text_key == dropped["_key"]), "left_anti")
+
+    # Most rows are none of the dropped for sure, and of the others few stay; the texts of those alone move.
+    doubtful = perhaps_among(found.select("doc_id", "text_key"), F.xxhash64("doc_id", "text_key"), marks).where("_perhaps")
+    doubtful = without(doubtful, F.col("doc_id"), F.col("text_key")).select(F.xxhash64("text_key", "doc_id"))
+    doubtful = stored(doubtful.toDF("key"), "doubtful")
+    doc_id, text_key = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    marked = perhaps_among(docs, F.xxhash64(doc_id, text_key), marks)
+    unsure = perhaps_among(marked.where("_perhaps").drop("_perhaps"), F.xxhash64(text_key, doc_id), doubtful).where("_perhaps")
+    unsure = without(unsure, unsure["doc_id"].cast("long"), F.xxhash64(unsure["text"].cast("string")))
+    kept = marked.where("not _perhaps").unionByName(unsure).select(*docs.columns)
+    unrepeated = found.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
+    removed(found)
+    return kept if unrepeated else kept.dropDuplicates(["doc_id", "text"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import removed, stored
 
 BINS = 16
 PROPERTIES = ("upper", "digits", "symbols", "symbol_ends", "recurring", "repeats", "repeated_lines", "bars")
@@ -182,11 +182,10 @@ class Model:
 
 
 def binned(docs: DataFrame, site: str, path: str, *kept: Column) -> DataFrame:
-    """(doc_id, site, path, bins, kept) of all documents, stored, as the model is fitted to them and then applied."""
-    rows = docs.select(
+    """(doc_id, site, path, bins, kept) of all documents."""
+    return docs.select(
         docs["doc_id"], docs[site].alias("site"), docs[path].alias("path"), bins_of(docs["text"]).alias("bins"), *kept
     )
-    return stored(rows, "bins")
 
 
 def train(rows: DataFrame, labels: DataFrame) -> Model:
@@ -198,7 +197,7 @@ def train(rows: DataFrame, labels: DataFrame) -> Model:
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, site: str = "source", path: str = "lang") -> DataFrame:
     """(doc_id, held_out, evidence, site_share, path_share, score, kept) of each document."""
-    rows = binned(docs, site, path)
+    rows = stored(binned(docs, site, path), "bins")
     return train(rows, labels).scored(rows).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "evidence", "site_share", "path_share", "score",
         (F.col("score") >= threshold).alias("kept"),
@@ -207,6 +206,10 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, site: st
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, site: str = "source", path: str = "lang") -> DataFrame:
     """The rows of docs that score threshold or more, with their own columns."""
+    fitted = stored(binned(docs, site, path), "bins")
+    model = train(fitted, labels)
+    removed(fitted)
+    # Texts are read and binned again: stored beside the bins they would take the disk once more.
     rows = binned(docs, site, path, F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     columns = [F.col(f"row.{c}").alias(c) for c in docs.columns]
-    return train(rows, labels).scored(rows).where(F.col("score") >= threshold).select(*columns)
+    return model.scored(rows).where(F.col("score") >= threshold).select(*columns)
