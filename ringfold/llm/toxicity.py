@@ -221,19 +221,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def _originals(documents: list[tuple[str, int]]) -> list[tuple[str, int]]:
     """Without those that share more than a fifth of their shingles with what stands before them."""
-    seen: set[int] = set()
-    kept = []
-    for text, label in documents:
-        shingles = set(shingle_sets([text])[0].tolist())
-        if not shingles or len(shingles & seen) <= len(shingles) / 5:
-            kept.append((text, label))
-        seen |= shingles
-    return kept
+    sets = [shingle_sets([text])[0] for text, _ in documents]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, own = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
+    del sets
+    order = np.argsort(flat, kind="stable")
+    again = order[1:][flat[order[1:]] == flat[order[:-1]]]  # all occurrences of a shingle but its first
+    met = np.bincount(own[again], minlength=len(sizes))
+    return [d for d, n, m in zip(documents, sizes.tolist(), met.tolist()) if m <= n / 5]
 
 
 def fit(documents: list[tuple[str, int]], totals: tuple[int, int], window: int = 1, share: float = 0.002) -> Model:
     """A model from (text, label) in any fixed order, and how many training documents of label 0 and 1 there are."""
-    each = [(windows_of(words_of(t), window), label) for t, label in _originals(documents)]
+    same: dict[bytes, bytes] = {}  # a window is one object, however often it comes
+    each = [([same.setdefault(w, w) for w in windows_of(words_of(t), window)], label) for t, label in _originals(documents)]
     ordinary, toxic = ([w for w, label in each if label == k and w] for k in (0, 1))
     if not ordinary or not toxic:
         return Model(None)
