@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import of_worker, perhaps_among, removed, stored, text_slices
+from .common import of_worker, perhaps_among, removed, stored, text_runs
 from .components import connected_components
 
 WORDS, PERMUTATIONS, ROWS = 5, 192, 6
@@ -175,24 +175,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [part.split(" ")[0] for part in _SKETCH_SQL.split(", ")]
     words = of_worker("words", WordHashes)
     for batch in batches:
-        texts = batch.column(3).to_pylist()
-        for a, b in text_slices(texts):
-            sets = shingle_sets(texts[a:b], words=words)
+        for at, texts in text_runs(batch.column(3)):
+            sets = shingle_sets(texts, words=words)
             sizes = np.array([len(s) for s in sets])
             full = [s for s in sets if len(s)]
             bands, digits, bits = (*signatures(full), bitmaps(full)) if full else (np.zeros((0, 1), np.int64),) * 3
             lists = [_lists(x.ravel(), (sizes > 0) * x.shape[1]) for x in (bands, digits, bits)]
             keys = pa.array([_key(s) for s in sets], pa.binary())
-            own = [batch.column(k).slice(a, b - a) for k in range(3)]
+            own = [batch.column(k).slice(at, len(texts)) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), keys, *lists], names)
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = of_worker("words", WordHashes)
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for a, b in text_slices(texts):
-            sets = shingle_sets(texts[a:b], words=words)
+        for _, texts in text_runs(batch.column(0)):
+            sets = shingle_sets(texts, words=words)
             values = np.concatenate(sets).view(np.int64)
             keys = pa.array([_key(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([keys, _lists(values, [len(s) for s in sets])], ["set_key", "set"])

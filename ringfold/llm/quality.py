@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, stored
+from .common import removed, stored, text_runs
 
 BINS = 16
 PROPERTIES = ("upper", "digits", "symbols", "symbol_ends", "recurring", "repeats", "repeated_lines", "bars")
@@ -65,7 +65,7 @@ def bins_of(text: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def found(texts: pa.Array) -> pa.Array:
-        values = np.array([properties(t) for t in texts.to_pylist()]).reshape(-1, len(PROPERTIES))
+        values = np.array([properties(t) for _, some in text_runs(texts) for t in some]).reshape(-1, len(PROPERTIES))
         binned = np.minimum((np.sqrt(values) * BINS).astype(np.int32), BINS - 1)
         return pa.array(list(binned), pa.list_(pa.int32()))
 
@@ -85,7 +85,8 @@ class Evidence:
     def of(self, bins: Column) -> Column:
         flat = F.array(*(F.lit(float(x)) for x in chain.from_iterable(self.table)))
         steps = [F.get(flat, F.get(bins, i) + i * BINS) for i in range(len(PROPERTIES))]
-        return sum(steps[1:], steps[0])
+        # Never null, and Spark is to see that: a filter on nulls, inferred from a join, would bin all texts once more.
+        return F.coalesce(sum(steps[1:], steps[0]), F.lit(0.0))
 
 
 def fit(binned: DataFrame, labels: DataFrame, label: str = "quality", temper: float = 0.5) -> Evidence:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import of_worker, text_slices
+from .common import of_worker, text_runs
 from .minhash import shingle_sets
 
 CUT = 0.7
@@ -182,17 +182,17 @@ class Model:
         n = counts.sum(axis=1)
         return np.column_stack([np.clip(evidence, -30, 30) / 10, evidence / np.sqrt(n + 5), np.log1p(n) / 10])
 
-    def scorer(self) -> Callable[[list[str | None]], np.ndarray]:
+    def scorer(self) -> Callable[[pa.Array], np.ndarray]:
         """A function of texts."""
         if self.dictionaries is None:
             return lambda texts: np.zeros(len(texts))
         gains = of_worker(self.dictionaries, lambda: Gains(self.dictionaries))
         weights = np.array(self.weights)
 
-        def scores(texts: list[str | None]) -> np.ndarray:
+        def scores(texts: pa.Array) -> np.ndarray:
             found = [np.zeros(0)]
-            for a, b in text_slices(texts):
-                counts = gains.counts([windows_of(words_of(t), self.window) for t in texts[a:b]])
+            for _, some in text_runs(texts):
+                counts = gains.counts([windows_of(words_of(t), self.window) for t in some])
                 found.append(_sigmoid(self.features(counts) @ weights + self.bias))
             return np.concatenate(found)
 
@@ -305,7 +305,7 @@ def score(text: Column, model: Model) -> Column:
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = model.scorer()
         for texts in batches:
-            yield pa.array(of(texts.to_pylist()), pa.float64())
+            yield pa.array(of(texts), pa.float64())
 
     return scores(text.cast("string"))
 

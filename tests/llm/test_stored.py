@@ -37,3 +37,9 @@ def test_keep_good_stores_no_texts(spark, left):
     assert not any({"row", "text"} & set(columns) for columns in found.values())
     expected = quality.quality(docs, labels).where("kept").select("doc_id").collect()
     assert sorted(str(r.doc_id) for r in kept.select("doc_id").collect()) == sorted(str(r.doc_id) for r in expected)
+
+
+def test_keep_good_bins_texts_once_in_a_task(spark, left):
+    """No filter that Spark infers from the join bins them before, by Python workers of its own."""
+    kept = quality.keep_good(*labelled(spark, 200))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
