@@ -14,32 +14,40 @@ ids come first and rows of equal id stand by a hash of their text; a lone docume
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from .common import laid_out, running_start, stored
+from .common import lower_ascii
 
 PLACES, SELECTED, WORDS, MAX_WORD = 64, 2, 2, 16
 #: A packed value holds 33 bits of hash over 30 bits of place: no text of 2 GB has more words.
 _PLACE_BITS, _HASH_BITS = 30, 33
 _PLACE, _HASH = (1 << _PLACE_BITS) - 1, (1 << _HASH_BITS) - 1
-
-
-def _upto(n: Column) -> Column:
-    """0 .. n-1; empty for 0."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+#: So many keys are drawn for each border between ranges.
+_DRAWN = 8
 
 
 def _hash_of(packed: Column) -> Column:
     return F.shiftright(packed, _PLACE_BITS)
 
 
+def _place_of(packed: Column) -> Column:
+    return packed.bitwiseAND(F.lit(_PLACE))
+
+
 def _pack(hashed: Column, place: Column) -> Column:
     return F.shiftleft(hashed.bitwiseAND(F.lit(_HASH)), _PLACE_BITS).bitwiseOR(place.cast("long"))
 
 
+def _places(values: Column | str, holds: Callable[[Column], Column]) -> Column:
+    """The ascending places, from 0, of the values for which it holds."""
+    return F.filter(F.transform(values, lambda x, j: F.when(holds(x), j)), lambda j: j.isNotNull())
+
+
 def fingerprint(
     df: DataFrame,
     text: str,
@@ -50,48 +58,51 @@ def fingerprint(
     max_word: int = MAX_WORD,
 ) -> DataFrame:
     """df with out: the fingerprint of the column text, an array of places integers below 65536."""
-    w, b, p, s, g, m = (f"_{out}_{x}" for x in "wbpsgm")
+    w, b, p, u, r, e, g, m = (f"_{out}_{x}" for x in "wbpuregm")
     arcs = [(i << _HASH_BITS) // places << _PLACE_BITS for i in range(places)]
-    # Each step uses the one before it more than once, which keeps Catalyst from inlining it.
+    # Each step uses the one before it more than once, which keeps Catalyst from inlining it. A lambda reads what it is
+    # called with, as far as it can: looking a value up by its place makes several objects.
     df = df.withColumn(w, F.regexp_extract_all(F.col(text), F.lit(f"\\S{{1,{max_word}}}"), F.lit(0)))
     count = F.when(F.size(w) == 0, 0).otherwise(F.greatest(F.size(w) - (words - 1), F.lit(1)))
-    df = df.withColumn(b, F.transform(_upto(count), lambda i: F.xxhash64(F.slice(F.col(w), i + 1, words))))
+
+    def hash_at(word: Column, i: Column) -> Column:  # as of the array of the words; places beyond the text do not count
+        return F.xxhash64(word, *(F.get(w, i + t) for t in range(1, words)))
+
+    df = df.withColumn(b, F.transform(F.slice(F.col(w), F.lit(1), count), hash_at))
     n = F.size(b)
     df = df.withColumn(p, F.sort_array(F.transform(b, _pack)))
-    df = df.withColumn(
-        s,
-        F.filter(
-            _upto(F.size(p)),
-            lambda j: (j == 0) | (_hash_of(F.get(p, j)) != _hash_of(F.get(p, F.greatest(j - 1, F.lit(0))))),
-        ),
-    )
 
-    def numbered(start: Column, run: Column) -> Column:
-        last = F.coalesce(F.get(s, run + 1), F.size(p)) - 1
-        return F.transform(
-            F.sequence(start, last),
-            lambda j: _pack(
-                F.xxhash64(_hash_of(F.get(p, j)), j - start), F.get(p, j).bitwiseAND(F.lit(_PLACE)) + 1
-            ),
-        )
+    def number(x: Column, occurrence: Column) -> Column:
+        return _pack(F.xxhash64(_hash_of(x), occurrence), _place_of(x) + 1)
+
+    def once(x: Column, j: Column) -> Column:
+        repeats = F.coalesce(_hash_of(F.get(p, j - 1)) == _hash_of(x), F.lit(False))
+        return F.when(repeats, F.lit(-1).cast("long")).otherwise(number(x, F.lit(0)))
+
+    df = df.withColumn(u, F.transform(p, once))  # k-mers by hash with their first number, -1 for those that come again
+    df = df.withColumn(r, _places(u, lambda x: x < 0))
+    # Two runs of these never touch, as each k-mer has a first one.
+    df = df.withColumn(e, F.filter(r, lambda j, i: F.coalesce(F.get(r, i + 1) != j + 1, F.lit(True))))
+    starts = F.filter(r, lambda j, i: F.coalesce(F.get(r, i - 1) != j - 1, F.lit(True)))
 
-    df = df.withColumn(g, F.sort_array(F.flatten(F.transform(s, numbered))))
+    def again(start: Column, run: Column) -> Column:
+        return F.transform(F.slice(p, start + 1, F.get(e, run) - start + 1), lambda x, t: number(x, t + 1))
+
+    numbered = F.concat(F.filter(u, lambda x: x >= 0), F.flatten(F.transform(starts, again)))
+    df = df.withColumn(g, F.sort_array(numbered))
     df = df.withColumn(m, F.sort_array(F.concat(F.col(g), F.array(*map(F.lit, arcs)))))
-    marks = F.filter(_upto(F.size(m)), lambda j: F.get(m, j).bitwiseAND(F.lit(_PLACE)) == 0)
-
-    def tuple_hash(mark: Column, arc: Column) -> Column:
-        chosen = [
-            (F.get(g, F.pmod(mark - arc + t, n)).bitwiseAND(F.lit(_PLACE)) - 1).cast("int") for t in range(selected)
-        ]
-        if selected == 2:
-            in_order = [F.get(b, F.least(*chosen)), F.get(b, F.greatest(*chosen))]
-        else:
-            ordered = F.sort_array(F.array(*chosen))
-            in_order = [F.get(b, F.get(ordered, t)) for t in range(selected)]
-        return F.xxhash64(*in_order).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
+    def chosen(mark: Column, arc: Column) -> Column:
+        picked = [F.get(g, F.pmod(mark - arc + t, n)) for t in range(selected)]
+        return F.sort_array(F.array(*((_place_of(x) - 1).cast("int") for x in picked)))
+
+    def tuple_hash(in_order: Column) -> Column:
+        hashed = F.xxhash64(*(F.get(b, F.get(in_order, t)) for t in range(selected)))
+        return hashed.bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+    marks = F.transform(_places(m, lambda x: _place_of(x) == 0), chosen)
     found = F.when(n == 0, F.array_repeat(F.lit(0), places)).otherwise(F.transform(marks, tuple_hash))
-    return df.withColumn(out, found).drop(w, b, p, s, g, m)
+    return df.withColumn(out, found).drop(w, b, p, u, r, e, g, m)
 
 
 def likeness(a: str, b: str, places: int = PLACES) -> Column:
@@ -101,7 +112,7 @@ def likeness(a: str, b: str, places: int = PLACES) -> Column:
 
 
 def as_text(fingerprint: str) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")), "")
+    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(lower_ascii(F.hex(x)), 4, "0")), "")
 
 
 def with_next(docs: DataFrame, columns: list[str], least_ranges: int = 4096, range_rows: int = 65_536) -> tuple[DataFrame, Window]:
@@ -109,21 +120,19 @@ def with_next(docs: DataFrame, columns: list[str], least_ranges: int = 4096, ran
 
     Each range also holds a guest, the first row of the range after it (after the last: of the
     first), so that lead() over the window finds the next of every row that is no guest. Texts move
-    once. Range borders are exact quantiles of doc_id and, among equal ids, of a hash of the text; there
-    are least_ranges of them, or more where a range would have more than range_rows rows.
+    once and nothing is stored. Range borders are keys of rows: doc_id and, among equal ids, a hash of the text. Which keys
+    they are decides the balance alone: each _DRAWNth of those that a hash of the key draws, or exact quantiles where all
+    are drawn. There are about least_ranges of them, or more where a range would have more than range_rows rows.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     keyed = docs.select(*columns, F.struct(key.alias("id"), F.xxhash64("text").alias("tie")).alias("_key"))
-    ids = stored(laid_out(keyed.select("_key").withColumn("_one", F.lit(1)), "_key", at="_at"), "order")
-    n = ids.count()
+    n = docs.count()
     ranges = max(least_ranges, -(-n // range_rows))
-    step = max(1, -(-n // ranges))
-    borders = (
-        running_start(ids, "_at", "_one", "_rank")
-        .where(F.col("_rank") % step == 0)
-        .agg(F.array_sort(F.collect_set("_key")).alias("borders"))  # ranges of them at most, of 16 bytes
-        .scalar()
-    )
+    step = min(_DRAWN, max(1, -(-n // ranges)))
+    odds = -(-(ranges * _DRAWN << 30) // max(1, n))  # of 2^30
+    drawn = F.collect_set(F.when(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < odds, F.col("_key")))
+    some = F.filter(F.array_sort(drawn), lambda _, i: i % step == 0)
+    borders = keyed.agg(F.array_sort(F.array_union(F.array(F.min("_key")), some)).alias("borders")).scalar()
     keyed = keyed.withColumn("_borders", borders)
     halvings = F.array(*(F.lit(1 << i) for i in reversed(range(ranges.bit_length()))))
     at = F.aggregate(  # the last border that is no larger, by halving

@@ -1,13 +1,14 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringfold.llm import components, minhash, mixing, order_minhash, quality, toxicity
+from ringfold.llm import common, components, minhash, mixing, order_minhash, quality, toxicity
 
 DOCS = "doc_id long, text string, source string, lang string"
 
@@ -231,6 +232,27 @@ def test_fingerprints(spark):
     assert order_minhash.edited_neighbours(one).first().near_next == 1.0
 
 
+def test_next_rows_come_by_ranges_that_store_nothing(spark):
+    """Each table stored on the way makes the executors start processes for every file, whatever the rows."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(10**6) - 5000, f"a{rng.randrange(50)}") for _ in range(3000)]
+    rows += [(None, "x"), (None, "y"), *rows[:20], *((77, f"t{i}") for i in range(200))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    folder = Path(common.shared_dir(spark).removeprefix("file://"), "ringfold")
+    before = set(folder.glob("*"))
+    for least, most in ((4, 50), (64, 50), (5000, 65_536)):
+        found, order = order_minhash.with_next(docs, ["doc_id", "text"], least, most)
+        found = found.select("*", F.lead("_key").over(order).alias("_next")).where("_guest = 0").collect()
+        assert set(folder.glob("*")) == before
+        assert Counter((r.doc_id, r.text) for r in found) == Counter(rows)
+        found.sort(key=lambda r: (r._key, r._next))
+        ids = [r._key for r in found]
+        assert sorted(r._next for r in found) == sorted(ids)
+        assert all(r._next == following or r._key == r._next for r, following in zip(found, [*ids[1:], ids[0]]))
+        sizes = Counter(r._range for r in found)
+        assert max(sizes.values()) <= 4 * max(len(rows) / len(sizes), 2) and len(sizes) >= min(least, len(rows) / most) / 2
+
+
 def test_fingerprint_selects_smallest_in_text_order(spark):
     """Against a plain version that knows the k-mers' hashes from Spark."""
     text = " ".join(words(random.Random(4), 120, 30))
