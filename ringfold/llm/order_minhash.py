@@ -76,14 +76,13 @@ def fingerprint(
         return _pack(F.xxhash64(_hash_of(x), occurrence), _place_of(x) + 1)
 
     def once(x: Column, j: Column) -> Column:
-        repeats = F.coalesce(_hash_of(F.get(p, j - 1)) == _hash_of(x), F.lit(False))
-        return F.when(repeats, F.lit(-1).cast("long")).otherwise(number(x, F.lit(0)))
+        return F.when(_hash_of(F.get(p, j - 1)) == _hash_of(x), F.lit(-1).cast("long")).otherwise(number(x, F.lit(0)))
 
     df = df.withColumn(u, F.transform(p, once))  # k-mers by hash with their first number, -1 for those that come again
     df = df.withColumn(r, _places(u, lambda x: x < 0))
     # Two runs of these never touch, as each k-mer has a first one.
-    df = df.withColumn(e, F.filter(r, lambda j, i: F.coalesce(F.get(r, i + 1) != j + 1, F.lit(True))))
-    starts = F.filter(r, lambda j, i: F.coalesce(F.get(r, i - 1) != j - 1, F.lit(True)))
+    df = df.withColumn(e, F.filter(r, lambda j, i: ~F.get(r, i + 1).eqNullSafe(j + 1)))
+    starts = F.filter(r, lambda j, i: ~F.get(r, i - 1).eqNullSafe(j - 1))
 
     def again(start: Column, run: Column) -> Column:
         return F.transform(F.slice(p, start + 1, F.get(e, run) - start + 1), lambda x, t: number(x, t + 1))
