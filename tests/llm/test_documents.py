@@ -182,6 +182,14 @@ def test_mix_meets_targets(spark):
     assert mixing.taken(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words", [430_000_000, 2_000_000_000, 30_000_000_000])
+def test_targets_of_many_words(spark, words):
+    """Words times weights may exceed 2^31 where the words alone do not."""
+    units = spark.createDataFrame([("a", words // 2), ("b", words // 4), (None, words // 4)], "source string, words long")
+    found = {r.source: r.target for r in mixing.source_targets(units, (5, 2, 1), 3).collect()}
+    assert found == {"a": words * 5 / 8, "b": words * 2 / 8, None: words / 8}
+
+
 def test_curriculum_repeats_and_orders(spark):
     docs = mixed_docs(spark).withColumn("position_of", F.lit(1))
     planned = mixing.plan(docs)
