@@ -190,6 +190,15 @@ def test_targets_of_many_words(spark, words):
     assert found == {"a": words * 5 / 8, "b": words * 2 / 8, None: words / 8}
 
 
+def test_mix_of_many_words(spark):
+    """Five times all words are above 2^31."""
+    text = F.repeat(F.lit("a "), 1_000_000)
+    docs = spark.range(440).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"))
+    rows = mixing.taken(docs).collect()
+    assert {(r.size, r.source_size, r.target, r.taken) for r in rows} == {(1_000_000, 440_000_000, 440_000_000.0, 1_000_000)}
+    assert sorted(r.doc_id for r in rows) == list(range(440)) and len({r.position for r in rows}) == 440
+
+
 def test_curriculum_repeats_and_orders(spark):
     docs = mixed_docs(spark).withColumn("position_of", F.lit(1))
     planned = mixing.plan(docs)
