@@ -194,9 +194,44 @@ def test_mix_of_many_words(spark):
     """Five times all words are above 2^31."""
     text = F.repeat(F.lit("a "), 1_000_000)
     docs = spark.range(440).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"))
+    rows = mixing.plan(docs).collect()
+    assert {(r.size, r.source_size, r.target, r.copies) for r in rows} == {(1_000_000, 440_000_000, 440_000_000.0, 1)}
+    assert sorted(r.doc_id for r in rows) == list(range(440)) and len({r.before for r in rows}) == 440
+
+
+def test_query_counts_the_mix_it_writes(spark, monkeypatch):
+    """The query's words and positions are those of copies that were made, with their texts, in training order."""
+    docs, kept = mixed_docs(spark), {}
+
+    def stored(df, name, **options):
+        kept[name] = common.stored(df, name, **options)
+        return kept[name]
+
+    monkeypatch.setattr(mixing, "stored", stored)
     rows = mixing.taken(docs).collect()
-    assert {(r.size, r.source_size, r.target, r.taken) for r in rows} == {(1_000_000, 440_000_000, 440_000_000.0, 1_000_000)}
-    assert sorted(r.doc_id for r in rows) == list(range(440)) and len({r.position for r in rows}) == 440
+    copies = mixing.stored_order(kept["mix"]).orderBy("place").collect()
+    assert [r.position for r in copies] == sorted(r.position for r in copies)
+    found = defaultdict(list)
+    for r in copies:
+        found[r.doc_id, r.nth].append((len((r.text or "").split()), round(r.position, 9)))
+    found = [[sum(n for n, _ in of), min(at for _, at in of)] for of in found.values()]
+    assert sorted(map(str, found)) == sorted(str([r.taken, r.position]) for r in rows if r.position is not None)
+
+
+def test_equal_rows_of_a_mix_are_as_in_sql(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, " ".join(words(rng, rng.randrange(0, 40))), rng.choice(["a", "b", "c", None, "é"]), "x") for i in range(120)]
+    rows += rows[:20] * 6 + [rows[3]] * 40 + [(None, "q w e", "a", "x")] * 30 + [(6, None, "a", "x")] * 5 + [(5, f"v w {i}", "b", "x") for i in range(9)]
+    rows += [(*rows[9][:3], "other")] * 4
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    con = pytest.importorskip("duckdb").connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    wanted = con.execute(mixing.TAKEN_SQL).fetchall()
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in mixing.taken(docs).collect())
+    mixed = mixing.curriculum(docs, mixing.plan(docs)).collect()
+    assert sum(len((r.text or "").split()) for r in mixed) == sum(r[4] for r in wanted)
+    assert sum(r.lang == "other" for r in mixed) > 0
 
 
 def test_curriculum_repeats_and_orders(spark):
